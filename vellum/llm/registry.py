@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from vellum.llm import secrets, sharding
+from vellum.llm import exactdedup, secrets, sharding
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.query,
         "op5_sharding": sharding.query,
+        "op6_exact_dedup": exactdedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": exactdedup.SQL}
