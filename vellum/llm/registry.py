@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from vellum.llm import exactdedup, secrets, sharding
+from vellum.llm import exactdedup, langid, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.query,
+        "op2_language_id": langid.query,
+        "op4_quality": quality.query,
         "op5_sharding": sharding.query,
         "op6_exact_dedup": exactdedup.query,
+        "op9_toxicity": toxicity.query,
     }
 
 
