@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from vellum.llm import exactdedup, langid, quality, secrets, sharding, toxicity
+from vellum.llm import decontaminate, exactdedup, langid, linededup, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.query,
         "op2_language_id": langid.query,
+        "op3_decontamination": decontaminate.query,
         "op4_quality": quality.query,
         "op5_sharding": sharding.query,
         "op6_exact_dedup": exactdedup.query,
+        "op8_line_dedup": linededup.query,
         "op9_toxicity": toxicity.query,
     }
 
