@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, exactdedup, langid, linededup, quality, secrets, sharding, toxicity
+from vellum.llm import decontaminate, exactdedup, jaccardjoin, langid, linededup, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_exact_dedup": exactdedup.query,
         "op8_line_dedup": linededup.query,
         "op9_toxicity": toxicity.query,
+        "op10_jaccard_join": jaccardjoin.query,
     }
 
 
