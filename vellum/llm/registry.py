@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, exactdedup, jaccardjoin, langid, linededup, quality, secrets, sharding, toxicity
+from vellum.llm import decontaminate, exactdedup, jaccardjoin, langid, linededup, pieces, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality": quality.query,
         "op5_sharding": sharding.query,
         "op6_exact_dedup": exactdedup.query,
+        "op7_sentencepiece": pieces.query,
         "op8_line_dedup": linededup.query,
         "op9_toxicity": toxicity.query,
         "op10_jaccard_join": jaccardjoin.query,
