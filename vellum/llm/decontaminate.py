@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.scratch import documents, small_batches
+from vellum.llm.scratch import documents, filter_rows, small_batches
 from vellum.llm.textbytes import U, classes, raw, words
 
 WINDOW = 10
@@ -263,5 +263,12 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: i
     return found.select("doc_id", "bits", "matches", "n_words").mapInArrow(_report, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches {MATCH}")
 
 
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, limit: int = SHARD) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no window of any benchmark item."""
+    for tests in blocks(bench, window, block_bytes):
+        docs = filter_rows(docs, lambda data, at, tests=tests: [not hit.any() for _, hit, _ in find(data, at, tests, limit)])
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("matches")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.scratch import documents, materialize, sized, small_batches
+from vellum.llm.scratch import documents, materialize, sized, small_batches, without
 from vellum.llm.textbytes import raw
 
 PRIME = (1 << 31) - 1
@@ -167,6 +167,17 @@ def dedup(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     return alone.select(columns).unionByName(tops.select(columns)).unionByName(rest.select(columns))
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay: one of each group of equal texts."""
+    found = materialize(dedup(docs), "dedup-rows").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = materialize(found.where("not kept or n > 1"), "dedup-decisions")
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    # texts are told apart by their digest only where a doc_id is among those decided on
+    mixed = docs.join(sized(materialize(found.select(F.col("doc_id").alias("at")).distinct(), "dedup-ids")), F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
+    stay = mixed.withColumn("vellum_sha", sha).join(sized(found.where("not kept").select(F.col("doc_id").alias("at"), F.col("text_sha256").alias("of"))), F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("vellum_sha") == F.col("of")), "left_anti")
+    return without(docs, found).unionByName(stay.dropDuplicates(["doc_id", "vellum_sha"]).drop("vellum_sha"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir))
 

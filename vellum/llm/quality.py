@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.learning import codes, grams, kinds, labelled, remainder, sampled, sigmoid
-from vellum.llm.scratch import documents, small_batches
+from vellum.llm.scratch import documents, filter_rows, small_batches
 from vellum.llm.textbytes import classes, raw, words
 
 BUCKETS = 1024
@@ -173,3 +173,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = predict(docs, model)
     return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows, with all columns, whose text the model scores at the threshold or above."""
+    return filter_rows(docs, lambda data, at: [score(model, data[a:b]) >= threshold for a, b in zip(at[:-1], at[1:], strict=True)])

@@ -43,3 +43,26 @@ def small_batches(spark: SparkSession) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def filter_rows(docs: DataFrame, keep, column: str = "text") -> DataFrame:
+    """Rows of ``docs`` with all their columns for which ``keep(bytes, offsets)``, given a batch of texts, says so."""
+    import numpy as np
+    import pyarrow as pa
+
+    from vellum.llm.textbytes import raw
+
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(np.asarray(keep(*raw(batch.column(at))), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``dropped`` (doc_id), a written table; nulls match nulls."""
+    gone = dropped.select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(sized(materialize(gone, "dropped")), F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
