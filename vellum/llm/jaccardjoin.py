@@ -2,17 +2,20 @@
 
 Two sets whose Jaccard similarity reaches the threshold share a token among the first
 ``n - ceil(t n) + 1`` of each, whatever global order of tokens is taken. So a pair
-must share such prefix tokens under every one of several orders. Every order puts
-frequent tokens last: frequencies come from a count sketch over all documents whose
-size is a parameter, and tokens that it cannot tell apart are ordered by a hash of
-their own for each order.
-
-The postings of the first order's prefixes tie each document to the least one that
-shares a token. The components of these ties are the blocks within which links can
-lie; no pair is listed. A block's documents meet in one task, or, beyond a number of
-tokens, in several that also hold the block's first document; there a search from
-document to unvisited document intersects the filters of all orders and verifies what
-is left. What a large block's tasks leave unconnected is compared with all of it.
+must share such prefix tokens under every one of several orders.
+
+The first order puts a set's own tokens first, which no set of a size that it may be
+linked with has; then come tokens whose hash is below a bound, rare ones before
+frequent ones; then the others by hash. Only tokens below the bound (a higher one for
+small sets) are counted for it, since no prefix needs more: a set with enough tokens
+of its own there has nothing else in its prefix and is linked with none, so most of a
+corpus drops out with no pair made.
+The postings of the other prefixes tie each set to the least one that shares a
+token; the components of these ties are the blocks within which links can lie. A
+block's sets meet in one task, or, beyond a number of tokens, in several that also
+hold the block's first set; there a search from set to unvisited set intersects the
+filters of all orders and verifies what is left. What a large block's tasks leave
+unconnected is compared with all of it.
 """
 
 from __future__ import annotations
@@ -22,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.components import components
-from vellum.llm.learning import segments, sum_segments
-from vellum.llm.scratch import documents, materialize, sized, small_batches
+from vellum.llm.scratch import documents, materialize, sized, small_batches, without
 from vellum.llm.textbytes import U, classes, mix, raw, shingles, words
 
 MEMBER = classes(True)
-#: Cells of each of the two rows of the sketch.
-CELLS = 1 << 18
+#: Tokens are counted below this many times the share of a set that may be missing from the other;
+#: the bound rises by SMALL over the square root of the set's size.
+COUNTED, SMALL = 1.4, 6.0
+#: Bits of the filter for tokens of several sets; full, it passes all.
+FILTER = 1 << 25
 ORDERS = 3
 #: Tokens of the sets that meet in one task.
 TASK_TOKENS = 1_000_000
@@ -42,62 +47,89 @@ def token_set(data: np.ndarray, k: int) -> np.ndarray:
     return shingles(words(data, MEMBER)[2], k)
 
 
-def _cells(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (tokens & U(CELLS - 1)).astype(np.int64), ((tokens >> U(20)) & U(CELLS - 1)).astype(np.int64)
+def _ordered(tokens: np.ndarray) -> np.ndarray:
+    """Signed numbers in the order of the tokens' hashes."""
+    return (tokens ^ U(1 << 63)).view(np.int64)
 
 
-def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """For each cell of each row of the sketch, how far its documents' count stands above chance: 0, or 1 + log2."""
+def prefix_size(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * CELLS, np.int64)
-        for batch in batches:
-            data, at = raw(batch.column(0))
-            sets = [token_set(data[a:b], k) for a, b in zip(at[:-1], at[1:], strict=True)]
-            one, two = _cells(np.concatenate(sets)) if sets else _cells(np.zeros(0, U))
-            np.add.at(total, one, 1)
-            np.add.at(total, CELLS + two, 1)
-        parts = list(segments(total))
-        for i in range(0, len(parts), 64):
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts[i : i + 64]], pa.int32()), pa.array([b for _, b in parts[i : i + 64]], pa.binary())], names=["segment", "counts"])
-
-    table = sum_segments(docs.select("text").mapInArrow(count, "segment int, counts binary"), 2 * CELLS).reshape(2, CELLS).astype(float)
-    chance = np.median(table, axis=1, keepdims=True)
-    noise = 6 * np.sqrt(chance + 1)
-    return np.where(table - chance > noise, 1 + np.floor(np.log2(np.maximum(table - chance, 1) / noise)), 0).clip(0, 62).astype(np.uint8)
-
-
-def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """Mask of the prefix tokens under an order."""
-    n = len(tokens)
-    size = n - -(-percent * n // 100) + 1
-    if size >= n:
-        return np.ones(n, bool)
-    one, two = _cells(tokens)
-    level = np.minimum(levels[0][one], levels[1][two]).astype(U)
-    rank = (level << U(58)) | (mix(tokens + U(order + 1)) >> U(6))
+
+def prefix(tokens: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """Mask of the prefix tokens under an order by hash."""
+    size = prefix_size(len(tokens), percent)
+    if size >= len(tokens):
+        return np.ones(len(tokens), bool)
+    rank = mix(tokens + U(order)) if order else tokens
     return rank <= np.partition(rank, size - 1)[size - 1]
 
 
-def features(docs: DataFrame, id_type: str, k: int, percent: int, levels: np.ndarray, salt: int = 0) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; null if empty), proof (more of the digest) and the first order's prefix."""
+def hash_bound(n: float | None, percent: int) -> int:
+    """Tokens up to it may be a set's own if it has ``n`` tokens; without ``n``, tokens up to it are ordered by frequency."""
+    share = COUNTED * (100 - percent) / 100 * (1 + (SMALL / n**0.5 if n else 0.0))
+    return min((1 << 64) - 1, int(share * (1 << 64)))
+
+
+def features(docs: DataFrame, id_type: str, k: int, percent: int, salt: int = 0) -> DataFrame:
+    """Every document's set: doc_id, n_shingles, node (digest of the set; null if empty), proof (more of the digest),
+    the bound for its own tokens, how many tokens are below it, and the counted tokens.
+
+    Counted are those below the bound of the smallest set that it may be linked with, so
+    that no set takes a token of a possible partner for its own, and a full prefix by hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = raw(batch.column(1))
-            size, node, proof, prefixes = [], [], [], []
+            size, node, proof, bounds, below, counted = [], [], [], [], [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
-                tokens = token_set(data[a:b], k)
+                tokens = token_set(data[a:b], k)  # in the order of their hashes
                 size.append(len(tokens))
                 one, two = digest(tokens, salt)
                 node.append(one if len(tokens) else None)
                 proof.append(two if len(tokens) else None)
-                prefixes.append(tokens[prefix(tokens, levels, 0, percent)])
-            values = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-            offsets = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(proof, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "n_shingles", "node", "proof", "prefix"])
+                n = len(tokens)
+                bound = hash_bound(n, percent)
+                bounds.append(bound - (1 << 63))
+                below.append(int(np.searchsorted(tokens, U(bound), "right")))
+                stop = int(np.searchsorted(tokens, U(hash_bound(n * percent / 100, percent)), "right")) if n else 0
+                counted.append(_ordered(tokens[: max(stop, prefix_size(n, percent)) if n else 0]))
+            values = np.concatenate(counted) if counted else np.zeros(0, np.int64)
+            offsets = np.cumsum([0] + [len(p) for p in counted]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(proof, pa.int64()), pa.array(bounds, pa.int64()), pa.array(below, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "n_shingles", "node", "proof", "bound", "below", "counted"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, node long, proof long, bound long, below int, counted array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, node long, proof long, prefix array<long>")
+
+def _shared_postings(found: DataFrame) -> DataFrame:
+    """(token, node, df) of the counted tokens that several nodes have, each once; df is the number of rows.
+
+    The tokens that have two nodes come from one aggregation; a bit filter of fixed
+    size then keeps most other postings out of the join that fetches their nodes.
+    """
+    rows = found.where("node is not null")
+    several = materialize(rows.select("node", F.explode("counted").alias("token")).groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df"), "shared-tokens")
+    words_of = several.selectExpr(f"cast((token & {FILTER - 1}) >> 5 as int) as word", "shiftleft(1L, cast(token & 31 as int)) as bit")
+    bits = np.zeros(FILTER // 32, np.uint32)
+    table = words_of.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER / 32 rows
+    bits[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            at = tokens & (FILTER - 1)
+            held = np.flatnonzero((bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1))
+            nodes = np.repeat(batch.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[held]), pa.array(nodes[held])], names=["token", "node"])
+
+    passed = rows.select("node", "counted").mapInArrow(run, "token long, node long")
+    return passed.join(several.hint("merge"), "token").distinct()
+
+
+def prefix_size_column(size: str, percent: int):
+    return F.col(size) - F.floor((F.col(size) * percent + 99) / 100) + 1
 
 
 def digest(tokens: np.ndarray, salt: int) -> tuple[int, int]:
@@ -105,7 +137,7 @@ def digest(tokens: np.ndarray, salt: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:16], "little", signed=True)
 
 
-def link(nodes: list[int], sets: list[np.ndarray], known: list[int], levels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def link(nodes: list[int], sets: list[np.ndarray], known: list[int], percent: int) -> list[tuple[int, int]]:
     """(node, root) of the nodes that are connected with others, by links among ``sets`` or by equal ``known`` labels."""
     count = len(nodes)
     size = np.array([len(s) for s in sets], np.int64)
@@ -116,7 +148,7 @@ def link(nodes: list[int], sets: list[np.ndarray], known: list[int], levels: np.
     start = np.concatenate(([0], np.cumsum(size)))
     chosen, begins = [], []
     for order in range(ORDERS):
-        mask = np.concatenate([prefix(s, levels, order, percent) for s in sets])
+        mask = np.concatenate([prefix(s, order, percent) for s in sets])
         chosen.append(place[mask])
         begins.append(np.concatenate(([0], np.cumsum(np.add.reduceat(mask.astype(np.int64), start[:-1])))))
     by_label: dict[int, list[int]] = {}
@@ -160,13 +192,13 @@ def link(nodes: list[int], sets: list[np.ndarray], known: list[int], levels: np.
     return out
 
 
-def _linker(levels: np.ndarray, percent: int):
+def _linker(percent: int):
     """Rows (block, part, node, known, tokens), those of a block and part together -> (block, node, root)."""
 
     def solved(key, rows) -> pa.RecordBatch:
         once = {node: (known, np.frombuffer(blob, U)) for node, known, blob in rows}
         nodes = sorted(once)
-        found = link(nodes, [once[n][1] for n in nodes], [once[n][0] for n in nodes], levels, percent)
+        found = link(nodes, [once[n][1] for n in nodes], [once[n][0] for n in nodes], percent)
         return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["block", "node", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +217,9 @@ def _linker(levels: np.ndarray, percent: int):
     return run
 
 
-def _linked(rows: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
+def _linked(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.select("block", "part", "node", "known", "tokens").repartition("block", "part").sortWithinPartitions("block", "part")
-    return rows.mapInArrow(_linker(levels, percent), "block long, node long, root long")
+    return rows.mapInArrow(_linker(percent), "block long, node long, root long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, task_tokens: int = TASK_TOKENS) -> DataFrame:
@@ -206,17 +238,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, task_tokens:
     small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    levels = frequency_levels(docs, k)
     for salt in range(16):
-        found = materialize(features(docs, id_type, k, percent, levels, salt), "shingle-sets")
-        groups = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"), F.min("n_shingles").alias("size"), F.min("proof").alias("low"), F.max("proof").alias("high"), F.first("prefix").alias("prefix"))
+        found = materialize(features(docs, id_type, k, percent, salt), "shingle-sets")
+        groups = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"), F.min("n_shingles").alias("size"), F.min("bound").alias("bound"), F.min("below").alias("below"), F.min("proof").alias("low"), F.max("proof").alias("high"))
         nodes = materialize(groups, "shingle-nodes")
         if not nodes.where("low <> high").limit(1).count():  # else two sets share a node; digest anew
             break
 
-    postings = nodes.select("node", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("token", "leader")
-    ties = postings.join(shared.hint("merge"), "token").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    postings = materialize(_shared_postings(found), "shared-postings")
+    common = hash_bound(None, percent) - (1 << 63)
+    own = nodes.select("node", "size", "bound", "below")
+    sized_postings = postings.join(own.hint("merge"), "node")
+    open_nodes = sized_postings.groupBy("node", "size", "below").agg(F.count_if(F.col("token") <= F.col("bound")).alias("shared"))
+    short = prefix_size_column("size", percent) - (F.col("below") - F.col("shared"))  # prefix tokens that are not the set's own
+    open_nodes = open_nodes.select("node", short.alias("short")).where("short > 0")
+    by = Window.partitionBy("node").orderBy(F.col("token") > common, F.when(F.col("token") <= common, F.col("df")), "token")  # over the tokens of one set
+    ranked = postings.join(open_nodes.hint("merge"), "node").withColumn("place", F.row_number().over(by))
+    prefixes = materialize(ranked.where("place <= short").select("token", "node"), "prefixes")
+    shared = prefixes.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("token", "leader")
+    ties = prefixes.join(shared.hint("merge"), "token").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     blocks = materialize(components(ties, "blocks").join(nodes.select("node", "least_id", "size").hint("merge"), "node").withColumnRenamed("root", "block"), "block-nodes")
     parts = blocks.groupBy("block").agg(F.ceil(F.sum("size") / task_tokens).alias("parts"))
     member = blocks.join(parts.hint("merge"), "block")
@@ -239,9 +279,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, task_tokens:
     if big:
         sets = materialize(sets, "block-sets")
     spread = sets.withColumn("part", F.explode("held")).withColumn("known", F.col("node"))
-    links = materialize(_linked(spread, levels, percent), "links")
+    links = materialize(_linked(spread, percent), "links")
     if big:
-        links = _rest(sets, links, member, levels, percent, task_tokens)
+        links = _rest(sets, links, member, percent, task_tokens)
 
     roots = links.join(nodes.select("node", "least_id").hint("merge"), "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = links.select("node", "root").join(roots.hint("merge"), "root").select("node", "component_id")
@@ -250,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, task_tokens:
     return found.select("doc_id", "n_shingles", "node").join(table, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _rest(sets: DataFrame, links: DataFrame, member: DataFrame, levels: np.ndarray, percent: int, task_tokens: int) -> DataFrame:
+def _rest(sets: DataFrame, links: DataFrame, member: DataFrame, percent: int, task_tokens: int) -> DataFrame:
     """Complete the links of blocks in several parts.
 
     Their largest component so far needs no comparison within itself; every other
@@ -270,10 +310,16 @@ def _rest(sets: DataFrame, links: DataFrame, member: DataFrame, levels: np.ndarr
     left = wide.select("block", "node", "known", "tokens", "own", "others", every(F.col("others")).alias("against"))
     right = wide.where("known <> main").select("block", "node", "known", "tokens", every(F.col("parts")).alias("own"), "others", F.pmod(F.xxhash64("node", F.lit(1)), F.col("others")).cast("long").alias("against"))
     rows = left.unionByName(right).withColumn("part", F.col("own") * F.col("others") + F.col("against"))
-    more = materialize(_linked(rows, levels, percent), "rest-links")
+    more = materialize(_linked(rows, percent), "rest-links")
     whole = components(inside.select("node", "root").unionByName(more.select("node", "root")).select(F.col("node").alias("a"), F.col("root").alias("b")), "block-links")
     return links.join(blocks.hint("merge"), "block", "left_anti").select("node", "root").unionByName(whole)
 
 
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay: of linked documents the one with the least doc_id."""
+    found = near_duplicates(docs, k, percent)
+    return without(docs, materialize(found.where("not (component_id <=> doc_id)").select("doc_id"), "near-copies"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=4, percent=85)
