@@ -1,11 +1,25 @@
-"""The query catalogue."""
+"""The query catalogue: every query of the engine with the SQL that checks it."""
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("q_ingest", "q_views")
+
+
+def _all() -> dict:
+    found: dict = {}
+    for name in MODULES:
+        more = importlib.import_module(f"vellum.plans.{name}").QUERIES
+        if clash := found.keys() & more.keys():
+            raise ValueError(f"query names repeat: {clash}")
+        found |= more
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
