@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_ingest", "q_views")
+MODULES = ("q_ingest", "q_views", "q_graph", "q_text")
 
 
 def _all() -> dict:
