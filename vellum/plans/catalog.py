@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_ingest", "q_views", "q_graph", "q_text")
+MODULES = ("q_ingest", "q_views", "q_graph", "q_text", "q_retrieval")
 
 
 def _all() -> dict:
