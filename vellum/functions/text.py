@@ -39,9 +39,9 @@ def normalize(text: Column) -> Column:
     """Line ends to LF, runs of blanks to one space, none at a line's end, lower case, trimmed; null stays null."""
     x = F.regexp_replace(text, r"\r\n|\r", "\n")
     x = F.regexp_replace(x, r"[ \t]+", " ")
-    x = F.regexp_replace(x, r"[\s&&[^\n]]+(?=\n|\z)", "")
+    x = F.regexp_replace(x, r"(?U)[\s&&[^\n]]+(?=\n|\z)", "")
     x = F.lower(x)
-    return F.regexp_replace(x, r"\A\s+|\s+\z", "")
+    return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
 
 
 def sha256(text: Column) -> Column:
