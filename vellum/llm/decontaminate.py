@@ -170,7 +170,7 @@ def find(data: np.ndarray, at: np.ndarray, tests: Tests, limit: int = SHARD) ->
             which, place = search(keys, suffix_array(keys, tests.per, full, tests.depth), tests)
             wrong = []
             of = np.searchsorted(base, place, "right") - 1
-            for k in np.unique(np.concatenate([place + j for j in range(tests.window)])) if len(place) else ():
+            for k in np.unique(np.concatenate([place[tests.size[which] > j] + j for j in range(tests.window)])) if len(place) else ():
                 j = int(np.searchsorted(base, k, "right") - 1)
                 i, start, n = shard[j]
                 if k - base[j] < len(n) and joined[k]:
