@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, exactdedup, jaccardjoin, langid, linededup, pieces, quality, secrets, sharding, toxicity
+from vellum.llm import decontaminate, exactdedup, jaccardjoin, langid, linededup, oracle, pieces, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exactdedup.SQL}
+    return {
+        "op1_secret_scan": oracle.secret_scan(),
+        "op3_decontamination": oracle.decontamination(),
+        "op5_sharding": oracle.shards(),
+        "op6_exact_dedup": exactdedup.SQL,
+        "op10_jaccard_join": oracle.jaccard_join(),
+    }
