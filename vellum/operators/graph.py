@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import link_basename, wikilinks
-from vellum.operators.scratch import materialize
+from vellum.operators.scratch import materialize, scratch_path
 
 
 def links(notes: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -28,19 +30,24 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> D
     """(node, depth) of everything reachable from ``seeds`` (node) over ``edges`` (src, dst), each at its least depth.
 
     A frontier loop: each round joins the last frontier with the edges, drops what was
-    seen, and writes the result, so that neither the plan nor the driver grows.
+    seen, and writes the result beside the earlier ones, so that neither the plan nor
+    the driver grows.
     """
+    spark = edges.sparkSession
     edges = materialize(edges.select("src", "dst").distinct(), "edges")
-    seen = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
-    frontier, level = seen, 0
+    folder, level = scratch_path(spark, "reached"), 0
+    seeds.select("node").distinct().write.parquet(f"{folder}/depth=0")
+    schema = seeds.select("node").schema
     while depth is None or level < depth:
         level += 1
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = materialize(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)), "frontier")
-        if not frontier.limit(1).count():
+        frontier = spark.read.schema(schema).parquet(f"{folder}/depth={level - 1}")
+        seen = spark.read.schema(schema).parquet(*[f"{folder}/depth={k}" for k in range(level)])
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").cast(schema["node"].dataType).alias("node")).distinct()
+        step.join(seen, "node", "left_anti").write.parquet(f"{folder}/depth={level}")
+        if not spark.read.schema(schema).parquet(f"{folder}/depth={level}").limit(1).count():
             break
-        seen = materialize(seen.unionByName(frontier), "reached")
-    return seen
+    found = [spark.read.schema(schema).parquet(f"{folder}/depth={k}").withColumn("depth", F.lit(k)) for k in range(level + 1)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:

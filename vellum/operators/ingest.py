@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators.scratch import materialize
 
 
 def tiered_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -17,9 +20,10 @@ def tiered_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     aggregations of hashes, so no group of copies is gathered in a task.
     """
     text = F.coalesce("text", F.lit(""))
-    hashed = docs.select(key, T.sha256(text).alias("sha256"), T.normalize(text).alias("plain")).select(
-        key, "sha256", F.when(F.col("plain") != "", T.sha256(F.col("plain"))).alias("text_sha256")
-    )
+    empty = hashlib.sha256(b"").hexdigest()
+    plain = T.sha256(T.normalize(text))
+    # three uses of two hashes a row, so they are written and the texts are read once
+    hashed = materialize(docs.select(key, T.sha256(text).alias("sha256"), F.nullif(plain, F.lit(empty)).alias("text_sha256")), "hashes")
     first = hashed.groupBy("sha256").agg(F.min(key).alias("first_sha"))
     plain = hashed.where("text_sha256 is not null").groupBy("text_sha256").agg(F.min(key).alias("first_text"))
     joined = hashed.join(first, "sha256").join(plain, "text_sha256", "left")

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back; a local folder only where that is unset."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path under ``spark.checkpoint.dir``; under a local folder only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -30,9 +32,12 @@ def ngrams(docs: DataFrame, n: int = 3, top: int = 20, text: str = "text") -> Da
     """Most frequent n-grams that are not all stopwords, within a document; ties by n-gram."""
     tokens = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: t != "")
     rows = docs.select(tokens.alias("t")).where(F.size("t") >= n)
-    grams = F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.slice("t", i + 1, n))
-    rows = rows.select(F.explode(grams).alias("gram")).where(F.exists("gram", lambda w: ~w.isin(T.NGRAM_STOPWORDS)))
-    return rows.groupBy(F.array_join("gram", " ").alias("ngram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(top)
+    # the words at one place of an n-gram each, cut to the number of n-grams, side by side
+    shifted = [F.slice("t", i + 1, F.size("t") - n + 1).alias(f"w{i}") for i in range(n)]
+    grams = rows.select(F.inline(F.arrays_zip(*shifted)))
+    names = [f"w{i}" for i in range(n)]
+    stop = reduce(Column.__and__, (F.col(c).isin(T.NGRAM_STOPWORDS) for c in names))
+    return grams.where(~stop).groupBy(F.concat_ws(" ", *names).alias("ngram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(top)
 
 
 def openers(docs: DataFrame, top: int = 10, text: str = "text") -> DataFrame:

@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from vellum.operators.scratch import materialize  # noqa: F401  (sets the shared folder where it is unset)
+from vellum.operators.scratch import scratch_path
 from vellum.streaming import drops
 
 
-def _folder(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        materialize(spark.range(1), "start")
-        base = spark.conf.get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _events(spark, d):
     return drops.table_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _run(spark, stream, name, mode="append"):
     """Results of every batch; in complete mode, of the last."""
-    folder = _folder(spark, name)
+    folder = scratch_path(spark, name)
     numbers: list[int] = []
 
     def sink(batch, number):

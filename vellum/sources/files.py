@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-# Folders that no scan enters, and the zones that hold typed notes.
-SKIPPED = (".git", ".obsidian", ".smart-env", ".claude", "__pycache__", "node_modules", "_archive", "archive", "Templates", "_log_archive", "_drop", "_originals")
+# Folders that no scan enters, besides dotted ones, and the zones that hold typed notes.
+SKIPPED = ("__pycache__", "node_modules", "_archive", "_archives", "archive", "archives", "Templates", "_skill_packages", "_skill_resources", "_log_archive", "_session_handoff_archive", "_auto_writes_archive", "_ingestion_pipeline", "_drop", "_originals")
 TYPED_ZONES = ("10 People", "20 Companies", "30 Projects", "40 Meetings", "50 Sources", "60 Concepts", "70 Decisions")
 
 MANIFEST = (
