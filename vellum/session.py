@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,5 +22,16 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Tables of texts, on which the work of a row is worth moving it.
+TEXTS = ("documents", "pages")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; one of texts in fewer files than there are cores is dealt out to all cores.
+
+    A file may be one row group, which one task reads. With as many files as cores or
+    more, as on any large corpus, nothing is moved.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and len(df.inputFiles()) < cores else df
