@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import table
+
 #: Rows of a key table that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -42,7 +44,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def filter_rows(docs: DataFrame, keep, column: str = "text") -> DataFrame:
