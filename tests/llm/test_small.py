@@ -435,6 +435,39 @@ def test_line_dedup(spark, monkeypatch):
     assert linededup.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+def without_repeated_pairs(rows):
+    """Brute force: every two neighbouring lines that occurred before lose both lines."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        data = text.encode()
+        spans = [m.span() for m in re.finditer(rb"[^\n]+", data)]
+        gone = set()
+        for n in range(len(spans) - 1):
+            pair = data[spans[n][0] : spans[n + 1][1]]
+            gone |= {n, n + 1} if pair in seen else set()
+            seen.add(pair)
+        cut = {k for n in gone for k in range(max(0, (spans[n - 1][1] if n and n - 1 in gone else spans[n][0] - 1)), spans[n][1])}
+        out[i] = (bytes(c for k, c in enumerate(data) if k not in cut).decode(), len(gone))
+    return out
+
+
+def test_line_dedup_finds_all_repeated_pairs(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").where("text is not null").collect()]
+    rows += [(10**6 + i, f"own {i}\npassage of two {i // 2}\nlines {i // 2}\nend {i}") for i in range(40)]
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, [(i, t, None, None, None) for i, t in rows])).collect()}
+    want = without_repeated_pairs(rows)
+    assert sum(n for _, n in want.values()) > 40
+    assert {i: (r.text, r.n_removed_lines) for i, r in got.items()} == want
+    assert all((got[10**6 + i].text, got[10**6 + i].n_removed_chunks) == (f"own {i}\nend {i}", 1) for i in range(1, 40, 2))
+
+
+def test_line_dedup_of_both_forms_with_empty_lines(spark):
+    forms = ["a line\n\nb line\nc line", "a line\nb line\n\nc line"]
+    rows = [(i, f"own {i}\n{forms[i % 2]}") for i in range(8)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, [(i, t, None, None, None) for i, t in rows])).collect()}
+    assert got == {i: t if i < 2 else f"own {i}" for i, t in rows}
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line number {i}" for i in range(200)]
     cut = lambda x: {"\n".join(x)[a:b] for a, b, _, _ in linededup.chunks_of(np.frombuffer("\n".join(x).encode(), np.uint8))[1]}

@@ -1,14 +1,17 @@
-"""Line deduplication with content-defined chunks of lines.
-
-A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so
-that an inserted line moves the boundaries near it only. A chunk of several lines
-that occurs again anywhere in the corpus, byte for byte, is removed there; its first
-occurrence (least doc_id, then least place) stays.
+"""Line deduplication with content-defined anchors of neighbouring lines.
+
+A rolling hash over every two neighbouring lines, whatever stands around them, is an
+anchor; no line is skipped, so an inserted line moves no other anchor. Two lines that
+occur together again anywhere in the corpus, byte for byte, are removed there; the
+first occurrence (least doc_id, then least place) removes nothing, so the first of every
+line stays. Anchors that overlap make up the whole repeated passage, line by line; a
+line that repeats without a neighbour stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,43 +19,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.scratch import documents, materialize, sized, small_batches
-from vellum.llm.textbytes import U, _table, mix, raw, words
+from vellum.llm.textbytes import _table, raw, words
 
 EXACT = _table(False)
 LINE = np.arange(256) != 10
-#: Lines that the rolling hash covers, one boundary in so many lines, and the least and most lines of a chunk.
-ROLL, EVERY, LEAST, MOST = 2, 3, 2, 12
-#: Occurrences of a chunk that are compared in one task before it is salted.
+#: Factor of the rolling hash over two lines.
+ROLL = 0x9E3779B97F4A7C15
+#: Occurrences of an anchor that are compared in one task before it is salted.
 GROUP = 512
 
 
-def boundaries(hashes: np.ndarray) -> list[tuple[int, int]]:
-    """Chunks of lines as (first, after the last)."""
-    n = len(hashes)
-    rolled = np.zeros(n, U)
-    for j in range(ROLL):
-        rolled[j:] += mix(hashes[: n - j] + U(j + 1))
-    ends = mix(rolled) % U(EVERY) == 0
-    out, start = [], 0
-    for i in range(n):
-        size = i + 1 - start
-        if i + 1 == n or size >= MOST or (size >= LEAST and ends[i]):
-            out.append((start, i + 1))
-            start = i + 1
-    return out
-
-
 def chunks_of(data: np.ndarray) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """Number of non-empty lines, and chunks as (first byte, after the last byte, lines, hash); lines outside chunks of several are in none."""
+    """Number of non-empty lines, and each as (first byte, after the last byte, lines, hash)."""
     starts, ends, hashes = words(data, LINE, EXACT)
-    out = []
-    for a, b in boundaries(hashes):
-        if b - a >= LEAST:
-            value = np.full(1, b - a, U)
-            for h in hashes[a:b]:
-                value = mix(value * U(0x9E3779B97F4A7C15) + h)
-            out.append((int(starts[a]), int(ends[b - 1]), b - a, int(value.view(np.int64)[0])))
-    return len(hashes), out
+    return len(hashes), list(zip(starts.tolist(), ends.tolist(), [1] * len(hashes), hashes.tolist(), strict=True))
+
+
+def anchors(data: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Every two neighbouring lines as (first byte, after the last byte, number of the first line, hash)."""
+    return [(a, b, i, ((g * ROLL + h) & ((1 << 64) - 1)) - (1 << 63)) for i, ((a, _, _, g), (_, b, _, h)) in enumerate(pairwise(chunks_of(data)[1]))]
 
 
 def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,32 +45,32 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, at = raw(batch.column(1))
         row, found = [], []
         for i in range(batch.num_rows):
-            own = chunks_of(data[at[i] : at[i + 1]])[1]
+            own = anchors(data[at[i] : at[i + 1]])
             row += [i] * len(own)
             found += own
         columns = list(zip(*found, strict=True)) or [(), (), (), ()]
         ids = batch.column(0).take(pa.array(row, pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]], names=["doc_id", "start", "stop", "n_lines", "hash"])
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]], names=["doc_id", "start", "stop", "line", "hash"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, chunks) -> a row with its bytes for each of the chunks."""
     for batch in batches:
         data, at = raw(batch.column(1))
-        row, start, stop, lines, key, part = [], [], [], [], [], []
+        row, start, stop, line, key, part = [], [], [], [], [], []
         for i, chunks in enumerate(batch.column(2).to_pylist()):
             for c in chunks:
                 row.append(i)
                 start.append(c["start"])
                 stop.append(c["stop"])
-                lines.append(c["n_lines"])
+                line.append(c["line"])
                 key.append(c["hash"])
                 part.append(data[at[i] + c["start"] : at[i] + c["stop"]].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(lines, pa.int32()), pa.array(key, pa.int64()), pa.array(part, pa.binary())], names=["doc_id", "start", "stop", "n_lines", "hash", "bytes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(line, pa.int32()), pa.array(key, pa.int64()), pa.array(part, pa.binary())], names=["doc_id", "start", "stop", "line", "hash", "bytes"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, cuts) -> the text without the cuts, each with the line feed before it, or else after it."""
+    """(doc_id, text, cuts) -> the text without the lines of the cuts, each with the line feed before it; cuts that share a line are one passage."""
     for batch in batches:
         data, at = raw(batch.column(1))
         texts, lines, gone, chunks = [], [], [], []
@@ -93,52 +78,50 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = data[at[i] : at[i + 1]]
             keep = np.ones(len(text), bool)
             for c in cuts or ():
-                a, b = c["start"], c["stop"]
-                if a:
-                    a -= 1
-                elif b < len(text):
-                    b += 1
-                keep[a:b] = False
+                keep[max(0, c["start"] - 1) : c["stop"]] = False
+            held = {c["line"] for c in cuts or ()}
             texts.append(text[keep].tobytes().decode("utf-8"))
             lines.append(int((text == 10).sum()) + 1 if len(text) else 0)
-            gone.append(sum(c["n_lines"] for c in cuts or ()))
-            chunks.append(len(cuts or ()))
+            gone.append(len(held | {n + 1 for n in held}))
+            chunks.append(sum(n - 1 not in held for n in held))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(chunks, pa.int64())], names=["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row for every row of ``docs``: doc_id, the remaining text, n_lines, n_removed_lines, n_removed_chunks.
 
-    A null text counts as empty. Rows of one doc_id are one document: a chunk at the
-    same place of theirs is one occurrence. A null doc_id is below all others. Empty
-    lines belong to the chunk around them and count as lines of the document. Other
-    columns are ignored; an empty table gives an empty result.
+    Removed chunks are whole passages of two lines or more. A null text counts as
+    empty. Rows of one doc_id are one document: two lines at the same place of theirs
+    are one occurrence. A null doc_id is below all others. Empty lines between two
+    lines belong to them and count as lines of the document; one after a passage
+    stays. Other columns are ignored; an empty table gives an empty result.
 
-    Only chunks' hashes and places are grouped; the bytes of repeated ones alone are
+    Only anchors' hashes and places are grouped; the bytes of repeated ones alone are
     moved, and the occurrences of a very frequent one are compared in as many tasks
-    as their number asks for.
+    as their number asks for. Most documents of a large corpus have repeated lines, so
+    the joins with texts are shuffled at every size.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = materialize(docs.mapInArrow(_chunker, f"doc_id {id_type}, start long, stop long, n_lines int, hash long"), "line-chunks")
-    places = found.groupBy("hash", "doc_id", "start", "stop", "n_lines").agg(F.lit(1).alias("one")).drop("one")
+    found = materialize(docs.mapInArrow(_chunker, f"doc_id {id_type}, start long, stop long, line int, hash long"), "line-chunks")
+    places = found.groupBy("hash", "doc_id", "start", "stop", "line").agg(F.lit(1).alias("one")).drop("one")
     key = ["hash", "n_bytes"]
     places = places.withColumn("n_bytes", F.col("stop") - F.col("start"))
     # a null doc_id sorts first in min over structs
     groups = materialize(places.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1"), "repeated-chunks")
     hits = materialize(places.join(sized(groups), key), "chunk-places")
-    wanted = hits.groupBy(F.col("doc_id").alias("owner")).agg(F.collect_list(F.struct("start", "stop", "n_lines", "hash")).alias("chunks"))  # a document's own chunks
-    cut = docs.join(sized(materialize(wanted, "chunk-owners"), 50_000), F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "text", "chunks")
-    cut = cut.mapInArrow(_cut, f"doc_id {id_type}, start long, stop long, n_lines int, hash long, bytes binary").withColumn("n_bytes", F.col("stop") - F.col("start"))
+    wanted = hits.groupBy(F.col("doc_id").alias("owner")).agg(F.collect_list(F.struct("start", "stop", "line", "hash")).alias("chunks"))  # a document's own chunks
+    cut = docs.join(materialize(wanted, "chunk-owners").hint("merge"), F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "text", "chunks")
+    cut = cut.mapInArrow(_cut, f"doc_id {id_type}, start long, stop long, line int, hash long, bytes binary").withColumn("n_bytes", F.col("stop") - F.col("start"))
     cut = materialize(cut.join(sized(groups), key), "chunk-bytes").withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
     firsts = cut.where(is_first).dropDuplicates(key).select(*key, F.col("bytes").alias("first_bytes"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = cut.where(~is_first).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int"))
     same = others.join(firsts.hint("merge"), [*key, "salt"]).where(F.col("bytes") == F.col("first_bytes"))
-    per = same.select("doc_id", "start", "stop", "n_lines").distinct().groupBy(F.col("doc_id").alias("owner")).agg(F.collect_list(F.struct("start", "stop", "n_lines")).alias("cuts"))
-    final = docs.join(sized(materialize(per, "chunk-cuts"), 50_000), F.col("doc_id").eqNullSafe(F.col("owner")), "left").select("doc_id", "text", "cuts")
+    per = same.select("doc_id", "start", "stop", "line").distinct().groupBy(F.col("doc_id").alias("owner")).agg(F.collect_list(F.struct("start", "stop", "line")).alias("cuts"))
+    final = docs.join(materialize(per, "chunk-cuts").hint("merge"), F.col("doc_id").eqNullSafe(F.col("owner")), "left").select("doc_id", "text", "cuts")
     return final.mapInArrow(_remove, f"doc_id {id_type}, text string, n_lines long, n_removed_lines long, n_removed_chunks long")
 
 
