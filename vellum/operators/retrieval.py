@@ -141,6 +141,53 @@ def rerank(candidates: DataFrame, score: Column, query: str = "query_id", tie: s
     return candidates.withColumn("rerank_score", score).withColumn("rerank_rank", F.row_number().over(by))
 
 
+def best_lexical(queries: DataFrame, docs: DataFrame, k: int, longest: int = 4096) -> DataFrame:
+    """(query_id, path, rerank_score, rerank_rank): for each of ``queries`` (query_id, query) the best ``k`` of all ``docs`` (path, text) by lexical_score, ties by path.
+
+    The queries meet the documents in blocks of about QUERY_BLOCK; every task keeps its
+    own best ``k`` for each query, so no pair is left out and none is shuffled but these.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    asked = queries.select("query_id", F.coalesce(F.array_distinct(F.transform(T.words("query"), F.lower)), F.array()).alias("words"))
+    held = F.array_distinct(F.transform(T.words(F.substring(F.coalesce("text", F.lit("")), 1, longest)), F.lower))
+    rows = docs.select(F.col("path").cast("long").alias("path"), held.alias("held"))
+    n = -(-asked.count() // QUERY_BLOCK)
+
+    def best_of(ids: np.ndarray, sizes: np.ndarray, has: np.ndarray, known: pa.Array):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count, path = np.zeros((0, len(ids)), np.int32), np.zeros((0, len(ids)), np.int64)
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    part = batch.slice(i, 256)
+                    lists = part.column(1)
+                    place = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                    words = np.zeros((part.num_rows, len(known)), np.float32)
+                    words[row[place >= 0], place[place >= 0]] = 1
+                    count = np.concatenate((count, (words @ has).astype(np.int32)))
+                    path = np.concatenate((path, np.broadcast_to(part.column(0).to_numpy()[:, None], (part.num_rows, len(ids)))))
+                    best = np.lexsort((path, -count), axis=0)[:k]
+                    count, path = np.take_along_axis(count, best, 0), np.take_along_axis(path, best, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(count))), pa.array(np.tile(sizes, len(count))), pa.array(path.ravel()), pa.array(count.ravel())], names=["query_id", "asked", "path", "shared"])
+
+        return run
+
+    out = rows.limit(0).select(F.col("path").alias("query_id"), F.lit(0).alias("asked"), "path", F.lit(0).alias("shared"))
+    for i in range(n):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toPandas()
+        at = {w: j for j, w in enumerate(sorted({w for words in block.words for w in words}))}
+        has = np.zeros((len(at), len(block)), np.float32)
+        for j, words in enumerate(block.words):
+            has[[at[w] for w in words], j] = 1
+        found = rows.mapInArrow(best_of(block.query_id.to_numpy(np.int64), block.words.map(len).to_numpy(np.int32), has, pa.array(list(at), pa.string())), "query_id long, asked int, path long, shared int")
+        out = out.unionByName(found)
+    score = F.round(F.col("shared") / F.greatest("asked", F.lit(1)), 6)
+    return rerank(out, score).where(F.col("rerank_rank") <= k).select("query_id", "path", "rerank_score", "rerank_rank")
+
+
 def route(query: Column) -> Column:
     """A current, B as of a date, C history, D none: B and C go before A; B with C is ambiguous."""
     q = F.lower(query)
