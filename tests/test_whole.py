@@ -1,11 +1,14 @@
 """Queries over whole tables, against the SQL of their bounded forms without its bounds."""
 
+import hashlib
+import json
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from vellum.plans import catalog, q_retrieval
+from vellum.operators import audit
+from vellum.plans import catalog, q_hygiene, q_retrieval
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +32,42 @@ def test_rerank_of_all_documents(spark, small):
     sql = q_retrieval.RERANK.replace(" WHERE item_id < 20", "").replace(" WHERE doc_id % 40 = 0", "")
     assert "WHERE item_id" not in sql and "% 40" not in sql
     assert len(same(spark, small, "rerank_lexical_whole", sql)) > 60
+
+
+def test_sections_and_metrics_of_all_lines(spark, tiny):
+    for name, sql, bound in (("section_parse_whole", q_hygiene.SECTIONS, " WHERE l_orderkey < 3000"), ("ir_metrics_whole", q_retrieval.IR, " WHERE l_orderkey < 1000")):
+        assert bound in sql
+        same(spark, tiny, name, sql.replace(bound, ""))
+
+
+def chains(d):
+    """Brute force: each user's entries in order, every one with the hash of the one before."""
+    out = {}
+    for user, event, ts, verb, props in duckdb.execute(f"SELECT user_id, event_id, strftime(ts, '%Y-%m-%dT%H:%MZ'), event_type, props FROM '{d}/events.parquet' ORDER BY event_id").fetchall():
+        own = out.setdefault(user, [])
+        before = hashlib.sha256(own[-1][1].encode()).hexdigest() if own else audit.GENESIS
+        entry = {"format": "v2", "path": f"80 Daily/{event}.md", "prev_hash": before, "reason": f"k{json.loads(props)['k']}", "ts": ts, "verb": verb}
+        own.append((event, json.dumps(entry, separators=(",", ":"))))
+    return out
+
+
+def test_chains_of_all_events(spark, small):
+    want = chains(small)
+    assert max(e for own in want.values() for e, _ in own) >= 4000
+    got = {r.user_id: (r.n, r.n_errors, r["head"]) for r in catalog.queries()["chain_build_verify_whole"](spark, small).collect()}
+    assert got == {u: (len(own), 0, hashlib.sha256(own[-1][1].encode()).hexdigest()) for u, own in want.items()}
+    bad = set()
+    for user, own in want.items():
+        last = audit.GENESIS
+        for event, raw in own:
+            if event % 61 != 3:
+                raw = raw.replace("80 Daily", "81 Daily") if event % 97 == 0 else raw
+                bad |= {(user, event)} if json.loads(raw)["prev_hash"] != last else set()
+                last = hashlib.sha256(raw.encode()).hexdigest()
+    assert {tuple(r) for r in catalog.queries()["chain_tamper_whole"](spark, small).collect()} == bad
+
+
+def test_rules_of_all_parts(spark, small):
+    got = {r["name"]: r.outcome for r in catalog.queries()["rules_diff_whole"](spark, small).collect()}
+    keys = [k for (k,) in duckdb.execute(f"SELECT p_partkey FROM '{small}/part.parquet'").fetchall()]
+    assert got == {f"rule{k}": "extra" if k % 7 == 0 else "missing" if k % 5 == 0 else "drift" if k % 3 == 0 else "aligned" for k in keys}

@@ -94,9 +94,9 @@ HEADS = """SELECT o_orderkey AS node, last_value(o_orderkey) OVER (PARTITION BY
 count(*) OVER (PARTITION BY o_custkey) - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS length FROM orders"""
 
 
-def _entries(spark, d):
+def _entries(spark, d, bound="event_id < 4000"):
     ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'")
-    return table(spark, d, "events").where("event_id < 4000").select("user_id", "event_id", F.concat(F.lit("80 Daily/"), F.col("event_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("reason"), ts.alias("ts"), F.col("event_type").alias("verb"))
+    return table(spark, d, "events").where(bound).select("user_id", "event_id", F.concat(F.lit("80 Daily/"), F.col("event_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("reason"), ts.alias("ts"), F.col("event_type").alias("verb"))
 
 
 CHAIN = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, concat('80 Daily/', event_id, '.md') AS path, concat('k', props::JSON ->> 'k') AS reason, strftime(ts, '%Y-%m-%dT%H:%MZ') AS ts, event_type AS verb,
@@ -105,18 +105,26 @@ c(user_id, event_id, seq, raw) AS (SELECT user_id, event_id, seq, concat('{{"for
 UNION ALL SELECT e.user_id, e.event_id, e.seq, concat('{{"format":"v2","path":"', e.path, '","prev_hash":"', sha256(c.raw), '","reason":"', e.reason, '","ts":"', e.ts, '","verb":"', e.verb, '"}}') FROM c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1)"""
 
 
-def chain_build_verify(spark, d):
-    lines = audit.verify(audit.build(_entries(spark, d), "user_id", "event_id"), "user_id", "event_id")
+def chain_build_verify(spark, d, bound="event_id < 4000"):
+    lines = audit.verify(audit.build(_entries(spark, d, bound), "user_id", "event_id"), "user_id", "event_id")
     return lines.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_errors"), F.sha2(F.max_by("raw", "event_id"), 256).alias("head"))
 
 
-def chain_tamper(spark, d):
+def chain_tamper(spark, d, bound="event_id < 4000"):
     """One flipped byte breaks the entry after it; a removed row breaks the next one left."""
-    lines = audit.build(_entries(spark, d), "user_id", "event_id")
+    lines = audit.build(_entries(spark, d, bound), "user_id", "event_id")
     bad = lines.withColumn("raw", F.when(F.col("event_id") % 97 == 0, F.replace("raw", F.lit("80 Daily"), F.lit("81 Daily"))).otherwise(F.col("raw"))).where("event_id % 61 <> 3")
     return audit.verify(bad, "user_id", "event_id").where("not ok").select("user_id", "event_id")
 
 
+def chain_build_verify_whole(spark, d):
+    return chain_build_verify(spark, d, "true")
+
+
+def chain_tamper_whole(spark, d):
+    return chain_tamper(spark, d, "true")
+
+
 def json_strict(spark, d):
     k = F.col("p_partkey")
     good = audit.line(F.lit("0"), k.cast("string"), F.col("p_type"), F.lit("t"), F.lit("write"))
@@ -200,12 +208,17 @@ def vocab_drift(spark, d):
     return a.exceptAll(b).withColumn("side", F.lit("only_left")).union(b.exceptAll(a).withColumn("side", F.lit("only_right")))
 
 
-def rules_diff(spark, d):
-    want = table(spark, d, "part").where("p_partkey < 60").select(F.concat(F.lit("rule"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("content"))
-    have = table(spark, d, "part").where("p_partkey between 20 and 90").select(F.concat(F.lit("rule"), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_partkey") % 3 == 0, "changed").otherwise(F.col("p_type")).alias("content"))
+def rules_diff(spark, d, wanted="p_partkey < 60", held="p_partkey between 20 and 90"):
+    want = table(spark, d, "part").where(wanted).select(F.concat(F.lit("rule"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("content"))
+    have = table(spark, d, "part").where(held).select(F.concat(F.lit("rule"), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_partkey") % 3 == 0, "changed").otherwise(F.col("p_type")).alias("content"))
     return audit.diff(want, have)
 
 
+def rules_diff_whole(spark, d):
+    """Every part on one side at least: sevenths are extra, fifths missing."""
+    return rules_diff(spark, d, "p_partkey % 7 <> 0", "p_partkey % 7 = 0 or p_partkey % 5 <> 0")
+
+
 def plans_check(spark, d):
     """What an index claims of each nation's suppliers against what there is."""
     claim = table(spark, d, "nation").select("n_nationkey", (F.length("n_name") % 7).alias("claimed"))
@@ -261,8 +274,10 @@ QUERIES = {
     "orphan_notes": (orphan_notes, ORPHANS),
     "version_chain_heads": (version_chain_heads, HEADS),
     "chain_build_verify": (chain_build_verify, CHAIN + " SELECT user_id, count(*) AS n, 0::BIGINT AS n_errors, sha256(arg_max(raw, seq)) AS head FROM c GROUP BY user_id"),
+    "chain_build_verify_whole": (chain_build_verify_whole, None),
     "chain_tamper": (chain_tamper, CHAIN + """, b AS (SELECT user_id, event_id, CASE WHEN event_id % 97 = 0 THEN replace(raw, '80 Daily', '81 Daily') ELSE raw END AS raw FROM c WHERE event_id % 61 <> 3),
 l AS (SELECT *, regexp_extract(raw, '"prev_hash":"([0-9a-f]+)"', 1) AS held, lag(sha256(raw)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM b) SELECT user_id, event_id FROM l WHERE held <> coalesce(before, '""" + audit.GENESIS + "')"),
+    "chain_tamper_whole": (chain_tamper_whole, None),
     "json_strict": (json_strict, JSON_STRICT),
     "stale_rules": (stale_rules, FINDINGS + " SELECT note, rule, about FROM r WHERE rule NOT LIKE 'C%'"),
     "stale_rollup": (stale_rollup, FINDINGS + " SELECT rule, confidence, action, count(*) AS n, count(DISTINCT note) AS n_notes FROM r GROUP BY ALL"),
@@ -272,6 +287,7 @@ l AS (SELECT *, regexp_extract(raw, '"prev_hash":"([0-9a-f]+)"', 1) AS held, lag
     "index_orphans": (index_orphans, "SELECT right(c_name, 9) AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"),
     "vocab_drift": (vocab_drift, "WITH a AS (SELECT DISTINCT upper(left(event_type, 1)) AS word FROM events), b AS (SELECT DISTINCT o_orderstatus AS word FROM orders) SELECT word, 'only_left' AS side FROM a WHERE word NOT IN (SELECT word FROM b) UNION ALL SELECT word, 'only_right' FROM b WHERE word NOT IN (SELECT word FROM a)"),
     "rules_diff": (rules_diff, "SELECT concat('rule', p_partkey) AS name, CASE WHEN p_partkey < 20 THEN 'missing' WHEN p_partkey >= 60 THEN 'extra' WHEN p_partkey % 3 = 0 THEN 'drift' ELSE 'aligned' END AS outcome FROM part WHERE p_partkey <= 90"),
+    "rules_diff_whole": (rules_diff_whole, None),
     "plans_check": (plans_check, "SELECT n_nationkey, (length(n_name) % 7)::BIGINT AS claimed, count(s_suppkey) AS actual FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name HAVING length(n_name) % 7 <> count(s_suppkey)"),
     "plan_fk": (plan_fk, "SELECT 'category' AS fault, c_custkey::VARCHAR AS what FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT 'duplicate_id', right(c_name, 3) FROM customer WHERE c_custkey >= 900 GROUP BY 2 HAVING count(*) > 1"),
     "plan_progress": (plan_progress, "SELECT o_orderpriority AS phase, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*), 2) AS pct, bool_and(o_orderstatus = 'F') AS is_complete, bool_or(o_orderstatus = 'F') AND NOT bool_and(o_orderstatus = 'F') AS is_active FROM orders GROUP BY 1"),

@@ -54,11 +54,15 @@ def strike_rule(spark, d):
 STRIKE = "WITH w AS (SELECT o_custkey, o_orderkey, min((o_totalprice > 250000)::INT) OVER x AS m, count(*) OVER x AS n FROM orders WINDOW x AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT o_custkey, o_orderkey FROM w WHERE m = 1 AND n = 3"
 
 
-def section_parse(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 3000").select("l_orderkey", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber").alias("place"), F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("## "), F.col("l_returnflag"))).otherwise(F.lit("a line")).alias("text"))
+def section_parse(spark, d, bound="l_orderkey < 3000"):
+    rows = table(spark, d, "lineitem").where(bound).select("l_orderkey", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber").alias("place"), F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("## "), F.col("l_returnflag"))).otherwise(F.lit("a line")).alias("text"))
     return hygiene.sections(rows, "l_orderkey", "place", "text")
 
 
+def section_parse_whole(spark, d):
+    return section_parse(spark, d, "true")
+
+
 SECTIONS = "WITH l AS (SELECT l_orderkey, CASE WHEN l_partkey % 5 = 0 THEN l_returnflag END AS h, l_shipdate, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey < 3000), w AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM l) SELECT l_orderkey, header, count(*) AS n_lines FROM w WHERE header IS NOT NULL AND h IS NULL GROUP BY ALL"
 
 ZONES = {"20 Companies": ["the", "and"], "40 Meetings": ["der", "und", "ein"], "60 Concepts": ["de", "que", "un"]}
@@ -149,6 +153,7 @@ QUERIES = {
     "size_flags": (size_flags, "WITH r AS (SELECT doc_id, strlen(text)::INT AS bytes FROM documents) SELECT *, CASE WHEN bytes > 16384 THEN 'rotate' WHEN bytes > 8192 THEN 'large' ELSE 'watch' END AS flag FROM r WHERE bytes > 4096"),
     "strike_rule": (strike_rule, STRIKE),
     "section_parse": (section_parse, SECTIONS),
+    "section_parse_whole": (section_parse_whole, None),
     "zone_classify": (zone_classify, ZONE),
     "save_downgrade": (save_downgrade, DOWNGRADE),
     "catalog_recency": (catalog_recency, "SELECT o_orderpriority AS zone, o_orderdate::DATE AS touched, o_orderkey FROM orders ORDER BY 1, 2 DESC, 3 LIMIT 100"),

@@ -138,11 +138,15 @@ def eval_dimensions(spark, d):
 DIMENSIONS = f"WITH {SCORED}, a AS (SELECT o_orderpriority, round(100 * avg(s), 4) AS s_pct, round(100 * avg(x), 4) AS x_pct, round(100 * avg(t), 4) AS t_pct FROM o GROUP BY 1) SELECT *, round((s_pct + x_pct + t_pct) / 3, 4) AS mean_pct, s_pct >= 80 AND x_pct >= 80 AND t_pct >= 80 AS gate FROM a"
 
 
-def ir_metrics(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 1000").select(F.col("l_orderkey").alias("query_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")).alias("rank"), (F.col("l_partkey") % 3 == 0).cast("int").alias("relevant"))
+def ir_metrics(spark, d, bound="l_orderkey < 1000"):
+    rows = table(spark, d, "lineitem").where(bound).select(F.col("l_orderkey").alias("query_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")).alias("rank"), (F.col("l_partkey") % 3 == 0).cast("int").alias("relevant"))
     return retrieval.ir_metrics(rows)
 
 
+def ir_metrics_whole(spark, d):
+    return ir_metrics(spark, d, "true")
+
+
 IR = """WITH r AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber) AS rank, (l_partkey % 3 = 0)::INT AS relevant FROM lineitem WHERE l_orderkey < 1000),
 q AS (SELECT query_id, coalesce(sum(relevant) FILTER (rank = 1), 0) AS p1, coalesce(sum(relevant) FILTER (rank <= 5), 0) / 5.0::DOUBLE AS p5, coalesce(1.0::DOUBLE / min(rank) FILTER (relevant = 1), 0) AS rr, coalesce(sum(relevant) FILTER (rank <= 10), 0) AS found, sum(relevant) AS n, coalesce(sum(relevant / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg FROM r GROUP BY 1),
 i AS (SELECT *, (SELECT sum(1 / log2(k + 1)) FROM range(1, 6) t(k) WHERE k <= n) AS ideal FROM q)
@@ -208,6 +212,7 @@ QUERIES = {
     "confidence_tier": (confidence_tier, f"WITH {STEPS}, n AS (SELECT q.query_id, count(DISTINCT step) AS n_steps FROM q LEFT JOIN h ON h.query_id = q.query_id GROUP BY 1) SELECT *, CASE WHEN n_steps >= 2 THEN 'normal' WHEN n_steps = 1 THEN 'low' ELSE 'refuse' END AS tier FROM n"),
     "eval_dimensions": (eval_dimensions, DIMENSIONS),
     "ir_metrics": (ir_metrics, IR),
+    "ir_metrics_whole": (ir_metrics_whole, None),
     "faithfulness_rollup": (faithfulness_rollup, FAITH),
     "spot_check": (spot_check, "SELECT source, arg_min(doc_id, sha256(concat('2024-05:', doc_id))) AS doc_id FROM documents GROUP BY source"),
     "eval_balance": (eval_balance, BALANCE),
