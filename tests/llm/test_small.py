@@ -157,6 +157,14 @@ def test_toxicity(spark, small):
     assert (got[(got.toxic == 1)].predicted == 1).mean() > 0.7
 
 
+def test_toxicity_keeps_weaker_features(spark):
+    rng = random.Random(11)
+    made = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(700))
+    bad, good = made(), made()
+    model = toxicity.fit(spark.createDataFrame([(bad, 1), (good, 0)] * 12, "text string, label int"))
+    assert np.count_nonzero(model.weights) > 4000
+
+
 def test_toxicity_odd(spark):
     rows = spark.createDataFrame([(f"fine words here {i % 7}", 0) for i in range(40)] + [(f"you utter scumbag {i % 7}", 1) for i in range(20)], "text string, label int")
     model = toxicity.fit(rows)
