@@ -85,6 +85,9 @@ def test_trigram_queries():
     assert secrets.trigram_query(r"abc[0-9]+defg") == [[["abc"]], [["def", "efg"]]]
     assert secrets.trigram_query(r"(abc|xyz)d?") == [[["abc"], ["xyz"]]]
     assert secrets.trigram_query(r"[0-9a-f]+") == []
+    for pattern, text in ((r"key(\dabc)", "key1abc"), (r"key(.abc|xyz)", "key-abc"), (r"key(\dabc)?end", "key1abcend"), (r"(\dabc){2}", "1abc2abc")):
+        assert re.search(pattern, text) and all(any(all(g in text for g in clause) for clause in clauses) for clauses in secrets.trigram_query(pattern))
+    assert [["key"]] in secrets.trigram_query(r"key(\dabc)") and [["abc"]] in secrets.trigram_query(r"key(\dabc)")
     for rule in secrets.RULES:
         query = secrets.trigram_query(rule.pattern)
         samples = {"assign": ["password=abcdef", "API_KEY:abcdef"], "access": ["AKIA" + "A" * 16], "private_key": ["-----BEGIN PRIVATE KEY-----"]}

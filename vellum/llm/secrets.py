@@ -47,12 +47,13 @@ STRINGS = 64
 
 
 def _strings(items) -> tuple[list[set[str]], bool]:
-    """Stretches of a parsed pattern, each as the lower-case strings one of which every match contains there; whether the last is still open."""
+    """Stretches of a parsed pattern, each as the lower-case strings one of which every match contains there; whether they are one that stands for the whole pattern."""
     done: list[set[str]] = []
-    now = {""}
+    now, whole = {""}, True
 
     def close() -> None:
-        nonlocal now
+        nonlocal now, whole
+        whole = False  # also where nothing was open, as before a leading class
         if now != {""}:
             done.append(now)
         now = {""}
@@ -69,33 +70,33 @@ def _strings(items) -> tuple[list[set[str]], bool]:
         elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
             extend({chr(a).lower() for _, a in arg})
         elif op is sre.SUBPATTERN:
-            inner, whole = _strings(arg[3])
-            if whole and len(inner) == 1:
+            inner, alone = _strings(arg[3])
+            if alone and len(inner) == 1:
                 extend(inner[0])
             else:
                 close()
                 done += inner
         elif op is sre.BRANCH:
             each = [_strings(x) for x in arg[1]]
-            if all(whole and len(inner) == 1 for inner, whole in each):
+            if all(alone and len(inner) == 1 for inner, alone in each):
                 extend(set().union(*(inner[0] for inner, _ in each)))
             else:
                 close()
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
             low, high, sub = arg
-            inner, whole = _strings(sub)
-            if whole and len(inner) == 1 and (low, high) == (0, 1):
+            inner, alone = _strings(sub)
+            if alone and len(inner) == 1 and (low, high) == (0, 1):
                 extend({""} | inner[0])
-            elif whole and len(inner) == 1 and low == high and low <= 8:
+            elif alone and len(inner) == 1 and low == high and low <= 8:
                 for _ in range(low):
                     extend(inner[0])
             else:
                 close()
         elif op is not sre.AT:
             close()
-    whole = not done
+    one = whole
     close()
-    return done, whole
+    return done, one
 
 
 def trigram_query(pattern: str) -> list[list[list[str]]]:
