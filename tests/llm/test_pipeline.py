@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from tests_llm_help import contaminated, near_components
+from llm_help import contaminated, near_components
 from vellum.llm import pieces, quality
 from vellum.llm.scratch import documents, materialize
 
