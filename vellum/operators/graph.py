@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import link_basename, wikilinks
-from vellum.operators.scratch import materialize, scratch_path
+from vellum.scratch import materialize, scratch_path
 
 
 def links(notes: DataFrame, key: str = "path", text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators.scratch import materialize
+from vellum.scratch import materialize
 
 
 def tiered_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:

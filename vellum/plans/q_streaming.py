@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.operators.scratch import scratch_path
+from vellum.scratch import scratch_path
 from vellum.streaming import drops
 
 
