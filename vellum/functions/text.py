@@ -15,12 +15,12 @@ NGRAM_STOPWORDS = "the a an to of and in is it be that for on with as this are w
 # Phrases counted as signs of generated prose.
 TELL_PHRASES = (
     "warm regards",
-    "i very much value",
+    "I very much value",
     "thoughtful and professional",
-    "looking ahead, i remain",
-    "i'm excited to",
+    "looking ahead, I remain",
+    "I'm excited to",
     "thrilled to announce",
-    "i'm reaching out to",
+    "I'm reaching out to",
     "delve into",
     "ensure that",
     "leverage our",
@@ -132,6 +132,85 @@ def verdict(reply: Column) -> tuple[Column, Column]:
     return F.when(found != "", found), F.when(found != "", F.regexp_extract(text, pattern, 2)).otherwise(text)
 
 
+#: Characters that may not stand beside a file name that is mentioned; a slash counts only before a path that is rewritten.
+BESIDE = r"A-Za-z0-9_\-"
+
+
+def quoted(text: str) -> str:
+    return "".join("\\" + c if not (c.isalnum() or c in "_ ") else c for c in text)
+
+
+def mentions(text: Column, name: Column) -> Column:
+    """Whether a text holds a file name that no letter, digit, dash or underscore stands beside."""
+    pattern = F.concat(F.lit(rf"(?<![{BESIDE}])\Q"), name, F.lit(rf"\E(?![{BESIDE}])"))
+    return F.regexp_like(text, pattern)
+
+
+def rewrite_mentions(text: Column, old: str, new: str) -> Column:
+    """Every ``old`` that stands on its own, also before no slash, as ``new``."""
+    return F.regexp_replace(text, rf"(?<![{BESIDE}/])" + quoted(old) + rf"(?![{BESIDE}])", new.replace("\\", "\\\\").replace("$", "\\$"))
+
+
+def log_header(ts: Column, verb: Column, path: Column) -> Column:
+    """``## [day] verb | name`` above an entry of the log."""
+    return F.concat(F.lit("## ["), F.substring(ts, 1, 10), F.lit("] "), verb, F.lit(" | "), F.regexp_extract(path, r"([^/\\]+)$", 1))
+
+
+def reference_links(text: Column) -> Column:
+    """Targets of Markdown links to HTML files; without any, bare names of plans."""
+    found = F.regexp_extract_all(text, F.lit(r"\]\(([^)]+\.html)\)"), F.lit(1))
+    return F.when(F.size(found) > 0, found).otherwise(F.regexp_extract_all(text, F.lit(r"`?(_plan_[^`\s]+\.html)`?"), F.lit(1)))
+
+
+def articles(html: Column, kind: str) -> Column:
+    """How many ``article`` elements have a class."""
+    return F.regexp_count(html, F.lit(rf'(?i)<article[^>]*\bclass\s*=\s*"[^"]*\b{kind}\b[^"]*"'))
+
+
+# Synonyms of the levels of effort.
+EFFORT = {"low": "Low", "medium": "Medium", "med": "Medium", "high": "High", "extra": "Extra", "xhigh": "Extra", "x-high": "Extra", "extra high": "Extra", "extrahigh": "Extra", "extra-high": "Extra", "max": "Max", "maximum": "Max"}
+
+
+def effort(value: Column) -> Column:
+    """A level of effort by its synonyms; others trimmed, null as empty."""
+    trimmed = F.trim(F.coalesce(value, F.lit("")))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in EFFORT.items() for x in kv]), F.lower(trimmed)), trimmed)
+
+
+def family(label: Column, families: list[str], default: str) -> Column:
+    """The first of ``families`` that a label names in any case."""
+    return F.coalesce(*[F.when(F.contains(F.lower(label), F.lit(f.lower())), F.lit(f)) for f in families], F.lit(default))
+
+
+# Suffixes of siblings in a chain of versions, in the order in which they are taken off.
+SIBLINGS = ("_galp", "_co_ceo", "_readonly", "_full", "_amazon", "_draft", "_clean", r"_comentada\d*", r"_v\d+(?:\.\d+)*", r"_ver\d+", r"_vcomentada\d+", r"_v\d+_full", r"_v\d+_co_ceo", r"_v\d+_galp", r"_v\d+_readonly")
+
+
+def chain_key(name: Column) -> Column:
+    """What versions and siblings of one document have in common: no suffixes, nothing from an inner version on, no separators."""
+    x = reduce(lambda x, suffix: F.regexp_replace(x, suffix + "$", ""), SIBLINGS, F.lower(name))
+    inner = F.regexp_extract(x, r"^(.*?)_v\d+_", 1)
+    return F.regexp_replace(F.when(x.rlike(r"^.*?_v\d+_"), inner).otherwise(x), r"[_\-\s]+", "")
+
+
+def first_json(text: Column) -> Column:
+    """The first ``{...}`` without an inner brace; empty if there is none."""
+    return F.regexp_extract(text, r"\{[^}]+\}", 0)
+
+
+def unfenced(text: Column) -> Column:
+    """A reply without the code fence around it."""
+    x = F.regexp_replace(F.coalesce(text, F.lit("")), r"\A\s+|\s+\z", "")
+    return F.when(F.startswith(x, F.lit("```")), F.regexp_replace(F.regexp_replace(x, r"\A```[a-zA-Z]*\n", ""), r"\n```\z", "")).otherwise(x)
+
+
+def table_cells(line: Column) -> Column:
+    """Cells of a line of a pipe table, without blanks and code marks; empty if it is none or the rule under a header."""
+    x = F.trim(line)
+    cells = F.transform(F.split(F.regexp_replace(x, r"^\||\|[^|]*$", ""), r"\|"), lambda c: F.regexp_replace(F.trim(c), "^`+|`+$", ""))
+    return F.when(F.startswith(x, F.lit("|")) & ~F.startswith(x, F.lit("|---")), cells).otherwise(F.array().cast("array<string>"))
+
+
 def safe_file_name(name: Column, sha: Column, taken: Column) -> Column:
     """Keep letters, digits, dot, dash and underscore; add eight digits of the hash where the name is taken."""
     clean = F.regexp_replace(name, r"[^A-Za-z0-9._\-]+", "_")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,26 +15,56 @@ KEYS = ("format", "path", "prev_hash", "reason", "ts", "verb")
 
 
 def line(prev: Column, path: Column, reason: Column, ts: Column, verb: Column) -> Column:
-    """An entry as canonical JSON: keys in order, no blanks."""
-    parts = [F.lit('{"format":"v2","path":"'), path, F.lit('","prev_hash":"'), prev, F.lit('","reason":"'), reason, F.lit('","ts":"'), ts, F.lit('","verb":"'), verb, F.lit('"}')]
-    return F.concat(*parts)
+    """An entry as canonical JSON: keys in order, no blanks, values escaped; null as empty."""
+    values = {"format": F.lit("v2"), "path": path, "prev_hash": prev, "reason": reason, "ts": ts, "verb": verb}
+    return F.to_json(F.struct(*[F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in values.items()]))
 
 
 def build(entries: DataFrame, chain: str, seq: str) -> DataFrame:
     """(chain, seq, raw): each entry with the hash of the one before it, as an append would have written it.
 
     Appending is sequential within a chain; chains are independent. Entries need
-    columns path, reason, ts and verb. A chain is held as one array, whose length log
-    rotation bounds.
+    columns path, reason, ts and verb; a null counts as empty. A chain's entries meet
+    in order in one task, which holds the last hash only. The JSON is that of sorted
+    keys, no blanks and characters beyond ASCII as they are.
     """
-    listed = entries.groupBy(chain).agg(F.sort_array(F.collect_list(F.struct(seq, "path", "reason", "ts", "verb"))).alias("entries"))
-    state = F.struct(F.lit(GENESIS).alias("prev"), F.array().cast(f"array<struct<{seq}:bigint,raw:string>>").alias("out"))
-
-    def add(acc: Column, e: Column) -> Column:
-        raw = line(acc["prev"], e["path"], e["reason"], e["ts"], e["verb"])
-        return F.struct(F.sha2(raw, 256).alias("prev"), F.concat(acc["out"], F.array(F.struct(e[seq].cast("bigint").alias(seq), raw.alias("raw")))).alias("out"))
-
-    return listed.select(chain, F.explode(F.aggregate("entries", state, add, lambda acc: acc["out"])).alias("e")).select(chain, f"e.{seq}", "e.raw")
+    key = dict(entries.dtypes)[chain]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, GENESIS
+        for batch in batches:
+            out = []
+            owners, numbers, *rest = (c.to_pylist() for c in batch.columns)
+            for owner, *values in zip(owners, *rest, strict=True):
+                if now != (owner,):
+                    now, last = (owner,), GENESIS
+                entry = dict(zip(("path", "reason", "ts", "verb"), (v or "" for v in values), strict=True)) | {"format": "v2", "prev_hash": last}
+                out.append(json.dumps(entry, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+                last = hashlib.sha256(out[-1].encode()).hexdigest()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64()), pa.array(out, pa.string())], names=[chain, seq, "raw"])
+
+    rows = entries.select(chain, F.col(seq).cast("long").alias(seq), *[F.col(c).cast("string").alias(c) for c in ("path", "reason", "ts", "verb")])
+    return rows.repartition(chain).sortWithinPartitions(chain, seq).mapInArrow(run, f"{chain} {key}, {seq} long, raw string")
+
+
+def rotate(lines: DataFrame, chain: str, seq: str, tail: int = 60) -> DataFrame:
+    """Add ``segment`` and ``anchor``: the last ``tail`` entries of a chain stay live, the rest is archived.
+
+    The anchor of a live segment is the hash of the last archived line, so that it is
+    verified without the archive; that of an archive is the chain's own start.
+    """
+    place = F.row_number().over(Window.partitionBy(chain).orderBy(F.desc(seq)))
+    rows = lines.withColumn("place", place)
+    cut = rows.where(F.col("place") == tail + 1).select(chain, F.sha2("raw", 256).alias("cut"))
+    live = F.col("place") <= tail
+    out = rows.join(cut, chain, "left").withColumn("segment", F.when(live, "live").otherwise("archive"))
+    return out.withColumn("anchor", F.when(live, F.coalesce("cut", F.lit(GENESIS))).otherwise(F.lit(GENESIS))).drop("place", "cut")
+
+
+def verify_segments(lines: DataFrame, chain: str, seq: str) -> DataFrame:
+    """``verify`` for rotated lines: each segment's first entry is held against its anchor."""
+    before = F.lag(F.sha2("raw", 256)).over(Window.partitionBy(chain, "segment").orderBy(seq))
+    return lines.withColumn("ok", F.coalesce(F.get_json_object("raw", "$.prev_hash") == F.coalesce(before, F.col("anchor")), F.lit(False)))
 
 
 def verify(lines: DataFrame, chain: str, seq: str, anchor: str = GENESIS) -> DataFrame:

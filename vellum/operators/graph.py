@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions import text as T
 from vellum.functions.text import link_basename, wikilinks
-from vellum.scratch import materialize, scratch_path
+from vellum.scratch import materialize
+
+#: Levels of a search that are planned as one job.
+HOPS = 4
 
 
 def links(notes: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -29,25 +33,58 @@ def resolve(found: DataFrame, basenames: DataFrame, aliases: DataFrame) -> DataF
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, depth) of everything reachable from ``seeds`` (node) over ``edges`` (src, dst), each at its least depth.
 
-    A frontier loop: each round joins the last frontier with the edges, drops what was
-    seen, and writes the result beside the earlier ones, so that neither the plan nor
-    the driver grows.
+    A frontier loop of HOPS levels a round: each level joins the one before with the
+    edges and drops what was seen; the round's levels are written together, so that
+    neither the plan nor the driver grows and the number of jobs is a part of the
+    depth.
     """
     spark = edges.sparkSession
-    edges = materialize(edges.select("src", "dst").distinct(), "edges")
-    folder, level = scratch_path(spark, "reached"), 0
-    seeds.select("node").distinct().write.parquet(f"{folder}/depth=0")
-    schema = seeds.select("node").schema
+    kind = seeds.schema["node"].dataType
+    edges = materialize(edges.select("src", F.col("dst").cast(kind).alias("dst")).distinct(), "edges")
+    written = [materialize(seeds.select("node", F.lit(0).alias("depth")).distinct(), "reached")]
+    level = 0
     while depth is None or level < depth:
-        level += 1
-        frontier = spark.read.schema(schema).parquet(f"{folder}/depth={level - 1}")
-        seen = spark.read.schema(schema).parquet(*[f"{folder}/depth={k}" for k in range(level)])
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").cast(schema["node"].dataType).alias("node")).distinct()
-        step.join(seen, "node", "left_anti").write.parquet(f"{folder}/depth={level}")
-        if not spark.read.schema(schema).parquet(f"{folder}/depth={level}").limit(1).count():
+        seen, last = reduce(DataFrame.unionByName, written), written[-1].where(F.col("depth") == level)
+        levels = []
+        for _ in range(HOPS if depth is None else min(HOPS, depth - level)):
+            level += 1
+            step = last.select("node").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            last = step.join(reduce(DataFrame.unionByName, [seen, *levels]).select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"))
+            levels.append(last)
+        written.append(materialize(reduce(DataFrame.unionByName, levels), "reached"))
+        if not written[-1].where(F.col("depth") == level).limit(1).count():
             break
-    found = [spark.read.schema(schema).parquet(f"{folder}/depth={k}").withColumn("depth", F.lit(k)) for k in range(level + 1)]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, written)
+
+
+def version_reached(notes: DataFrame, name: str = "basename") -> Column:
+    """Whether a name is a version of something: its stem differs from it. So any name with a version's tail is reached through its chain."""
+    return T.stem(F.concat(F.col(name), F.lit(".md"))) != F.lower(name)
+
+
+def reach(notes: DataFrame, reached: DataFrame, bound: list[str], unbound: list[str], name: str = "basename") -> DataFrame:
+    """Add ``reach``: what saves a note from being an orphan, the first of wikilink, base, allow_list and version; null for an orphan.
+
+    ``reached`` (node) are the names that links reach, ``bound`` the types that a base
+    shows, ``unbound`` those that need none.
+    """
+    near = reached.select(F.col("node").alias("reached_name")).distinct().withColumn("linked", F.lit(True))
+    rows = notes.join(near, F.col(name) == F.col("reached_name"), "left").drop("reached_name")
+    how = F.when(F.col("linked"), "wikilink").when(F.col("type").isin(bound), "base").when(F.col("type").isin(unbound), "allow_list").when(version_reached(notes, name), "version")
+    return rows.withColumn("reach", how).drop("linked")
+
+
+def mentioned(notes: DataFrame, names: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(name, key) of the notes that mention a file name (``names``: name) standing on its own.
+
+    Names are joined by their first run of letters, digits, dashes and underscores, and
+    only such pairs are matched, so the work follows the mentions.
+    """
+    runs = lambda c: F.regexp_extract_all(c, F.lit(rf"[{T.BESIDE}]+"), F.lit(0))
+    heads = names.select("name", F.get(runs(F.col("name")), F.lit(0)).alias("head")).where("head is not null").distinct()
+    tokens = notes.select(key, F.explode(F.array_distinct(runs(F.col(text)))).alias("head"))
+    near = tokens.join(heads, "head").select(key, "name")
+    return near.join(notes.select(key, text), key).where(T.mentions(F.col(text), F.col("name"))).select("name", key).distinct()
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import dates
+from vellum.functions import text as T
 
 
 def expiry(recommendations: DataFrame, today: str) -> DataFrame:
@@ -72,16 +73,24 @@ def column_letter(number: Column) -> Column:
     return F.when(high > 0, F.concat(one(high), one((number - 1) % 26 + 1))).otherwise(one(number))
 
 
-def merge_frontmatter(user: Column, computed: Column) -> Column:
-    """Maps of strings merged: a user's non-null value wins, tags of both are kept, each once."""
-    keys = F.array_distinct(F.concat(F.coalesce(F.map_keys(user), F.array().cast("array<string>")), F.map_keys(computed)))
+# Keys that ingestion may write at the top of a note's frontmatter.
+TOP_LEVEL = "title source_file original_path file_type extracted_at page_count type document_type date slide_count participants meeting_date domain key_data document_date is_latest_version tags".split()
 
-    def value(k: Column) -> Column:
-        u, c = F.element_at(user, k), F.element_at(computed, k)
-        tags = F.array_join(F.array_distinct(F.filter(F.concat(F.split(F.coalesce(u, F.lit("")), ","), F.split(F.coalesce(c, F.lit("")), ",")), lambda t: t != "")), ",")
-        return F.when(k == "tags", tags).otherwise(F.coalesce(u, c))
 
-    return F.map_from_arrays(keys, F.transform(keys, value))
+def merge_frontmatter(user: Column, computed: Column, top_level: list[str] = TOP_LEVEL) -> Column:
+    """Maps of strings merged, as a struct: ``top`` and ``warnings``.
+
+    At the top stand the computed values of top-level keys; a user's value wins, and
+    for a top-level key only where it is not null. So a user's tags stay as they are.
+    Other keys of the user pass through; ``pipeline`` is dropped with a warning.
+    """
+    none = F.array().cast("array<string>")
+    held = F.array(*map(F.lit, top_level))
+    mine = F.filter(F.coalesce(F.map_keys(user), none), lambda k: (k != "pipeline") & (~F.array_contains(held, k) | F.element_at(user, k).isNotNull()))
+    theirs = F.filter(F.coalesce(F.map_keys(computed), none), lambda k: F.array_contains(held, k) & ~F.array_contains(mine, k))
+    top = F.map_from_arrays(F.concat(mine, theirs), F.concat(F.transform(mine, lambda k: F.element_at(user, k)), F.transform(theirs, lambda k: F.element_at(computed, k))))
+    warned = F.when(F.array_contains(F.coalesce(F.map_keys(user), none), "pipeline"), F.array(F.lit("user_edit_in_pipeline_ns"))).otherwise(none)
+    return F.struct(top.alias("top"), warned.alias("warnings"))
 
 
 def scaffold_path(present: Column, content: Column, user_scope: Column) -> Column:
@@ -90,7 +99,10 @@ def scaffold_path(present: Column, content: Column, user_scope: Column) -> Colum
 
 
 def rewritten(text: Column, moves: list[tuple[str, str]]) -> Column:
-    """Full paths first, then bare names at word boundaries."""
+    """For each move the full path first, then the bare name where it changes; both only where they stand on their own."""
     for old, new in moves:
-        text = F.replace(text, F.lit(old), F.lit(new))
+        text = T.rewrite_mentions(text, old, new)
+        old_name, new_name = old.rpartition("/")[2], new.rpartition("/")[2]
+        if old_name != new_name:
+            text = T.rewrite_mentions(text, old_name, new_name)
     return text

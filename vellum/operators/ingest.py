@@ -47,15 +47,22 @@ def unresolved(manifest: DataFrame) -> DataFrame:
 def supersession(files: DataFrame, stem: str, at: str, key: str, days: int = 90, beyond: bool = False) -> DataFrame:
     """Earlier rows of the same stem within ``days`` before each row, or those before that; pairs, newest first.
 
-    Without a date a row counts as always in the window. The pairs come from an equality join on the stem.
+    Without a date a row counts as always in the window. Within the window a row meets
+    only those of its stem's own span of ``days`` and of the one before, so a stem with
+    many rows makes no more pairs than lie near each other and is spread by span.
+    Beyond it every older pair is a result.
     """
     a = files.select(F.col(stem).alias("stem"), F.col(key).alias("new_key"), F.col(at).alias("new_at"))
     b = files.select(F.col(stem).alias("stem"), F.col(key).alias("old_key"), F.col(at).alias("old_at"))
     gap = F.datediff("new_at", "old_at")
-    earlier = F.col("old_at").isNull() | (F.col("old_at") < F.col("new_at"))
-    within = F.col("old_at").isNull() | (gap <= days)
-    pairs = a.join(b, "stem").where((F.col("new_key") != F.col("old_key")) & earlier)
-    return pairs.where(~within if beyond else within).withColumn("gap_days", gap)
+    span = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
+    other = F.col("new_key") != F.col("old_key")
+    if beyond:
+        return a.join(b, "stem").where(other & (F.col("old_at") < F.col("new_at")) & (gap > days)).withColumn("gap_days", gap)
+    near = a.withColumn("span", F.explode(F.array(span("new_at"), span("new_at") - 1))).join(b.where("old_at is not null").withColumn("span", span("old_at")), ["stem", "span"]).drop("span")
+    near = near.where(other & (F.col("old_at") < F.col("new_at")) & (gap <= days))
+    dateless = a.join(b.where("old_at is null"), "stem").where(other)
+    return near.unionByName(dateless.select(near.columns)).withColumn("gap_days", gap)
 
 
 def run_cut(files: DataFrame, run: str, order: list[str], size: str, limit: int) -> DataFrame:
@@ -64,6 +71,23 @@ def run_cut(files: DataFrame, run: str, order: list[str], size: str, limit: int)
     return files.withColumn("state", F.when(F.coalesce(before, F.lit(0)) >= limit, "skipped").otherwise("processed"))
 
 
+def recovered(manifest: DataFrame, staged: DataFrame) -> DataFrame:
+    """Rows that a recovery appends: an unresolved intent whose original and note are both staged is committed, with its text's hash; others are skipped with the reason.
+
+    ``staged``: run_id, sha256, has_original, has_note.
+    """
+    rows = unresolved(manifest).join(staged, ["run_id", "sha256"], "left")
+    reason = F.when(~F.coalesce("has_original", F.lit(False)), "staged binary missing").when(~F.coalesce("has_note", F.lit(False)), "staged note missing")
+    kept = [c for c in manifest.columns if c != "status"]
+    return rows.select(*kept, F.when(reason.isNull(), "committed").otherwise("skipped").alias("status"), reason.alias("reason"))
+
+
+def rolled_back(manifest: DataFrame, run: str, order: list[str]) -> DataFrame:
+    """Rows that a rollback of a run appends: one for each file whose last state in the run is committed, so it does not repeat."""
+    now = current_state(manifest.where(F.col("run_id") == run), ["run_id", "sha256"], order)
+    return now.where("status = 'committed'").withColumn("status", F.lit("rolled_back"))
+
+
 def superseded_versions(files: DataFrame, name: str = "name") -> DataFrame:
     """All but the last version of each stem, for names like ``stem_v2.md``; minor versions tie, then the name decides."""
     parts = files.select(name, F.regexp_extract(name, r"^(.+)_v(\d+)(?:\.\d+)?\.md$", 1).alias("stem"), F.regexp_extract(name, r"^(.+)_v(\d+)(?:\.\d+)?\.md$", 2).alias("v")).where("stem <> ''")

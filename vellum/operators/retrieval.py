@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.scratch import materialize
 
 # Words that tell a query's temporal intent.
 CURRENT = ("current", "latest", "now", "today", "most recent", "live", "as it stands")
@@ -16,7 +17,9 @@ AS_OF = ("as of", "effective", "back when", "prior to", "before")
 HISTORY = ("history", "historical", "evolved", "evolution", "changed", "previous", "predecessor", "how did", "how has", "version chain", "over time", "progression")
 
 #: Queries that go with a task at a time.
-QUERY_BLOCK = 1000
+QUERY_BLOCK = 8000
+#: Vectors of one part in the search for pairs.
+PART = 2000
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", dim: int | None = None) -> DataFrame:
@@ -24,7 +27,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", c
 
     Vectors of another length are left out. A stated query set meets all vectors in
     blocks of about QUERY_BLOCK queries; every task keeps its own best ``k`` for each
-    query, and only these few are ranked against each other.
+    query, and only these few are ranked against each other. Where there are several
+    blocks, each one's result is written before the next comes to the driver.
     """
     import numpy as np
 
@@ -39,9 +43,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", c
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = None
-            for batch in batches:
-                if not len(batch):
-                    continue
+            for batch in (b.iloc[i : i + 256] for b in batches for i in range(0, len(b), 256)):
                 score = np.round(matrix @ unit(np.stack(batch.v.to_list())).T, 6)
                 other = batch.id.to_numpy()
                 score[ids[:, None] == other[None, :]] = -np.inf
@@ -59,6 +61,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", c
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).toPandas().sort_values("id")
         if len(block):
             more = rows.mapInPandas(best_of(block), "query_id long, id long, score double")
+            more = materialize(more, "nearest-of-block") if n > 1 else more
             out = more if out is None else out.unionByName(more)
     if out is None:
         return rows.limit(0).select(F.col("id").alias("query_id"), F.col("id").alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
@@ -66,15 +69,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", c
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("id").alias(key), "score", "rank")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", column: str = "embedding", parts: int = 8) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", column: str = "embedding", part: int = PART) -> DataFrame:
     """(a, b, score) of the pairs a < b whose cosine reaches the threshold.
 
-    Blocked: vectors fall into ``parts`` parts by key; each pair of parts meets in one
-    group, within which pairs are scored as a matrix product, and only those that reach
-    the threshold come out.
+    Blocked: vectors fall by key into parts of about ``part``; each pair of parts meets
+    in one group, within which pairs are scored as a matrix product, and only those
+    that reach the threshold come out. All pairs are what is asked for, so the work
+    grows with the square of the vectors, and a group with the parameter only.
     """
     import numpy as np
 
+    parts = max(1, -(-vectors.count() // part))
+
     rows = vectors.select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
     meet = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     spread = rows.select("id", "v", "part", F.explode(meet).alias("m")).select("id", "v", "part", "m.i", "m.j")
@@ -100,9 +106,10 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", col
 def greedy_cap(pairs: DataFrame, cap: int, top: int | None = None) -> DataFrame:
     """Pairs taken in falling order of score while neither side has ``cap``; ties by (a, b).
 
-    Order-dependent by definition: one pass over the ordered candidates, which the
-    threshold of the pair search bounds, streaming through one task with the counts
-    of the sides seen.
+    Order-dependent by definition: a pass over the ordered candidates, with the counts
+    of the sides seen. What is taken from the best pairs does not depend on the rest,
+    so with ``top`` only the best ones are passed over, and more of them only while
+    too few are taken.
     """
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,8 +124,17 @@ def greedy_cap(pairs: DataFrame, cap: int, top: int | None = None) -> DataFrame:
                     rows.append(r)
             yield pd.DataFrame(rows, columns=["a", "b", "score"]).astype({"a": "int64", "b": "int64", "score": "float64"})
 
-    ordered = pairs.select("a", "b", "score").repartition(1).sortWithinPartitions(F.desc("score"), "a", "b")
-    return ordered.mapInPandas(take, "a long, b long, score double")
+    schema, order = "a long, b long, score double", [F.desc("score"), F.asc("a"), F.asc("b")]
+    pairs = pairs.select("a", "b", "score")
+    if top is None:
+        return pairs.repartition(1).sortWithinPartitions(*order).mapInPandas(take, schema)
+    pairs = materialize(pairs, "scored-pairs")
+    most, n = 50 * top, pairs.count()
+    while True:
+        found = materialize(pairs.orderBy(*order).limit(most).coalesce(1).sortWithinPartitions(*order).mapInPandas(take, schema), "taken-pairs")
+        if most >= n or found.count() >= top:
+            return found
+        most *= 8
 
 
 def see_also(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions import text as T
+
 CONFIDENCE = {"A.1": "HIGH", "A.2": "MEDIUM", "A.3": "MEDIUM", "B.1": "HIGH", "B.2": "HIGH", "B.3": "LOW", "C.1": "MEDIUM"}
 ACTION = {"A.1": "update-citation", "A.2": "review", "A.3": "review", "B.1": "update-citation", "B.2": "update-citation", "B.3": "monitor", "C.1": "review"}
 
@@ -27,6 +29,19 @@ def own_findings(notes: DataFrame, state: DataFrame) -> DataFrame:
     return rows.select("note", rule.alias("rule"), F.col("sha").alias("about")).where("rule is not null")
 
 
+def stem_latest(manifest: DataFrame) -> DataFrame:
+    """(stem, latest_sha, latest_at): the newest committed file of each stem by its time of extraction; ties by hash. ``manifest``: sha, source_file, extracted_at, status."""
+    rows = manifest.where("status = 'committed'").select(T.stem(F.col("source_file")).alias("stem"), "sha", "extracted_at").where("stem <> ''")
+    last = rows.groupBy("stem").agg(F.max(F.struct("extracted_at", "sha")).alias("last"))
+    return last.select("stem", F.col("last.sha").alias("latest_sha"), F.col("last.extracted_at").alias("latest_at"))
+
+
+def stem_findings(notes: DataFrame, latest: DataFrame) -> DataFrame:
+    """Rule A.3: a note without a hash of its own whose stem has a file extracted after the note. ``notes``: note, sha, source_file, extracted_at."""
+    rows = notes.where("sha is null and source_file is not null").withColumn("stem", T.stem(F.col("source_file"))).join(latest, "stem")
+    return rows.where("latest_at > extracted_at").select("note", F.lit("A.3").alias("rule"), F.col("stem").alias("about"))
+
+
 def citation_findings(notes: DataFrame, citations: DataFrame) -> DataFrame:
     """Rules B.1 to B.3, the first that applies for each cited source: not latest, superseded, newer than the note.
 

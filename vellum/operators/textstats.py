@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.scratch import materialize
 
 
 def sentence_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,15 +30,24 @@ def order_statistics(values: DataFrame, column: str, shares: dict[str, float]) -
 
 
 def ngrams(docs: DataFrame, n: int = 3, top: int = 20, text: str = "text") -> DataFrame:
-    """Most frequent n-grams that are not all stopwords, within a document; ties by n-gram."""
+    """Most frequent n-grams that are not all stopwords, within a document; ties by n-gram.
+
+    Hashes of the n-grams are counted; only those as frequent as the last that is asked
+    for are spelt out and counted again by their words.
+    """
     tokens = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: t != "")
     rows = docs.select(tokens.alias("t")).where(F.size("t") >= n)
     # the words at one place of an n-gram each, cut to the number of n-grams, side by side
     shifted = [F.slice("t", i + 1, F.size("t") - n + 1).alias(f"w{i}") for i in range(n)]
-    grams = rows.select(F.inline(F.arrays_zip(*shifted)))
     names = [f"w{i}" for i in range(n)]
     stop = reduce(Column.__and__, (F.col(c).isin(T.NGRAM_STOPWORDS) for c in names))
-    return grams.where(~stop).groupBy(F.concat_ws(" ", *names).alias("ngram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(top)
+    grams = rows.select(F.inline(F.arrays_zip(*shifted))).where(~stop).select(*names, F.xxhash64(*names).alias("h"))
+    counted = materialize(grams.groupBy("h").agg(F.count("*").alias("n")), "ngram-counts")
+    least = counted.orderBy(F.desc("n")).limit(top).agg(F.min("n")).first()[0]
+    often = counted.where(F.col("n") >= (least or 0)).select("h")
+    # about ``top`` hashes, and more only where many are as frequent as the last
+    spelt = grams.join(F.broadcast(often) if least and often.limit(10_001).count() <= 10_000 else often, "h", "left_semi")
+    return spelt.groupBy(F.concat_ws(" ", *names).alias("ngram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(top)
 
 
 def openers(docs: DataFrame, top: int = 10, text: str = "text") -> DataFrame:
@@ -57,14 +67,14 @@ def closers(docs: DataFrame, signs: list[str] = T.SIGN_OFFS, top: int = 10, text
 
 
 def phrase_counts(docs: DataFrame, phrases: tuple[str, ...] = T.TELL_PHRASES, text: str = "text") -> DataFrame:
-    """(phrase, n) of the phrases that occur, counted without overlap in lower case; one pass."""
-    sums = docs.select(F.lower(text).alias("x")).agg(*[F.sum(T.count_of(F.col("x"), p)).alias(f"p{i}") for i, p in enumerate(phrases)])
+    """(phrase, n) of the phrases that occur, as they are written here, counted without overlap in any case; one pass."""
+    sums = docs.select(F.lower(text).alias("x")).agg(*[F.sum(T.count_of(F.col("x"), p.lower())).alias(f"p{i}") for i, p in enumerate(phrases)])
     listed = F.array(*[F.struct(F.lit(p).alias("phrase"), F.coalesce(f"p{i}", F.lit(0)).alias("n")) for i, p in enumerate(phrases)])
     return sums.select(F.explode(listed).alias("e")).select("e.phrase", "e.n").where("n > 0")
 
 
 def entity_candidates(docs: DataFrame, entities: DataFrame, key: str = "doc_id", text: str = "text", cap: int = 50) -> DataFrame:
-    """(key, entity_id, surface, offset) of the catalogue's entities in each text, first offset each, the first ``cap`` by offset; and how many are cut.
+    """(key, entity_id, surface, offset) of the catalogue's entities in each text, first offset each, the first ``cap`` by offset; and how many are cut. Exact matches are the only kind here, so they come first of themselves.
 
     ``entities``: entity_id, surface (whole lower-case words). Surfaces are joined by
     their first word, so the work follows the matches and not the catalogue.
