@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_ingest", "q_views", "q_graph", "q_text", "q_retrieval", "q_hygiene", "q_streaming")
+MODULES = ("q_ingest", "q_views", "q_graph", "q_text", "q_retrieval", "q_hygiene", "q_lint", "q_reports", "q_streaming")
 
 
 def _all() -> dict:
