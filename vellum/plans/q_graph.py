@@ -9,11 +9,11 @@ from vellum.plans.q_ingest import MANIFEST, _manifest
 from vellum.plans.q_views import TODAY, V, versions
 from vellum.session import table
 
-EDGES = "edges AS (SELECT DISTINCT l_partkey AS src, (l_suppkey * 13 + l_linenumber) % 2000 AS dst FROM lineitem WHERE l_quantity < 3)"
+EDGES = "edges AS (SELECT DISTINCT l_partkey AS src, (l_suppkey * 13 + l_linenumber) % 2000 AS dst FROM lineitem)"
 
 
 def _edges(spark, d):
-    return table(spark, d, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("src"), ((F.col("l_suppkey") * 13 + F.col("l_linenumber")) % 2000).alias("dst")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), ((F.col("l_suppkey") * 13 + F.col("l_linenumber")) % 2000).alias("dst")).distinct()
 
 
 def _seeds(spark, n=5):
@@ -67,18 +67,31 @@ LINKS = """SELECT p_partkey, 0 AS position, CASE p_partkey % 4 WHEN 0 THEN conca
 CASE WHEN p_partkey % 4 < 3 THEN concat('Part_', p_partkey) END AS resolved FROM part UNION ALL SELECT p_partkey, 1, 'Brand', NULL FROM part"""
 
 
-def orphan_notes(spark, d):
-    """Links of a bounded depth save a note, and so does its type; the rest get an action by type and age."""
+def _reach(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ("meeting", "source", "decision", "person", "company", "project", "note"))), (F.col("p_partkey") % 7 + 1).cast("int"))
-    notes = table(spark, d, "part").select("p_partkey", kind.alias("type"), (F.col("p_size") * 6).alias("age"))
-    near = graph.reachable(_edges(spark, d), _seeds(spark), depth=4).select(F.col("node").alias("p_partkey"))
-    left = notes.join(near, "p_partkey", "left_anti")
-    return left.groupBy("type", audit.orphan_action(F.col("type"), F.col("age")).alias("action")).agg(F.count("*").alias("n"))
+    tail = F.when(F.col("p_size") % 5 == 0, "_v2").when(F.col("p_size") % 5 == 1, "-final").otherwise("")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), tail)
+    notes = table(spark, d, "part").select("p_partkey", name.alias("basename"), kind.alias("type"), (F.col("p_size") * 6).alias("age"))
+    near = graph.reachable(_edges(spark, d), _seeds(spark)).select(F.col("node").alias("p_partkey"))
+    reached = notes.join(near, "p_partkey").select(F.col("basename").alias("node"))
+    return graph.reach(notes, reached, bound=["company"], unbound=["project"])
+
+
+def orphan_notes(spark, d):
+    """Links, a base that shows its type, the allow-list and a version's name save a note; the rest get an action by type and age."""
+    return _reach(spark, d).where("reach is null").groupBy("type", audit.orphan_action(F.col("type"), F.col("age")).alias("action")).agg(F.count("*").alias("n"))
+
+
+def orphan_reach(spark, d):
+    """What saves how many notes."""
+    return _reach(spark, d).groupBy("type", F.coalesce("reach", F.lit("orphan")).alias("reach")).agg(F.count("*").alias("n"))
 
 
-ORPHANS = f"""WITH RECURSIVE {EDGES}, r(node, depth) AS (SELECT range, 0 FROM range(5) UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 4),
-n AS (SELECT p_partkey, ['meeting', 'source', 'decision', 'person', 'company', 'project', 'note'][p_partkey % 7 + 1] AS type, p_size * 6 AS age FROM part WHERE p_partkey NOT IN (SELECT node FROM r))
-SELECT type, CASE WHEN (type = 'meeting' AND age > 60) OR (type = 'source' AND age > 120) OR (type = 'person' AND age > 180) THEN 'archive' WHEN type IN ('meeting', 'source', 'decision', 'person', 'company') THEN 'link-from-moc'
+REACH = f"""WITH RECURSIVE {EDGES}, r(node) AS (SELECT range FROM range(5) UNION SELECT dst FROM r JOIN edges ON src = node),
+p AS (SELECT p_partkey, concat(replace(p_name, ' ', '_'), '_', p_partkey, CASE p_size % 5 WHEN 0 THEN '_v2' WHEN 1 THEN '-final' ELSE '' END) AS basename, ['meeting', 'source', 'decision', 'person', 'company', 'project', 'note'][p_partkey % 7 + 1] AS type, p_size * 6 AS age FROM part),
+w AS (SELECT *, CASE WHEN p_partkey IN (SELECT node FROM r) THEN 'wikilink' WHEN type = 'company' THEN 'base' WHEN type = 'project' THEN 'allow_list' WHEN regexp_matches(lower(basename), '[_-](v[0-9]+|final)$') THEN 'version' END AS reach FROM p),
+n AS (SELECT * FROM w WHERE reach IS NULL)"""
+ORPHANS = f"""{REACH} SELECT type, CASE WHEN (type = 'meeting' AND age > 60) OR (type = 'source' AND age > 120) OR (type = 'person' AND age > 180) THEN 'archive' WHEN type IN ('meeting', 'source', 'decision', 'person', 'company') THEN 'link-from-moc'
   WHEN type = 'project' THEN 'review' ELSE 'triage' END AS action, count(*) AS n FROM n GROUP BY ALL"""
 
 
@@ -94,35 +107,34 @@ HEADS = """SELECT o_orderkey AS node, last_value(o_orderkey) OVER (PARTITION BY
 count(*) OVER (PARTITION BY o_custkey) - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS length FROM orders"""
 
 
-def _entries(spark, d, bound="event_id < 4000"):
+def _entries(spark, d):
+    """Reasons are JSON themselves, so that they need escaping."""
     ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'")
-    return table(spark, d, "events").where(bound).select("user_id", "event_id", F.concat(F.lit("80 Daily/"), F.col("event_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("reason"), ts.alias("ts"), F.col("event_type").alias("verb"))
+    return table(spark, d, "events").select("user_id", "event_id", F.concat(F.lit("80 Daily/"), F.col("event_id").cast("string"), F.lit(".md")).alias("path"), F.col("props").alias("reason"), ts.alias("ts"), F.col("event_type").alias("verb"))
 
 
-CHAIN = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, concat('80 Daily/', event_id, '.md') AS path, concat('k', props::JSON ->> 'k') AS reason, strftime(ts, '%Y-%m-%dT%H:%MZ') AS ts, event_type AS verb,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events WHERE event_id < 4000),
+CHAIN = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, concat('80 Daily/', event_id, '.md') AS path, replace(props, '"', '\\"') AS reason, strftime(ts, '%Y-%m-%dT%H:%MZ') AS ts, event_type AS verb,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
 c(user_id, event_id, seq, raw) AS (SELECT user_id, event_id, seq, concat('{{"format":"v2","path":"', path, '","prev_hash":"', '{audit.GENESIS}', '","reason":"', reason, '","ts":"', ts, '","verb":"', verb, '"}}') FROM e WHERE seq = 1
 UNION ALL SELECT e.user_id, e.event_id, e.seq, concat('{{"format":"v2","path":"', e.path, '","prev_hash":"', sha256(c.raw), '","reason":"', e.reason, '","ts":"', e.ts, '","verb":"', e.verb, '"}}') FROM c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1)"""
 
 
-def chain_build_verify(spark, d, bound="event_id < 4000"):
-    lines = audit.verify(audit.build(_entries(spark, d, bound), "user_id", "event_id"), "user_id", "event_id")
+def chain_build_verify(spark, d):
+    lines = audit.verify(audit.build(_entries(spark, d), "user_id", "event_id"), "user_id", "event_id")
     return lines.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_errors"), F.sha2(F.max_by("raw", "event_id"), 256).alias("head"))
 
 
-def chain_tamper(spark, d, bound="event_id < 4000"):
+def chain_tamper(spark, d):
     """One flipped byte breaks the entry after it; a removed row breaks the next one left."""
-    lines = audit.build(_entries(spark, d, bound), "user_id", "event_id")
+    lines = audit.build(_entries(spark, d), "user_id", "event_id")
     bad = lines.withColumn("raw", F.when(F.col("event_id") % 97 == 0, F.replace("raw", F.lit("80 Daily"), F.lit("81 Daily"))).otherwise(F.col("raw"))).where("event_id % 61 <> 3")
     return audit.verify(bad, "user_id", "event_id").where("not ok").select("user_id", "event_id")
 
 
-def chain_build_verify_whole(spark, d):
-    return chain_build_verify(spark, d, "true")
-
-
-def chain_tamper_whole(spark, d):
-    return chain_tamper(spark, d, "true")
+def chain_rotation(spark, d):
+    """The last sixty entries stay live; both segments verify, the live one from its anchor."""
+    lines = audit.verify_segments(audit.rotate(audit.build(_entries(spark, d), "user_id", "event_id"), "user_id", "event_id"), "user_id", "event_id")
+    return lines.groupBy("user_id", "segment").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_errors"), F.min("anchor").alias("anchor"))
 
 
 def json_strict(spark, d):
@@ -208,17 +220,14 @@ def vocab_drift(spark, d):
     return a.exceptAll(b).withColumn("side", F.lit("only_left")).union(b.exceptAll(a).withColumn("side", F.lit("only_right")))
 
 
-def rules_diff(spark, d, wanted="p_partkey < 60", held="p_partkey between 20 and 90"):
+def rules_diff(spark, d):
+    """Every part on one side at least: sevenths are extra, fifths missing."""
+    wanted, held = "p_partkey % 7 <> 0", "p_partkey % 7 = 0 or p_partkey % 5 <> 0"
     want = table(spark, d, "part").where(wanted).select(F.concat(F.lit("rule"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("content"))
     have = table(spark, d, "part").where(held).select(F.concat(F.lit("rule"), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_partkey") % 3 == 0, "changed").otherwise(F.col("p_type")).alias("content"))
     return audit.diff(want, have)
 
 
-def rules_diff_whole(spark, d):
-    """Every part on one side at least: sevenths are extra, fifths missing."""
-    return rules_diff(spark, d, "p_partkey % 7 <> 0", "p_partkey % 7 = 0 or p_partkey % 5 <> 0")
-
-
 def plans_check(spark, d):
     """What an index claims of each nation's suppliers against what there is."""
     claim = table(spark, d, "nation").select("n_nationkey", (F.length("n_name") % 7).alias("claimed"))
@@ -230,7 +239,7 @@ def plans_check(spark, d):
 def plan_fk(spark, d):
     item = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") + F.when(F.col("c_custkey") % 50 == 0, 100).otherwise(0)).alias("category"), F.col("c_name").substr(-3, 3).alias("short"))
     bad = audit.foreign_key_faults(item, "category", table(spark, d, "nation"), "n_nationkey").select(F.lit("category").alias("fault"), F.col("c_custkey").cast("string").alias("what"))
-    twice = audit.repeated(item.where("c_custkey >= 900"), "short").select(F.lit("duplicate_id").alias("fault"), F.col("short").alias("what"))
+    twice = audit.repeated(item, "short").select(F.lit("duplicate_id").alias("fault"), F.col("short").alias("what"))
     return bad.union(twice)
 
 
@@ -272,12 +281,13 @@ QUERIES = {
     "ppr_top10": (ppr_top10, _ppr_sql(8)),
     "link_resolution": (link_resolution, LINKS),
     "orphan_notes": (orphan_notes, ORPHANS),
+    "orphan_reach": (orphan_reach, REACH + " SELECT type, coalesce(reach, 'orphan') AS reach, count(*) AS n FROM w GROUP BY ALL"),
     "version_chain_heads": (version_chain_heads, HEADS),
     "chain_build_verify": (chain_build_verify, CHAIN + " SELECT user_id, count(*) AS n, 0::BIGINT AS n_errors, sha256(arg_max(raw, seq)) AS head FROM c GROUP BY user_id"),
-    "chain_build_verify_whole": (chain_build_verify_whole, None),
+    "chain_rotation": (chain_rotation, CHAIN + f""", p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS place FROM c), a AS (SELECT user_id, sha256(raw) AS cut FROM p WHERE place = 61)
+SELECT p.user_id, CASE WHEN place <= 60 THEN 'live' ELSE 'archive' END AS segment, count(*) AS n, 0::BIGINT AS n_errors, min(CASE WHEN place <= 60 THEN coalesce(cut, '{audit.GENESIS}') ELSE '{audit.GENESIS}' END) AS anchor FROM p LEFT JOIN a ON a.user_id = p.user_id GROUP BY 1, 2"""),
     "chain_tamper": (chain_tamper, CHAIN + """, b AS (SELECT user_id, event_id, CASE WHEN event_id % 97 = 0 THEN replace(raw, '80 Daily', '81 Daily') ELSE raw END AS raw FROM c WHERE event_id % 61 <> 3),
 l AS (SELECT *, regexp_extract(raw, '"prev_hash":"([0-9a-f]+)"', 1) AS held, lag(sha256(raw)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM b) SELECT user_id, event_id FROM l WHERE held <> coalesce(before, '""" + audit.GENESIS + "')"),
-    "chain_tamper_whole": (chain_tamper_whole, None),
     "json_strict": (json_strict, JSON_STRICT),
     "stale_rules": (stale_rules, FINDINGS + " SELECT note, rule, about FROM r WHERE rule NOT LIKE 'C%'"),
     "stale_rollup": (stale_rollup, FINDINGS + " SELECT rule, confidence, action, count(*) AS n, count(DISTINCT note) AS n_notes FROM r GROUP BY ALL"),
@@ -286,10 +296,9 @@ l AS (SELECT *, regexp_extract(raw, '"prev_hash":"([0-9a-f]+)"', 1) AS held, lag
     "write_audit": (write_audit, "SELECT p_partkey FROM part WHERE p_partkey % 10 <> 4 AND p_partkey NOT IN (SELECT DISTINCT (props::JSON ->> 'k')::INT FROM events WHERE event_type = 'purchase')"),
     "index_orphans": (index_orphans, "SELECT right(c_name, 9) AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"),
     "vocab_drift": (vocab_drift, "WITH a AS (SELECT DISTINCT upper(left(event_type, 1)) AS word FROM events), b AS (SELECT DISTINCT o_orderstatus AS word FROM orders) SELECT word, 'only_left' AS side FROM a WHERE word NOT IN (SELECT word FROM b) UNION ALL SELECT word, 'only_right' FROM b WHERE word NOT IN (SELECT word FROM a)"),
-    "rules_diff": (rules_diff, "SELECT concat('rule', p_partkey) AS name, CASE WHEN p_partkey < 20 THEN 'missing' WHEN p_partkey >= 60 THEN 'extra' WHEN p_partkey % 3 = 0 THEN 'drift' ELSE 'aligned' END AS outcome FROM part WHERE p_partkey <= 90"),
-    "rules_diff_whole": (rules_diff_whole, None),
+    "rules_diff": (rules_diff, "WITH w AS (SELECT concat('rule', p_partkey) AS name, p_type AS content FROM part WHERE p_partkey % 7 <> 0), h AS (SELECT concat('rule', p_partkey) AS name, CASE WHEN p_partkey % 3 = 0 THEN 'changed' ELSE p_type END AS content FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 5 <> 0) SELECT coalesce(w.name, h.name) AS name, CASE WHEN h.name IS NULL THEN 'missing' WHEN w.name IS NULL THEN 'extra' WHEN w.content <> h.content THEN 'drift' ELSE 'aligned' END AS outcome FROM w FULL JOIN h ON w.name = h.name"),
     "plans_check": (plans_check, "SELECT n_nationkey, (length(n_name) % 7)::BIGINT AS claimed, count(s_suppkey) AS actual FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name HAVING length(n_name) % 7 <> count(s_suppkey)"),
-    "plan_fk": (plan_fk, "SELECT 'category' AS fault, c_custkey::VARCHAR AS what FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT 'duplicate_id', right(c_name, 3) FROM customer WHERE c_custkey >= 900 GROUP BY 2 HAVING count(*) > 1"),
+    "plan_fk": (plan_fk, "SELECT 'category' AS fault, c_custkey::VARCHAR AS what FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT 'duplicate_id', right(c_name, 3) FROM customer GROUP BY 2 HAVING count(*) > 1"),
     "plan_progress": (plan_progress, "SELECT o_orderpriority AS phase, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*), 2) AS pct, bool_and(o_orderstatus = 'F') AS is_complete, bool_or(o_orderstatus = 'F') AND NOT bool_and(o_orderstatus = 'F') AS is_active FROM orders GROUP BY 1"),
     "promotion_gate": (promotion_gate, GATE),
     "routing_sections": (routing_sections, ROUTING),

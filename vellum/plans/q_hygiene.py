@@ -26,17 +26,17 @@ def recommendation_expiry(spark, d):
 
 def backpressure(spark, d):
     open_rows = _recommendations(spark, d).groupBy("user_id").agg(F.count_if(F.col("status") == "OPEN").alias("n_open"))
-    return open_rows.withColumn("decision", hygiene.backpressure(F.col("n_open"), 45))
+    return open_rows.withColumn("decision", hygiene.backpressure(F.col("n_open")))
 
 
 def freshness_cadence(spark, d):
     cadence = F.element_at(F.array(*map(F.lit, ("weekly", "monthly", "stable", "event-driven"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     age = dates.age_days(F.col("o_orderdate").cast("date"), TODAY)
-    rows = table(spark, d, "orders").where("o_orderdate >= date'2001-06-01'").select("o_orderkey", cadence.alias("cadence"), age.alias("age"))
+    rows = table(spark, d, "orders").select("o_orderkey", cadence.alias("cadence"), age.alias("age"))
     return rows.select("o_orderkey", "cadence", "age", hygiene.cadence_stale(F.col("cadence"), F.col("age")).alias("stale"))
 
 
-CADENCE = f"WITH r AS (SELECT o_orderkey, ['weekly', 'monthly', 'stable', 'event-driven'][o_orderkey % 4 + 1] AS cadence, date_diff('day', o_orderdate::DATE, DATE '{TODAY}')::INT AS age FROM orders WHERE o_orderdate >= DATE '2001-06-01') SELECT *, coalesce(age > CASE cadence WHEN 'weekly' THEN 7 WHEN 'monthly' THEN 30 END, false) AS stale FROM r"
+CADENCE = f"WITH r AS (SELECT o_orderkey, ['weekly', 'monthly', 'stable', 'event-driven'][o_orderkey % 4 + 1] AS cadence, date_diff('day', o_orderdate::DATE, DATE '{TODAY}')::INT AS age FROM orders) SELECT *, coalesce(age > CASE cadence WHEN 'weekly' THEN 7 WHEN 'monthly' THEN 30 END, false) AS stale FROM r"
 
 
 def size_flags(spark, d):
@@ -54,16 +54,12 @@ def strike_rule(spark, d):
 STRIKE = "WITH w AS (SELECT o_custkey, o_orderkey, min((o_totalprice > 250000)::INT) OVER x AS m, count(*) OVER x AS n FROM orders WINDOW x AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT o_custkey, o_orderkey FROM w WHERE m = 1 AND n = 3"
 
 
-def section_parse(spark, d, bound="l_orderkey < 3000"):
-    rows = table(spark, d, "lineitem").where(bound).select("l_orderkey", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber").alias("place"), F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("## "), F.col("l_returnflag"))).otherwise(F.lit("a line")).alias("text"))
+def section_parse(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber").alias("place"), F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("## "), F.col("l_returnflag"))).otherwise(F.lit("a line")).alias("text"))
     return hygiene.sections(rows, "l_orderkey", "place", "text")
 
 
-def section_parse_whole(spark, d):
-    return section_parse(spark, d, "true")
-
-
-SECTIONS = "WITH l AS (SELECT l_orderkey, CASE WHEN l_partkey % 5 = 0 THEN l_returnflag END AS h, l_shipdate, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey < 3000), w AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM l) SELECT l_orderkey, header, count(*) AS n_lines FROM w WHERE header IS NOT NULL AND h IS NULL GROUP BY ALL"
+SECTIONS = "WITH l AS (SELECT l_orderkey, CASE WHEN l_partkey % 5 = 0 THEN l_returnflag END AS h, l_shipdate, l_partkey, l_suppkey, l_linenumber FROM lineitem), w AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM l) SELECT l_orderkey, header, count(*) AS n_lines FROM w WHERE header IS NOT NULL AND h IS NULL GROUP BY ALL"
 
 ZONES = {"20 Companies": ["the", "and"], "40 Meetings": ["der", "und", "ein"], "60 Concepts": ["de", "que", "un"]}
 
@@ -105,13 +101,19 @@ HEADER = "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (1, 2) OR p_partkey % 12
 
 def frontmatter_merge(spark, d):
     k = F.col("c_custkey")
-    user = F.create_map(F.lit("title"), F.when(k % 2 == 0, F.col("c_name")), F.lit("tags"), F.concat(F.lit("own,"), F.col("c_mktsegment")))
-    computed = F.create_map(F.lit("title"), F.lit("Computed"), F.lit("tags"), F.lit("own,auto"), F.lit("zone"), F.col("c_nationkey").cast("string"))
-    m = hygiene.merge_frontmatter(user, computed)
-    return table(spark, d, "customer").select("c_custkey", m.alias("m")).select("c_custkey", F.col("m")["title"].alias("title"), F.col("m")["tags"].alias("tags"), F.col("m")["zone"].alias("zone"))
+    none = F.create_map().cast("map<string,string>")
+    user = F.map_concat(
+        F.create_map(F.lit("title"), F.when(k % 2 == 0, F.col("c_name")), F.lit("note"), F.col("c_nationkey").cast("string")),
+        F.when(F.col("c_acctbal") > 0, F.create_map(F.lit("tags"), F.concat(F.lit("own,"), F.col("c_mktsegment")))).otherwise(none),
+        F.when(k % 3 == 0, F.create_map(F.lit("pipeline"), F.lit("edited"))).otherwise(none),
+    )
+    computed = F.create_map(F.lit("title"), F.lit("Computed"), F.lit("tags"), F.lit("auto"), F.lit("type"), F.lit("source"), F.lit("zone"), F.lit("dropped"))
+    rows = table(spark, d, "customer").select("c_custkey", hygiene.merge_frontmatter(user, computed).alias("m"))
+    get = lambda name: F.col("m.top")[name].alias(name)
+    return rows.select("c_custkey", get("title"), get("tags"), get("type"), get("note"), F.array_join(F.array_sort(F.map_keys("m.top")), ",").alias("keys"), F.array_join("m.warnings", ",").alias("warnings"))
 
 
-MERGE = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Computed' END AS title, concat('own,', c_mktsegment, ',auto') AS tags, c_nationkey::VARCHAR AS zone FROM customer"
+MERGE = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Computed' END AS title, CASE WHEN c_acctbal > 0 THEN concat('own,', c_mktsegment) ELSE 'auto' END AS tags, 'source' AS type, c_nationkey::VARCHAR AS note, 'note,tags,title,type' AS keys, CASE WHEN c_custkey % 3 = 0 THEN 'user_edit_in_pipeline_ns' ELSE '' END AS warnings FROM customer"
 
 
 def scaffold(spark, d):
@@ -120,18 +122,19 @@ def scaffold(spark, d):
 
 
 def path_rewrite(spark, d):
-    text = F.concat(F.lit("see "), F.col("p_type"), F.lit("/"), F.col("p_name"), F.lit(" and "), F.col("p_name"))
+    """A move of one file in all texts that mention its path or name, which may also stand inside other names."""
+    text = F.concat(F.lit("see "), F.col("p_type"), F.lit("/"), F.col("p_name"), F.lit(" and "), F.col("p_name"), F.lit(", not x"), F.col("p_name"), F.lit(" nor "), F.col("p_name"), F.lit("-old"))
     rows = table(spark, d, "part").select("p_partkey", text.alias("before"))
-    return rows.withColumn("after", hygiene.rewritten(F.col("before"), [("ECONOMY/", "_archive/ECONOMY/"), ("small ring", "small_ring")])).where("before <> after")
+    return rows.withColumn("after", hygiene.rewritten(F.col("before"), [("ECONOMY/small ring", "_archive/$1/small_ring")])).where("before <> after")
 
 
-REWRITE = "WITH b AS (SELECT p_partkey, concat('see ', p_type, '/', p_name, ' and ', p_name) AS before FROM part) SELECT p_partkey, before, replace(replace(before, 'ECONOMY/', '_archive/ECONOMY/'), 'small ring', 'small_ring') AS after FROM b WHERE contains(before, 'ECONOMY/') OR contains(before, 'small ring')"
+REWRITE = "WITH b AS (SELECT p_partkey, concat('see ', p_type, '/', p_name, ' and ', p_name, ', not x', p_name, ' nor ', p_name, '-old') AS before FROM part), f AS (SELECT *, regexp_replace(before, '(^|[^A-Za-z0-9_/-])ECONOMY/small ring($|[^A-Za-z0-9_-])', '\\1_archive/$1/small_ring\\2', 'g') AS f FROM b), a AS (SELECT p_partkey, before, regexp_replace(f, '(^|[^A-Za-z0-9_/-])small ring($|[^A-Za-z0-9_-])', '\\1small_ring\\2', 'g') AS after FROM f) SELECT * FROM a WHERE before <> after"
 
 
 def bulk_reconcile(spark, d):
-    """Unlogged writes a day: one line each, or a summary beyond twenty."""
-    rows = table(spark, d, "events").where("event_type = 'signup'").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return rows.withColumn("mode", F.when(F.col("n") > 60, "summary").otherwise("each"))
+    """Unlogged writes an hour and kind: one line each, or a summary beyond twenty."""
+    rows = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+    return rows.withColumn("mode", F.when(F.col("n") > 20, "summary").otherwise("each"))
 
 
 def index_age(spark, d):
@@ -148,12 +151,11 @@ def dimension_check(spark, d):
 
 QUERIES = {
     "recommendation_expiry": (recommendation_expiry, f"WITH {REC} SELECT tier::BIGINT AS tier, status, expired, CASE WHEN tier = 3 THEN 0 WHEN expired THEN 1 ELSE 2 END AS place, count(*) AS n, min(expires_at) AS first_expiry FROM x GROUP BY ALL"),
-    "backpressure": (backpressure, f"WITH {REC} SELECT user_id, count(*) FILTER (status = 'OPEN') AS n_open, CASE WHEN count(*) FILTER (status = 'OPEN') > 45 THEN 'suppress' ELSE 'emit' END AS decision FROM r GROUP BY user_id"),
+    "backpressure": (backpressure, f"WITH {REC} SELECT user_id, count(*) FILTER (status = 'OPEN') AS n_open, CASE WHEN count(*) FILTER (status = 'OPEN') > 20 THEN 'suppress' ELSE 'emit' END AS decision FROM r GROUP BY user_id"),
     "freshness_cadence": (freshness_cadence, CADENCE),
     "size_flags": (size_flags, "WITH r AS (SELECT doc_id, strlen(text)::INT AS bytes FROM documents) SELECT *, CASE WHEN bytes > 16384 THEN 'rotate' WHEN bytes > 8192 THEN 'large' ELSE 'watch' END AS flag FROM r WHERE bytes > 4096"),
     "strike_rule": (strike_rule, STRIKE),
     "section_parse": (section_parse, SECTIONS),
-    "section_parse_whole": (section_parse_whole, None),
     "zone_classify": (zone_classify, ZONE),
     "save_downgrade": (save_downgrade, DOWNGRADE),
     "catalog_recency": (catalog_recency, "SELECT o_orderpriority AS zone, o_orderdate::DATE AS touched, o_orderkey FROM orders ORDER BY 1, 2 DESC, 3 LIMIT 100"),
@@ -161,7 +163,7 @@ QUERIES = {
     "frontmatter_merge": (frontmatter_merge, MERGE),
     "scaffold": (scaffold, "SELECT CASE WHEN c_custkey % 2 <> 0 THEN 'a' WHEN c_custkey % 3 = 0 AND c_custkey % 5 = 0 THEN 'c' ELSE 'b' END AS path, count(*) AS n FROM customer GROUP BY 1"),
     "path_rewrite": (path_rewrite, REWRITE),
-    "bulk_reconcile": (bulk_reconcile, "SELECT ts::DATE AS day, count(*) AS n, CASE WHEN count(*) > 60 THEN 'summary' ELSE 'each' END AS mode FROM events WHERE event_type = 'signup' GROUP BY 1"),
+    "bulk_reconcile": (bulk_reconcile, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CASE WHEN count(*) > 20 THEN 'summary' ELSE 'each' END AS mode FROM events GROUP BY 1, 2"),
     "index_age": (index_age, "SELECT event_type, floor((epoch(TIMESTAMP '2024-02-10') - floor(epoch(max(ts)))) / 86400)::BIGINT AS age_days, floor((epoch(TIMESTAMP '2024-02-10') - floor(epoch(max(ts)))) / 86400) > 7 AS drift FROM events GROUP BY 1"),
     "dimension_check": (dimension_check, "SELECT label, count(*) FILTER (vec_id % 9 <> 0) AS n_good, count(*) FILTER (vec_id % 9 = 0) AS n_rejected FROM embeddings GROUP BY label"),
 }

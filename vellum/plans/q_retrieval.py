@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import retrieval
+from vellum.operators import retrieval, views
 from vellum.session import table
 
 COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
@@ -53,24 +53,16 @@ SELECT key, concat('<!-- pipeline:see-also -->', chr(10), '## See also', chr(10)
 
 
 def _questions(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def rerank_lexical(spark, d):
-    """Documents 0, 40, 80 ... reranked by shared words for the first 20 questions, as the SQL has it; the best three of each. rerank_lexical_whole takes all."""
-    docs = table(spark, d, "documents").where("doc_id % 40 = 0").select(F.col("doc_id").alias("path"), "text")
-    found = _questions(spark, d).where("query_id < 20").crossJoin(F.broadcast(docs))
-    ranked = retrieval.rerank(found, retrieval.lexical_score(F.col("query"), F.col("text")))
-    return ranked.where("rerank_rank <= 3").select("query_id", "path", "rerank_score", "rerank_rank")
-
-
-def rerank_lexical_whole(spark, d):
     """The best three of all documents by shared words for every question."""
     return retrieval.best_lexical(_questions(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text"), 3)
 
 
-RERANK = r"""WITH q AS (SELECT item_id AS query_id, list_distinct(list_transform(regexp_extract_all(left(text, 60), '[\p{L}\p{N}_]+'), lambda x: lower(x))) AS w FROM benchmark WHERE item_id < 20),
-c AS (SELECT doc_id AS path, list_transform(regexp_extract_all(left(text, 4096), '[\p{L}\p{N}_]+'), lambda x: lower(x)) AS t FROM documents WHERE doc_id % 40 = 0),
+RERANK = r"""WITH q AS (SELECT item_id AS query_id, list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: lower(x))) AS w FROM benchmark),
+c AS (SELECT doc_id AS path, list_transform(regexp_extract_all(left(text, 4096), '[\p{L}\p{N}_]+'), lambda x: lower(x)) AS t FROM documents),
 s AS (SELECT query_id, path, round(len(list_intersect(w, t)) / greatest(len(w), 1)::DOUBLE, 6) AS rerank_score FROM q, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, path)::INT AS rerank_rank FROM s) SELECT * FROM r WHERE rerank_rank <= 3"""
 
@@ -90,7 +82,12 @@ ROUTES = "SELECT q[c_custkey % 8 + 1] AS query, ['A', 'B', 'C', 'D', 'C', 'AMBIG
 
 
 def _steps(spark, d):
-    """Catalogue, lexical and structured hits of each benchmark item's opening among documents."""
+    """Catalogue, lexical, semantic and structured hits of each benchmark item among documents.
+
+    The catalogue matches titles, which are a text's first three words; a view of long
+    English notes answers where the first word is that of a note's title; a vector
+    stands for the item or document of its number.
+    """
     q = _questions(spark, d)
     docs = table(spark, d, "documents")
     words = docs.select("doc_id", "lang", F.lower("text").alias("t"))
@@ -98,13 +95,23 @@ def _steps(spark, d):
     tokens = words.select("doc_id", F.explode(F.array_distinct(T.words(F.col("t")))).alias("head"))
     near = tokens.join(heads, "head").select("query_id", "doc_id", "s")
     lexical = near.join(words.select("doc_id", "t"), "doc_id").where(F.contains("t", "s")).select("query_id", F.col("doc_id").alias("hit"))
-    catalog = q.where("query_id % 4 = 0").select("query_id", (F.col("query_id") * 3).alias("hit"))
-    structured = q.where("query_id % 5 < 2").select("query_id", (F.col("query_id") + 100).alias("hit"))
-    return [("0.0 catalog", catalog), ("0.1 lexical", lexical), ("2 structured", structured)]
+    opening = lambda text, n: F.array_join(F.slice(T.words(F.lower(text)), 1, n), " ")
+    titles = docs.select(F.col("doc_id").alias("hit"), opening("text", 3).alias("title")).where("title <> ''")
+    catalog = q.select("query_id", opening("query", 3).alias("title")).join(titles, "title").select("query_id", "hit")
+    view = docs.where(views.compile_filter({"and": ['lang == "en"', "n_chars >= 3000"]})).select(F.col("doc_id").alias("hit"), opening("text", 1).alias("first"))
+    structured = q.select("query_id", opening("query", 1).alias("first")).where("first <> ''").join(view, "first").select("query_id", "hit")
+    e = table(spark, d, "embeddings")
+    asked = e.join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    semantic = retrieval.top_k(e, asked, 1).where("score >= 0.3").select("query_id", F.col("vec_id").alias("hit"))
+    return [("0.0 catalog", catalog), ("0.1 lexical", lexical), ("1 semantic", semantic), ("2 structured", structured)]
 
 
-STEPS = """q AS (SELECT item_id AS query_id, lower(left(text, 60)) AS s FROM benchmark), h AS (SELECT query_id, query_id * 3 AS hit, 0 AS place, '0.0 catalog' AS step FROM q WHERE query_id % 4 = 0
-UNION ALL SELECT query_id, doc_id, 1, '0.1 lexical' FROM q JOIN documents ON contains(lower(text), s) UNION ALL SELECT query_id, query_id + 100, 2, '2 structured' FROM q WHERE query_id % 5 < 2)"""
+STEPS = f"""q AS (SELECT item_id AS query_id, lower(text) AS s, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark), t AS (SELECT doc_id, lang, n_chars, lower(text) AS t, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS v FROM documents),
+near AS (SELECT a.vec_id AS query_id, b.vec_id AS hit, {COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit) AS k FROM near),
+h AS (SELECT query_id, doc_id AS hit, 0 AS place, '0.0 catalog' AS step FROM q JOIN t ON array_to_string(w[1:3], ' ') = array_to_string(v[1:3], ' ') AND len(v) > 0
+UNION ALL SELECT query_id, doc_id, 1, '0.1 lexical' FROM q JOIN t ON contains(t, s) AND len(w) > 0 UNION ALL SELECT query_id, hit, 2, '1 semantic' FROM best WHERE k = 1 AND score >= 0.3
+UNION ALL SELECT query_id, doc_id, 3, '2 structured' FROM q JOIN t ON w[1] = v[1] WHERE lang = 'en' AND n_chars >= 3000)"""
 
 
 def retrieval_cascade(spark, d):
@@ -138,16 +145,12 @@ def eval_dimensions(spark, d):
 DIMENSIONS = f"WITH {SCORED}, a AS (SELECT o_orderpriority, round(100 * avg(s), 4) AS s_pct, round(100 * avg(x), 4) AS x_pct, round(100 * avg(t), 4) AS t_pct FROM o GROUP BY 1) SELECT *, round((s_pct + x_pct + t_pct) / 3, 4) AS mean_pct, s_pct >= 80 AND x_pct >= 80 AND t_pct >= 80 AS gate FROM a"
 
 
-def ir_metrics(spark, d, bound="l_orderkey < 1000"):
-    rows = table(spark, d, "lineitem").where(bound).select(F.col("l_orderkey").alias("query_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")).alias("rank"), (F.col("l_partkey") % 3 == 0).cast("int").alias("relevant"))
+def ir_metrics(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")).alias("rank"), (F.col("l_partkey") % 3 == 0).cast("int").alias("relevant"))
     return retrieval.ir_metrics(rows)
 
 
-def ir_metrics_whole(spark, d):
-    return ir_metrics(spark, d, "true")
-
-
-IR = """WITH r AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber) AS rank, (l_partkey % 3 = 0)::INT AS relevant FROM lineitem WHERE l_orderkey < 1000),
+IR = """WITH r AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber) AS rank, (l_partkey % 3 = 0)::INT AS relevant FROM lineitem),
 q AS (SELECT query_id, coalesce(sum(relevant) FILTER (rank = 1), 0) AS p1, coalesce(sum(relevant) FILTER (rank <= 5), 0) / 5.0::DOUBLE AS p5, coalesce(1.0::DOUBLE / min(rank) FILTER (relevant = 1), 0) AS rr, coalesce(sum(relevant) FILTER (rank <= 10), 0) AS found, sum(relevant) AS n, coalesce(sum(relevant / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg FROM r GROUP BY 1),
 i AS (SELECT *, (SELECT sum(1 / log2(k + 1)) FROM range(1, 6) t(k) WHERE k <= n) AS ideal FROM q)
 SELECT round(avg(p1), 6) AS p_at_1, round(avg(p5), 6) AS p_at_5, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN n > 0 THEN found::DOUBLE / n END), 6) AS recall_at_10, round(avg(CASE WHEN n > 0 THEN dcg / ideal END), 6) AS ndcg_at_5, count(*) AS n_queries FROM i"""
@@ -206,13 +209,11 @@ QUERIES = {
     "pairs_greedy_cap": (pairs_greedy_cap, None),
     "see_also": (see_also, SEE_ALSO),
     "rerank_lexical": (rerank_lexical, RERANK),
-    "rerank_lexical_whole": (rerank_lexical_whole, None),
     "temporal_route": (temporal_route, ROUTES),
     "retrieval_cascade": (retrieval_cascade, f"WITH {STEPS}, l AS (SELECT query_id, min(place) AS place FROM h GROUP BY 1) SELECT DISTINCT h.query_id, h.step, h.hit FROM h JOIN l ON l.query_id = h.query_id AND l.place = h.place"),
     "confidence_tier": (confidence_tier, f"WITH {STEPS}, n AS (SELECT q.query_id, count(DISTINCT step) AS n_steps FROM q LEFT JOIN h ON h.query_id = q.query_id GROUP BY 1) SELECT *, CASE WHEN n_steps >= 2 THEN 'normal' WHEN n_steps = 1 THEN 'low' ELSE 'refuse' END AS tier FROM n"),
     "eval_dimensions": (eval_dimensions, DIMENSIONS),
     "ir_metrics": (ir_metrics, IR),
-    "ir_metrics_whole": (ir_metrics_whole, None),
     "faithfulness_rollup": (faithfulness_rollup, FAITH),
     "spot_check": (spot_check, "SELECT source, arg_min(doc_id, sha256(concat('2024-05:', doc_id))) AS doc_id FROM documents GROUP BY source"),
     "eval_balance": (eval_balance, BALANCE),

@@ -62,30 +62,33 @@ SELECT array_to_string(w, ' ') AS opener, count(*) AS n FROM w WHERE len(w) >= 2
 
 
 def closers(spark, d):
-    return textstats.closers(table(spark, d, "documents"), signs=["licensed", "released", "all rights", "this", "the", "is"], longest=9)
+    """Letters: each text with a closing line in its language, and a name under it."""
+    line = F.when(F.col("lang") == "en", "Best regards,").when(F.col("lang") == "es", "Saludos cordiales").when(F.col("lang") == "fr", "Obg a todos").otherwise("Sincerely")
+    letters = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), line, F.lit("\nA Name")).alias("text"))
+    return textstats.closers(letters)
 
 
-CLOSERS = """WITH l AS (SELECT list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), t AS (SELECT list_reverse(l[greatest(len(l) - 4, 1):]) AS t FROM l),
-h AS (SELECT list_filter(t, lambda x: regexp_matches(x, '(?i)^(licensed|released|all rights|this|the|is)') AND len(regexp_extract_all(x, '[\\p{L}\\p{N}_]+')) <= 9)[1] AS closer FROM t)
-SELECT closer, count(*) AS n FROM h WHERE closer IS NOT NULL GROUP BY 1 ORDER BY n DESC, closer LIMIT 10"""
+CLOSERS = """WITH l AS (SELECT list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM (SELECT concat(coalesce(text, ''), chr(10), chr(10), CASE lang WHEN 'en' THEN 'Best regards,' WHEN 'es' THEN 'Saludos cordiales' WHEN 'fr' THEN 'Obg a todos' ELSE 'Sincerely' END, chr(10), 'A Name') AS text FROM documents)), t AS (SELECT list_reverse(l[greatest(len(l) - 4, 1):]) AS t FROM l),
+h AS (SELECT list_filter(t, lambda x: regexp_matches(x, '(?i)^(SIGNS)') AND len(regexp_extract_all(x, '[\\p{L}\\p{N}_]+')) <= 6)[1] AS closer FROM t)
+SELECT closer, count(*) AS n FROM h WHERE closer IS NOT NULL GROUP BY 1 ORDER BY n DESC, closer LIMIT 10""".replace("SIGNS", "|".join(T.SIGN_OFFS))
 
-PHRASES = ("the and", "of the", "all rights reserved", "licensed under", "not there at all")
+PHRASES = ("The And", "of the", "all rights reserved", "licensed under", "not there at all")
 
 
 def phrase_counts(spark, d):
     return textstats.phrase_counts(table(spark, d, "documents"), PHRASES)
 
 
-PHRASE_SQL = " UNION ALL ".join(f"SELECT '{p}' AS phrase, sum((length(text) - length(replace(lower(text), '{p}', ''))) // {len(p)})::BIGINT AS n FROM documents HAVING n > 0" for p in PHRASES)
+PHRASE_SQL = " UNION ALL ".join(f"SELECT '{p}' AS phrase, sum((length(text) - length(replace(lower(text), '{p.lower()}', ''))) // {len(p)})::BIGINT AS n FROM documents HAVING n > 0" for p in PHRASES)
 
 
 def entity_link_candidates(spark, d):
-    """Benchmark passages as entities: their first forty characters, found in documents."""
-    entities = table(spark, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.lower(F.substring("text", 1, 40)).alias("surface"))
+    """Benchmark passages as entities, found whole in documents."""
+    entities = table(spark, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.lower("text").alias("surface"))
     return textstats.entity_candidates(table(spark, d, "documents"), entities).select("doc_id", "entity_id", "offset", F.col("truncated").cast("long").alias("truncated"))
 
 
-ENTITIES = "SELECT doc_id, item_id AS entity_id, (strpos(lower(d.text), lower(left(b.text, 40))) - 1)::INT AS offset, 0::BIGINT AS truncated FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(left(b.text, 40)))"
+ENTITIES = "SELECT doc_id, item_id AS entity_id, (strpos(lower(d.text), lower(b.text)) - 1)::INT AS offset, 0::BIGINT AS truncated FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))"
 
 
 def html_links(spark, d):

@@ -111,7 +111,7 @@ def lint_bitemporal(spark, d):
 
 def lint_meeting_date(spark, d):
     """Meetings whose file name begins with another day than their date; a name's impossible day is a fault of its own."""
-    o = table(spark, d, "orders").where("o_orderkey % 6 = 2")
+    o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     prefix = F.when(k % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 4 == 1, F.lit("2001-02-30")).otherwise(F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 1), "yyyy-MM-dd"))
     from vellum.functions.dates import parse
@@ -138,5 +138,5 @@ UNION ALL SELECT path, type, 'stale' FROM v WHERE type IN ('source', 'person') A
     "lint_vocab": (lint_vocab, f"WITH {V} SELECT o_orderkey, 'type_vocab' AS rule FROM v WHERE type = 'audit' UNION ALL SELECT o_orderkey, 'stale_enum' FROM v WHERE stale = 'unknown'"),
     "lint_confidence": (lint_confidence, "WITH r AS (SELECT CASE p_partkey % 5 WHEN 0 THEN 'abc' WHEN 1 THEN NULL WHEN 2 THEN '1.01' ELSE concat('0.', p_size) END AS raw FROM part) SELECT CASE WHEN raw IS NULL THEN 'pass' WHEN try_cast(raw AS DOUBLE) IS NULL THEN 'type' WHEN try_cast(raw AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'range' ELSE 'pass' END AS outcome, count(*) AS n FROM r GROUP BY 1"),
     "lint_bitemporal": (lint_bitemporal, f"WITH {V}, s AS (SELECT * FROM v WHERE type IN ('source', 'decision')), f AS (SELECT type, 'missing_is_latest_version' AS rule FROM s WHERE is_latest_version IS NULL UNION ALL SELECT type, 'missing_document_version' FROM s WHERE document_version IS NULL UNION ALL SELECT type, 'superseded_before_document' FROM s WHERE superseded_date <= document_date) SELECT type, rule, count(*) AS n FROM f GROUP BY ALL"),
-    "lint_meeting_date": (lint_meeting_date, "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'invalid_prefix' ELSE 'mismatch' END AS outcome, count(*) AS n FROM orders WHERE o_orderkey % 6 = 2 GROUP BY 1"),
+    "lint_meeting_date": (lint_meeting_date, "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'invalid_prefix' ELSE 'mismatch' END AS outcome, count(*) AS n FROM orders GROUP BY 1"),
 }
