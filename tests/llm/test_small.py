@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import components, decontaminate, exactdedup, jaccardjoin, langid, linededup, pieces, quality, registry, scratch, secrets, sharding, textbytes, toxicity
+from vellum.llm import components, decontaminate, exactdedup, jaccardjoin, langid, learning, linededup, pieces, quality, registry, scratch, secrets, sharding, textbytes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,7 +101,6 @@ def test_secrets_by_shuffle(spark, small, monkeypatch):
     key = lambda df: sorted((r.doc_id, r.spans) for r in secrets.digest(secrets.scan(df)).collect())
     want = key(docs)
     monkeypatch.setattr(scratch, "BROADCAST_ROWS", 1)
-    monkeypatch.setattr(secrets, "sized", lambda df: scratch.sized(df, 1))
     assert key(docs) == want
 
 
@@ -160,6 +159,112 @@ def test_toxicity(spark, small):
     assert (got[(got.toxic == 1)].predicted == 1).mean() > 0.7
 
 
+def test_toxicity_of_held_out_texts(spark):
+    d = "/root/testdata/sf0.1"
+    got = toxicity.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert (got[got.toxic == 1].predicted == 1).mean() >= 0.9
+    assert got[got.predicted == 1].toxic.mean() >= 0.9
+
+
+# brute force for the trained operators: plain Python with the fitted model
+
+
+def folded_plain(text):
+    fold = lambda c: (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+    return re.sub(" +", " ", " " + "".join(map(fold, text)) + " ")
+
+
+def bucket(gram, buckets):
+    value = len(gram)
+    for c in gram:
+        value = (value * 0x100000001B3 + ord(c)) % (1 << 64)
+    return int(textbytes.mix(np.array([value], np.uint64))[0]) % buckets
+
+
+def plain_grams(text, orders, buckets):
+    return [bucket(text[i : i + n], buckets) for n in orders for i in range(len(text) - n + 1)]
+
+
+ODD_TEXTS = ["The quick  brown-fox 12 jumps.\nOver THE lazy dog\nOver THE lazy dog\n", "éÉ ß İ ǅ 日本 \U0001f600!!", "x", "1234 ,,", " a  b ", "word " * 40 + "end"]
+
+
+def test_language_against_brute_force(spark):
+    train = [("the cat sat on the mat", "en"), ("a dog and the fox", "en"), ("le chat est sur le tapis", "fr"), ("un chien et le renard", "fr")] * 4
+    model = langid.fit(frame(spark, [(i, t, x, None, None) for i, (t, x) in enumerate(train)]))
+    got = {r.doc_id: r for r in langid.predict(frame(spark, [(i, t, None, None, None) for i, t in enumerate(ODD_TEXTS)]), model).collect()}
+    for i, text in enumerate(ODD_TEXTS):
+        if not any(map(str.isalpha, text)):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        tf = collections.Counter(plain_grams(folded_plain(text), langid.ORDERS, langid.DIMS))
+        v = {k: np.log1p(n) * model.idf[k] for k, n in tf.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        near = [sum(x / norm * c[k] for k, x in v.items()) for c in model.centroids]
+        best = max(range(len(near)), key=lambda j: near[j])
+        assert got[i].lang_pred == model.langs[best] and got[i].score == pytest.approx(min(1, max(0, near[best])), abs=1e-9)
+        assert got[i].rejected == (1 - near[best] > model.radius[best])
+
+
+def test_toxicity_against_brute_force(spark):
+    rows = [(f"fine words here {i % 7}", 0) for i in range(60)] + [(f"you utter scumbag {i % 7}", 1) for i in range(30)] + [("neither", 3), ("unlabelled", None)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    texts = [*ODD_TEXTS, "an utter SCUMBAG!", "fine words"]
+    got = {r.doc_id: r.score for r in toxicity.predict(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), model).collect()}
+    # the features and their ratios, by counting
+    held = [(set(plain_grams(folded_plain(t), toxicity.ORDERS, toxicity.BUCKETS)), y) for t, y in rows if y in (0, 1)]
+    for k in np.flatnonzero(model.weights).tolist():
+        table = [[sum((k in s) == has and y == c for s, y in held) for has in (True, False)] for c in (1, 0)]
+        total = sum(map(sum, table))
+        g = 2 * sum(x * np.log(x * total / (sum(table[i]) * (table[0][j] + table[1][j]))) for i in (0, 1) for j in (0, 1) if (x := table[i][j]))
+        assert g > toxicity.STRENGTH
+    for i, text in enumerate(texts):
+        z = model.bias + sum(float(model.weights[k]) for k in set(plain_grams(folded_plain(text), toxicity.ORDERS, toxicity.BUCKETS)))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_quality_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(0, 0.2, quality.DIMS), 0.1, 0.5)
+    got = {r.doc_id: r.score for r in quality.predict(frame(spark, [(i, t, None, None, None) for i, t in enumerate(ODD_TEXTS)]), model).collect()}
+    kind = lambda c: "a" if c.islower() else "A" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c if ord(c) < 128 else "\x01"
+    for i, text in enumerate(ODD_TEXTS):
+        tf = collections.Counter(plain_grams("".join(map(kind, text)), quality.ORDERS, quality.BUCKETS))
+        x = np.zeros(quality.DIMS)
+        for k, n in tf.items():
+            x[k] = np.log1p(1000 * n / len(text)) / 4
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        n = max(1, len(w))
+        seen, copied = set(), 0
+        for line in text.split("\n"):
+            copied += len(line.encode()) if line in seen else 0
+            seen.add(line)
+        measures = [sum(a == b for a, b in zip(w, w[1:])) / n, sum(a == b for a, b in zip(w, w[2:])) / n, copied / len(text.encode()), max(0.0, 0.5 - len(set(w)) / n), 1 / (1 + len(w))]
+        x[quality.BUCKETS : -1] = [float(m > s) for m in measures for s in quality.STEPS]
+        x[-1] = np.log1p(len(text)) / 10
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(x @ model.weights + model.bias))), abs=1e-4)
+
+
+def test_step_changes_nothing(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(20):
+        data = np.frombuffer("".join(rng.choice("aB é1.\n日\U0001f600") for _ in range(rng.randrange(300))).encode(), np.uint8)
+        for step in (1, 7, 50):
+            assert np.array_equal(langid.counts(data, step), langid.counts(data))
+            assert np.array_equal(quality.features(data, step), quality.features(data))
+            assert np.array_equal(toxicity.present(data, None, step), toxicity.present(data))
+            assert learning.has_letter(data) == any(map(str.isalpha, data.tobytes().decode()))
+
+
+def test_samples_are_bounded(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 7), (3, None), (4, 1)], "doc_id long, toxic int")
+    docs = frame(spark, [(1, "same", None, None, None)] * 500 + [(2, f"text {i}", None, None, None) for i in range(400)] + [(3, "odd label", None, None, None)])
+    got = learning.labelled(docs, labels, "toxic", 4, 9, 100).collect()
+    assert sum(r.doc_id == 1 for r in got) <= 1 and not any(r.doc_id == 3 for r in got)
+    assert 50 < len(got) < 160
+    model = langid.fit(docs.withColumn("lang", F.lit("en")), each=50)
+    assert set(model.langs) == {"en"}
+
+
 def test_toxicity_keeps_weaker_features(spark):
     rng = random.Random(11)
     made = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(700))
@@ -205,7 +310,7 @@ def test_decontamination(spark):
     frame_d = frame(spark, [(i, t, None, None, None) for i, t in docs])
     frame_b = spark.createDataFrame(bench, "item_id long, text string")
     named = [("" if i is None else i, t) for i, t in bench if t]
-    for block, limit in ((1 << 20, 1 << 20), (40, 30)):
+    for block, limit in ((1 << 20, 1 << 20), (200, 30)):
         got = decontaminate.scan(frame_d, frame_b, block_bytes=block, limit=limit).collect()
         assert len(got) == len(docs)
         by = collections.defaultdict(list)
@@ -395,7 +500,7 @@ def test_samples_are_exhausted(vocabulary):
 
 
 def test_round_trip_and_batches(spark, vocabulary):
-    texts = ["plain words here", "tabs\tand\nnew  lines ", " lead", "日本語 é \U0001f600", "x" * 300, "a", " ", "mixed 日 words " * 50]
+    texts = ["a \u2581 mark \u2581\u2581x\u2581", "plain words here", "tabs\tand\nnew  lines ", " lead", "日本語 é \U0001f600", "x" * 300, "a", " ", "mixed 日 words " * 50]
     docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
     got = {r.doc_id: r.samples for r in pieces.encode(docs).collect()}
     again = {r.doc_id: r.samples for r in pieces.encode(docs.repartition(5)).collect()}
@@ -407,30 +512,17 @@ def test_round_trip_and_batches(spark, vocabulary):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    assert model.decode(got[0][0].ids) == texts[0]
+    assert model.decode(got[1][0].ids) == texts[1]
     report = pieces.encoded(odd(spark)).collect()
     assert len(report) == 8 and all(r.round_trip and r.distinct for r in report)
-    assert {r.n_pieces for r in report if r.doc_id in (2, 3)} == {0}
+    assert all(len(r.n_pieces) == len(r.ids_sha256) == len(r.log_p) == r.n_samples for r in report)
+    assert {tuple(r.n_pieces) for r in report if r.doc_id in (2, 3)} == {(0,)}
     assert pieces.encoded(odd(spark).limit(0)).count() == 0
 
 
 # --- 8 line dedup
 
 
-def without_repeats(rows):
-    seen, out = set(), {}
-    for i, text in sorted(set(rows)):
-        data = (text or "").encode()
-        cut, gone = set(), 0
-        for a, b, n, _ in linededup.chunks_of(np.frombuffer(data, np.uint8))[1]:
-            if data[a:b] in seen:
-                gone += n
-                cut.update(range(a - 1, b) if a else range(a, min(len(data), b + 1)))
-            seen.add(data[a:b])
-        out[i] = (bytes(c for k, c in enumerate(data) if k not in cut).decode(), gone)
-    return out
-
-
 def test_line_dedup(spark, monkeypatch):
     monkeypatch.setattr(linededup, "GROUP", 2)
     rng = random.Random(6)
@@ -438,7 +530,7 @@ def test_line_dedup(spark, monkeypatch):
     rows = [(i, "\n".join([f"own {i} {j}" for j in range(rng.randrange(5))] + [block] * (i % 3) + ["", f"end {i}"])) for i in range(20)] + [(30, None), (31, ""), (32, block), (32, block)]
     got = linededup.dedup_lines(frame(spark, [(i, t, None, None, None) for i, t in rows])).collect()
     assert len(got) == len(rows)
-    want = without_repeats(rows)
+    want = without_repeated_pairs({(i, t or "") for i, t in rows})
     assert any(gone for _, gone in want.values())
     for r in got:
         assert (r.text, r.n_removed_lines) == want[r.doc_id]
@@ -481,7 +573,7 @@ def test_line_dedup_of_both_forms_with_empty_lines(spark):
 
 def test_boundaries_resist_shifts():
     lines = [f"line number {i}" for i in range(200)]
-    cut = lambda x: {"\n".join(x)[a:b] for a, b, _, _ in linededup.chunks_of(np.frombuffer("\n".join(x).encode(), np.uint8))[1]}
+    cut = lambda x: {"\n".join(x)[a:b] for a, b, _, _ in linededup.anchors(np.frombuffer("\n".join(x).encode(), np.uint8))}
     a, b = cut(lines), cut(lines[:50] + ["inserted"] + lines[50:])
     assert len(a & b) > 0.85 * len(a)
 
@@ -507,7 +599,8 @@ def linked(rows, k, percent):
             if i < j and both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    links = {i: sum(bool(both) and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) for j in sets if j != i for both in [len(sets[i] & sets[j])]) for i in sets}
+    return {i: (len(sets[i]), find(i), links[i]) for i in sets}
 
 
 @pytest.mark.parametrize(("k", "percent", "tokens"), [(4, 85, 1_000_000), (4, 85, 300), (5, 80, 1_000_000)])
@@ -524,8 +617,10 @@ def test_jaccard_join(spark, k, percent, tokens):
     rows += [(100, "one two"), (101, "One  two"), (102, "one"), (103, ""), (104, None), (105, "\t\n"), (106, "")]
     got = jaccardjoin.near_duplicates(frame(spark, [(i, t, None, None, None) for i, t in rows]), k, percent, tokens).collect()
     want = linked(rows, k, percent)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
-    assert len({c for _, c in want.values()}) < len(want)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == want
+    assert len({c for _, c, _ in want.values()}) < len(want)
+    kept = jaccardjoin.drop_near_copies(frame(spark, [(i, t, None, None, None) for i, t in rows]), k, percent, tokens)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c, _) in want.items() if c == i)
 
 
 def test_jaccard_odd(spark):

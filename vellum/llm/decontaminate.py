@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.scratch import documents, filter_rows, small_batches
+from vellum.llm.scratch import documents, filter_rows, lean, materialize, small_batches
 from vellum.llm.textbytes import U, classes, raw, words
 
 WINDOW = 10
@@ -237,38 +237,59 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def blocks(bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Tests]:
-    """The benchmark in blocks of about ``block_bytes``, by a hash of the text; each comes to the driver on its own."""
+def blocks(bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Tests, bool]]:
+    """The benchmark in blocks of about ``block_bytes``, by a hash of the text, and whether a block is the last; the driver holds one at a time."""
     bench = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     for k in range(n):
         rows = bench.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
-        yield Tests(sorted((r.item_id, r.text) for r in rows), window)
+        yield Tests(sorted((r.item_id, r.text) for r in rows), window), k == n - 1
 
 
 def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, limit: int = SHARD) -> DataFrame:
     """One row for every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, matches.
 
-    A null text has no words, on either side; an item of fewer than ``window`` words,
-    but not none, is one window. Items that share an item_id count once; a null
+    ``matches`` lists the longest verbatim matches of ``window`` words or more (or of a
+    whole shorter item): item_id, first word in the item and in the document, words.
+    Every suffix of an item that begins with a window is searched; a shorter one holds
+    none. A null text has no words, on either side; an item of fewer than ``window``
+    words, but not none, is one window. Items that share an item_id count once; a null
     item_id counts as the empty string. Repeated rows each get their row. An empty
-    table on either side gives no hits. Other columns are ignored.
+    table on either side gives no hits. A very long text is searched whole, in
+    stretches that overlap by a window. Other columns are ignored.
+
+    After each block of a benchmark larger than ``block_bytes`` the result so far is
+    written with the texts, so no plan and no driver holds more than one block.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("bits"), F.lit(None).cast(MATCH).alias("matches"))
-    for tests in blocks(bench, window, block_bytes):
-        found = found.mapInArrow(_scan(tests, limit), f"doc_id {id_type}, text string, bits binary, matches {MATCH}, n_words long").select("doc_id", "text", "bits", "matches", "n_words")
-    return found.select("doc_id", "bits", "matches", "n_words").mapInArrow(_report, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches {MATCH}")
+    for tests, last in blocks(bench, window, block_bytes):
+        found = found.mapInArrow(lean(_scan(tests, limit)), f"doc_id {id_type}, text string, bits binary, matches {MATCH}, n_words long").select("doc_id", "text", "bits", "matches", "n_words")
+        if not last:
+            found = materialize(found, "scanned-block")
+    return found.select("doc_id", "bits", "matches", "n_words").mapInArrow(lean(_report), f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches {MATCH}")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, limit: int = SHARD) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no window of any benchmark item."""
-    for tests in blocks(bench, window, block_bytes):
+    """The rows of ``docs``, with all columns, that hold no window of any benchmark item.
+
+    A null or empty text holds none and stays; repeated rows go or stay together. An
+    empty table on either side drops nothing. Texts of any length are searched whole;
+    columns of any name pass through. After each block of a large benchmark the rows
+    left are written.
+    """
+    for tests, last in blocks(bench, window, block_bytes):
         docs = filter_rows(docs, lambda data, at, tests=tests: [not hit.any() for _, hit, _ in find(data, at, tests, limit)])
+        if not last:
+            docs = materialize(docs, "clean-of-block")
     return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("matches")
+    """``scan`` with its matches as their number, the longest one's words, and a digest of item_id:item_word:doc_word:n_words, each once, sorted, comma-joined."""
+    found = scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    said = F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.concat_ws(":", m["item_id"], m["item_word"], m["doc_word"], m["n_words"]))))
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0)).cast("long")
+    return found.select("*", F.size(said).cast("long").alias("n_matches"), longest.alias("longest_match"), F.sha2(F.array_join(said, ","), 256).alias("matches_sha256")).drop("matches")

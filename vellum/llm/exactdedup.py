@@ -1,10 +1,11 @@
 """Exact deduplication by composable polynomial fingerprints.
 
-A text's fingerprint is its bytes read as the digits of a number modulo two primes.
-Fingerprints compose: that of ``a + b`` is that of ``a`` shifted by the length of
+A text's fingerprint is its bytes read as the digits of a number, in two bases, modulo
+a prime. Fingerprints compose: that of ``a + b`` is that of ``a`` shifted by the length of
 ``b``, plus that of ``b``. So the chunks of a huge text are hashed by many tasks and
 their hashes, each shifted by the bytes that follow it, are summed in any order.
-Texts of equal fingerprint and length are compared with one of them, chunk by chunk.
+Texts of equal fingerprint and length are compared with one of them, chunk by chunk;
+the chunks of huge ones meet as rows of their own, in many tasks.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.scratch import documents, materialize, sized, small_batches, without
+from vellum.llm.scratch import documents, keep_rows, lean, materialize, sized, small_batches
 from vellum.llm.textbytes import raw
 
 PRIME = (1 << 31) - 1
@@ -88,30 +89,30 @@ def _chunk_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, id_type: str, huge: int = HUGE) -> DataFrame:
-    """doc_id, n_bytes, fingerprint and text_sha256 of every row, in a written table."""
+    """doc_id, n_bytes, fingerprint, text_sha256 and a number of its own of every row, in a written table."""
     spark = docs.sparkSession
     small_batches(spark)
     schema = f"doc_id {id_type}, n_bytes long, fingerprint long, text_sha256 string"
-    table = materialize(docs.mapInArrow(_fingerprints(huge), schema), "fingerprints")
+    table = materialize(docs.mapInArrow(lean(_fingerprints(huge)), schema).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     if not table.where("fingerprint is null").limit(1).count():
         return table
-    size = F.octet_length("text")
-    chunks = (
-        docs.where(size > huge)
-        .select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), size.cast("long").alias("size"), F.col("text").cast("binary").alias("bytes"))
-        .dropDuplicates(["doc_id", "text_sha256"])
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / CHUNK))).alias("i"))
-        .select("doc_id", "text_sha256", F.greatest(F.col("size") - (F.col("i") + 1) * CHUNK, F.lit(0)).alias("after"), F.expr(f"substring(bytes, cast(i * {CHUNK} + 1 as int), {CHUNK})").alias("chunk"))
-        .repartition(F.hash("text_sha256", "after"))
-    )
+    told = docs.where(F.octet_length("text") > huge).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", "text_sha256"])
+    chunks = chunked(told, "doc_id", "text_sha256").repartition(F.hash("text_sha256", "after"))
     whole = (
-        chunks.mapInArrow(_chunk_hashes, f"doc_id {id_type}, text_sha256 string, a long, b long")
+        chunks.select("doc_id", "text_sha256", "after", "chunk").mapInArrow(lean(_chunk_hashes), f"doc_id {id_type}, text_sha256 string, a long, b long")
         .groupBy("doc_id", "text_sha256")
         .agg((F.sum("a") % PRIME).alias("a"), (F.sum("b") % PRIME).alias("b"))
         .select(F.col("doc_id").alias("huge_id"), F.col("text_sha256").alias("huge_sha"), (F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("composed"))
     )
     joined = table.join(whole, F.col("doc_id").eqNullSafe(F.col("huge_id")) & (F.col("text_sha256") == F.col("huge_sha")), "left")
-    return materialize(joined.select("doc_id", "n_bytes", F.coalesce("fingerprint", "composed").alias("fingerprint"), "text_sha256"), "fingerprints-whole")
+    return materialize(joined.select("doc_id", "n_bytes", F.coalesce("fingerprint", "composed").alias("fingerprint"), "text_sha256", "row"), "fingerprints-whole")
+
+
+def chunked(texts: DataFrame, *kept: str) -> DataFrame:
+    """A row for each chunk of each text: the columns ``kept``, its number, the bytes after it, its bytes."""
+    size = F.octet_length("text").cast("long")
+    rows = texts.select(*kept, size.alias("size"), F.col("text").cast("binary").alias("bytes"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / CHUNK))).alias("part"))
+    return rows.select(*kept, "part", F.greatest(F.col("size") - (F.col("part") + 1) * CHUNK, F.lit(0)).alias("after"), F.expr(f"substring(bytes, cast(part * {CHUNK} + 1 as int), {CHUNK})").alias("chunk"))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +132,8 @@ def dedup(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     Of equal texts the row with the largest doc_id stays; of repeated rows with that
     doc_id, one. A null text counts as empty; a null doc_id is below all others. No
     normalisation. Other columns are ignored. An empty table gives an empty result.
+    Texts of any length are compared whole; those over ``huge`` bytes meet chunk by
+    chunk.
 
     Groups are aggregated before they are joined to their rows. A large group is
     compared in as many tasks as its size asks for: its representative's text is
@@ -144,38 +147,48 @@ def dedup(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     groups = materialize(table.groupBy(*key).agg(F.count("*").alias("n"), F.max("doc_id").alias("rep_id")).where("n > 1"), "copy-groups")
     members = materialize(table.join(sized(groups), key).select("doc_id", *key, "text_sha256", "n", "rep_id").dropDuplicates(["doc_id", *key, "text_sha256"]), "copy-members")
     at = members.select(F.col("doc_id").alias("member_id"), F.col("text_sha256").alias("sha"), *key, "n", "rep_id")
-    texts = docs.join(sized(at), F.col("doc_id").eqNullSafe(F.col("member_id"))).where(F.sha2(F.col("text").cast("binary"), 256) == F.col("sha"))
+    # by the text too, so that rows without a doc_id do not all meet
+    texts = docs.join(sized(at), F.col("doc_id").eqNullSafe(F.col("member_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")))
     texts = texts.withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int")).dropDuplicates(["member_id", "sha"])
+    large = groups.where(F.col("n_bytes") > huge).limit(1).count() > 0
+    if large:
+        whole_texts, texts = texts.where(F.col("n_bytes") > huge), texts.where(F.col("n_bytes") <= huge)
     is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id"))
     reps = texts.where(is_rep).dropDuplicates(key).select(*key, F.col("text").alias("rep_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = texts.where(~is_rep).select(*key, "text", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
     pairs = others.join(reps.hint("merge"), [*key, "salt"]).select(*key, "text", "rep_text")
-    split = materialize(pairs.mapInArrow(_compare, "fingerprint long, n_bytes long, same boolean").where("not same").select(*key).distinct().withColumn("collided", F.lit(True)), "collisions")
+    differ = pairs.mapInArrow(lean(_compare), "fingerprint long, n_bytes long, same boolean").where("not same").select(*key)
+    if large:
+        first = chunked(whole_texts.where(is_rep).dropDuplicates(key), *key).select(*key, "part", F.col("chunk").alias("rep_chunk"))
+        differ = differ.unionByName(chunked(whole_texts.where(~is_rep), *key).join(first.hint("merge"), [*key, "part"]).where("chunk <> rep_chunk").select(*key))
+    split = materialize(differ.distinct().withColumn("collided", F.lit(True)), "collisions")
 
     if split.limit(1).count():
         rows = table.join(sized(split), key, "left").withColumn("part", F.when(F.col("collided"), F.col("text_sha256")).otherwise("")).drop("collided")
     else:
         rows = table.withColumn("part", F.lit(""))
     whole = [*key, "part"]
-    final = rows.join(sized(groups.select(*key)), key, "left_semi").groupBy(*whole).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    final = rows.join(sized(groups.select(*key)), key, "left_semi").groupBy(*whole).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("top"))
     out = rows.join(sized(materialize(final, "copy-final")), whole, "left")
-    alone = out.where("group_size is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    copies = out.where("group_size is not null")
-    tops = copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.row_number().over(Window.partitionBy(*whole).orderBy("doc_id")) == 1)
-    rest = copies.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return alone.select(columns).unionByName(tops.select(columns)).unionByName(rest.select(columns))
+    alone = F.col("group_size").isNull()
+    return out.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("top.row"))).alias("kept"),
+        "text_sha256",
+    )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, that stay: one of each group of equal texts."""
-    found = materialize(dedup(docs), "dedup-rows").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    found = materialize(found.where("not kept or n > 1"), "dedup-decisions")
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    # texts are told apart by their digest only where a doc_id is among those decided on
-    mixed = docs.join(sized(materialize(found.select(F.col("doc_id").alias("at")).distinct(), "dedup-ids")), F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
-    stay = mixed.withColumn("vellum_sha", sha).join(sized(found.where("not kept").select(F.col("doc_id").alias("at"), F.col("text_sha256").alias("of"))), F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("vellum_sha") == F.col("of")), "left_anti")
-    return without(docs, found).unionByName(stay.dropDuplicates(["doc_id", "vellum_sha"]).drop("vellum_sha"))
+    """The rows of ``docs``, with all columns, that stay: one of each group of equal texts, as ``dedup`` has it.
+
+    A null text is an empty one; a null doc_id is below all others. Of repeated rows
+    one stays; of rows that share a doc_id, only those with a copied text may go. An
+    empty table stays empty; texts of any length and columns of any name pass through.
+    """
+    found = materialize(dedup(docs), "dedup-rows").select("doc_id", F.col("text_sha256").alias("text_key"), "kept")
+    return keep_rows(docs, found, lambda text: F.sha2(text.cast("binary"), 256))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

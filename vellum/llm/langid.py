@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.learning import codes, folded, grams, has_letter, remainder
-from vellum.llm.scratch import documents, small_batches
+from vellum.llm.learning import code_parts, folded_parts, gram_parts, has_letter, remainder
+from vellum.llm.scratch import documents, lean, small_batches
 from vellum.llm.textbytes import raw
 
 DIMS = 4096
@@ -25,8 +25,6 @@ ORDERS = (1, 2, 3)
 #: Texts of all languages together, and of each at most, that the centroids are fitted on.
 SAMPLE, SAMPLE_EACH = 4000, 1000
 CLUSTERS = 4
-#: Code points that are counted at a time.
-STEP = 1 << 20
 
 
 @dataclass
@@ -37,12 +35,11 @@ class Model:
     radius: np.ndarray  # distance beyond which a text is rejected
 
 
-def counts(points: np.ndarray) -> np.ndarray:
+def counts(data: np.ndarray, step: int | None = None) -> np.ndarray:
+    """How often each bucket's n-grams occur in a text; ``step`` bytes are met at a time, which changes nothing."""
     total = np.zeros(DIMS, np.float64)
-    for i in range(0, len(points), STEP):
-        part = folded(points[i : i + STEP])
-        for n in ORDERS:
-            total += np.bincount(grams(part, n, DIMS), minlength=DIMS)
+    for g in gram_parts(folded_parts(code_parts(data, step)), ORDERS, DIMS):
+        total += np.bincount(g, minlength=DIMS)
     return total
 
 
@@ -56,10 +53,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, at = raw(batch.column(1))
         langs, found = [], []
         for i, lang in enumerate(batch.column(0).to_pylist()):
-            points = codes(data[at[i] : at[i + 1]])
-            if has_letter(points):
+            own = data[at[i] : at[i + 1]]
+            if has_letter(own):
                 langs.append(lang)
-                found.append(counts(points).astype(np.float32).tobytes())
+                found.append(counts(own).astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "tf"])
 
 
@@ -77,7 +74,7 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(docs: DataFrame, each: int = SAMPLE_EACH, total: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
-    """Fit on a sample of texts with a known language: bounded by ``each`` and ``total``, chosen by a hash of doc_id."""
+    """Fit on a sample of texts with a known language: bounded by ``each`` and ``total``, chosen by a hash of doc_id and text; equal rows count once."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -86,8 +83,8 @@ def fit(docs: DataFrame, each: int = SAMPLE_EACH, total: int = SAMPLE, clusters:
         return Model([], np.zeros((0, DIMS)), np.ones(DIMS), np.zeros(0))
     each = min(each, max(1, total // len(sizes)))
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))) for lang, n in sizes.items()])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
-    found = chosen.select("lang", "text").mapInArrow(_features, "lang string, tf binary").toPandas()
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["doc_id", "lang", "text"])
+    found = chosen.select("lang", "text").mapInArrow(lean(_features), "lang string, tf binary").toPandas()
     if not len(found):
         return Model([], np.zeros((0, DIMS)), np.ones(DIMS), np.zeros(0))
     found = found.sort_values(["lang", "tf"])
@@ -112,7 +109,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text and one without a letter are ``und`` with score 0 and rejected, as
     all texts are if nothing was learned. Ties go to the language that sorts first.
-    Whole texts are read, a bounded stretch at a time; other columns are ignored.
+    Repeated rows each get their row, equal texts the same values. An empty table
+    gives an empty result. Whole texts are read, a bounded stretch at a time, with
+    the n-grams across its ends; other columns are ignored.
     The model has a fixed number of centroids a language, whatever the corpus.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -123,17 +122,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             data, at = raw(batch.column(1))
             out = []
             for i in range(batch.num_rows):
-                points = codes(data[at[i] : at[i + 1]])
-                if not model.langs or not has_letter(points):
+                own = data[at[i] : at[i + 1]]
+                if not model.langs or not has_letter(own):
                     out.append(("und", 0.0, True))
                     continue
-                near = model.centroids @ vectors(counts(points), model.idf)
+                near = model.centroids @ vectors(counts(own), model.idf)
                 j = int(np.argmax(near))
                 out.append((model.langs[j], float(min(1.0, max(0.0, near[j]))), bool(1 - near[j] > model.radius[j])))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

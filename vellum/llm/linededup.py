@@ -18,11 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.scratch import documents, materialize, sized, small_batches
-from vellum.llm.textbytes import _table, raw, words
+from vellum.llm.scratch import documents, lean, materialize, sized, small_batches
+from vellum.llm.textbytes import EXACT, LINE, raw, words
 
-EXACT = _table(False)
-LINE = np.arange(256) != 10
 #: Factor of the rolling hash over two lines.
 ROLL = 0x9E3779B97F4A7C15
 #: Occurrences of an anchor that are compared in one task before it is salted.
@@ -49,16 +47,16 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row += [i] * len(own)
             found += own
         columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-        ids = batch.column(0).take(pa.array(row, pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]], names=["doc_id", "start", "stop", "line", "hash"])
+        at_row = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at_row), batch.column(2).take(at_row), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]], names=["doc_id", "text_key", "start", "stop", "line", "hash"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, chunks) -> a row with its bytes for each of the chunks."""
+    """(doc_id, text, text_key, chunks) -> a row with its bytes for each of the chunks."""
     for batch in batches:
         data, at = raw(batch.column(1))
         row, start, stop, line, key, part = [], [], [], [], [], []
-        for i, chunks in enumerate(batch.column(2).to_pylist()):
+        for i, chunks in enumerate(batch.column(3).to_pylist()):
             for c in chunks:
                 row.append(i)
                 start.append(c["start"])
@@ -66,7 +64,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 line.append(c["line"])
                 key.append(c["hash"])
                 part.append(data[at[i] + c["start"] : at[i] + c["stop"]].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(line, pa.int32()), pa.array(key, pa.int64()), pa.array(part, pa.binary())], names=["doc_id", "start", "stop", "line", "hash", "bytes"])
+        at_row = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at_row), batch.column(2).take(at_row), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(line, pa.int32()), pa.array(key, pa.int64()), pa.array(part, pa.binary())], names=["doc_id", "text_key", "start", "stop", "line", "hash", "bytes"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +90,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row for every row of ``docs``: doc_id, the remaining text, n_lines, n_removed_lines, n_removed_chunks.
 
     Removed chunks are whole passages of two lines or more. A null text counts as
-    empty. Rows of one doc_id are one document: two lines at the same place of theirs
-    are one occurrence. A null doc_id is below all others. Empty lines between two
-    lines belong to them and count as lines of the document; one after a passage
-    stays. Other columns are ignored; an empty table gives an empty result.
+    empty. Equal rows (doc_id and text) are one document: two lines at the same place
+    of theirs are one occurrence. Rows that share a doc_id but not the text are
+    documents of their own, ordered by a hash of the text. A null doc_id is below all
+    others. Empty lines between two lines belong to them and count as lines of the
+    document; one after a passage stays. Texts of any length are read whole. Other
+    columns are ignored; an empty table gives an empty result.
 
     Only anchors' hashes and places are grouped; the bytes of repeated ones alone are
     moved, and the occurrences of a very frequent one are compared in as many tasks
@@ -103,26 +104,28 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = materialize(docs.mapInArrow(_chunker, f"doc_id {id_type}, start long, stop long, line int, hash long"), "line-chunks")
-    places = found.groupBy("hash", "doc_id", "start", "stop", "line").agg(F.lit(1).alias("one")).drop("one")
+    place = f"doc_id {id_type}, text_key long, start long, stop long, line int, hash long"
+    found = materialize(docs.mapInArrow(lean(_chunker), place), "line-chunks")
+    places = found.distinct().withColumn("n_bytes", F.col("stop") - F.col("start"))
     key = ["hash", "n_bytes"]
-    places = places.withColumn("n_bytes", F.col("stop") - F.col("start"))
     # a null doc_id sorts first in min over structs
-    groups = materialize(places.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1"), "repeated-chunks")
+    groups = materialize(places.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first")).where("n > 1"), "repeated-chunks")
     hits = materialize(places.join(sized(groups), key), "chunk-places")
-    wanted = hits.groupBy(F.col("doc_id").alias("owner")).agg(F.collect_list(F.struct("start", "stop", "line", "hash")).alias("chunks"))  # a document's own chunks
-    cut = docs.join(materialize(wanted, "chunk-owners").hint("merge"), F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "text", "chunks")
-    cut = cut.mapInArrow(_cut, f"doc_id {id_type}, start long, stop long, line int, hash long, bytes binary").withColumn("n_bytes", F.col("stop") - F.col("start"))
+    owner = [F.col("doc_id").alias("owner"), F.col("text_key").alias("owner_key")]
+    of_owner = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("text_key") == F.col("owner_key"))
+    wanted = hits.groupBy(*owner).agg(F.collect_list(F.struct("start", "stop", "line", "hash")).alias("chunks"))  # a document's own chunks
+    cut = docs.join(materialize(wanted, "chunk-owners").hint("merge"), of_owner).select("doc_id", "text", "text_key", "chunks")
+    cut = cut.mapInArrow(lean(_cut), f"{place}, bytes binary").withColumn("n_bytes", F.col("stop") - F.col("start"))
     cut = materialize(cut.join(sized(groups), key), "chunk-bytes").withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("start") == F.col("first.start"))
     firsts = cut.where(is_first).dropDuplicates(key).select(*key, F.col("bytes").alias("first_bytes"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    others = cut.where(~is_first).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int"))
+    others = cut.where(~is_first).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "start"), F.col("salts")).cast("int"))
     same = others.join(firsts.hint("merge"), [*key, "salt"]).where(F.col("bytes") == F.col("first_bytes"))
-    per = same.select("doc_id", "start", "stop", "line").distinct().groupBy(F.col("doc_id").alias("owner")).agg(F.collect_list(F.struct("start", "stop", "line")).alias("cuts"))
-    final = docs.join(materialize(per, "chunk-cuts").hint("merge"), F.col("doc_id").eqNullSafe(F.col("owner")), "left").select("doc_id", "text", "cuts")
-    return final.mapInArrow(_remove, f"doc_id {id_type}, text string, n_lines long, n_removed_lines long, n_removed_chunks long")
+    per = same.select("doc_id", "text_key", "start", "stop", "line").distinct().groupBy(*owner).agg(F.collect_list(F.struct("start", "stop", "line")).alias("cuts"))
+    final = docs.join(materialize(per, "chunk-cuts").hint("merge"), of_owner, "left").select("doc_id", "text", "cuts")
+    return final.mapInArrow(lean(_remove), f"doc_id {id_type}, text string, n_lines long, n_removed_lines long, n_removed_chunks long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

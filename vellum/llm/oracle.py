@@ -25,13 +25,17 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 def decontamination(window: int = 10) -> str:
     words = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-    return f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents), b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS w FROM benchmark),
-win AS (SELECT DISTINCT item, least(len(w), {window}) AS n, array_to_string(w[i:i + {window - 1}], ' ') AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {window - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+    return f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents), b AS (SELECT row_number() OVER () AS no, coalesce(item_id::VARCHAR, '') AS item, {words} AS w FROM benchmark),
+win AS (SELECT no, item, j, least(len(w), {window}) AS n, array_to_string(w[j:j + {window - 1}], ' ') AS g FROM (SELECT no, item, w, unnest(range(1, greatest(len(w) - {window - 1}, 1) + 1)) AS j FROM b WHERE len(w) > 0)),
 pos AS (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
-m AS (SELECT p.id, p.i, p.n, win.item FROM pos p JOIN win ON win.n = p.n AND win.g = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+m AS (SELECT p.id, p.i, p.n, win.no, win.item, win.j FROM pos p JOIN win ON win.n = p.n AND win.g = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
 h AS (SELECT id, count(DISTINCT i + k) AS n_hit FROM m, range({window}) t(k) WHERE k < n GROUP BY id),
-j AS (SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT id, item FROM m) GROUP BY id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN h ON h.id = d.id LEFT JOIN j ON j.id = d.id"""
+j AS (SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT id, item FROM m) GROUP BY id),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY id, no, i - j ORDER BY i) AS run FROM m),
+long AS (SELECT DISTINCT id, concat_ws(':', item, min(j) - 1, min(i) - 1, max(i) - min(i) + any_value(n)) AS said, max(i) - min(i) + any_value(n) AS size FROM runs GROUP BY id, no, item, i - j, run),
+l AS (SELECT id, count(*) AS n_matches, max(size)::BIGINT AS longest, sha256(string_agg(said, ',' ORDER BY said)) AS said FROM long GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+coalesce(n_matches, 0) AS n_matches, coalesce(longest, 0) AS longest_match, coalesce(said, sha256('')) AS matches_sha256 FROM d LEFT JOIN h ON h.id = d.id LEFT JOIN j ON j.id = d.id LEFT JOIN l ON l.id = d.id"""
 
 
 def shards() -> str:
@@ -48,4 +52,4 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(node, reach) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach), c AS (SELECT node, min(reach) AS root FROM r GROUP BY node)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id"""
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, coalesce(k.n_links, 0) AS n_links FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id LEFT JOIN (SELECT a, count(*) AS n_links FROM u GROUP BY a) k ON k.a = d.doc_id"""

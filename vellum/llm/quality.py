@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.learning import codes, grams, kinds, labelled, remainder, sampled, sigmoid
-from vellum.llm.scratch import documents, filter_rows, small_batches
-from vellum.llm.textbytes import classes, raw, words
+from vellum.llm.learning import code_parts, gram_parts, kinds, labelled, remainder, sampled, sigmoid
+from vellum.llm.scratch import documents, filter_rows, lean, small_batches
+from vellum.llm.textbytes import EXACT, LINE, classes, raw, words
 
 BUCKETS = 1024
 ORDERS = (1, 2, 3, 4)
@@ -31,7 +31,6 @@ MEASURES = 5
 DIMS = BUCKETS + MEASURES * len(STEPS) + 1
 #: Trusted positives and unlabelled texts that the model is fitted on.
 POSITIVES, UNLABELLED = 4000, 8000
-STEP = 1 << 20
 
 
 @dataclass
@@ -43,13 +42,9 @@ class Model:
 
 def _repeats(hashes: np.ndarray, data: np.ndarray) -> list[float]:
     n = max(1, len(hashes))
-    lines = np.flatnonzero(data == 10)
-    edges = np.concatenate(([-1], lines, [len(data)]))
-    seen, copied = set(), 0
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        line = bytes(data[a + 1 : b])
-        copied += len(line) if line in seen else 0
-        seen.add(line)
+    start, end, line = words(data, LINE, EXACT)
+    first = np.unique(line, return_index=True)[1]
+    copied = int((end - start).sum() - (end - start)[first].sum())  # bytes of lines that occurred before
     distinct = len(np.unique(hashes))
     top = 1 - distinct / n
     return [
@@ -61,19 +56,17 @@ def _repeats(hashes: np.ndarray, data: np.ndarray) -> list[float]:
     ]
 
 
-def features(data: np.ndarray) -> np.ndarray:
-    """Rates of n-grams of character kinds, on a log scale, and steps of the measures of repetition."""
-    points = codes(data)
+def features(data: np.ndarray, step: int | None = None) -> np.ndarray:
+    """Rates of n-grams of character kinds, on a log scale, and steps of the measures of repetition; ``step`` bytes are met at a time, which changes nothing."""
     tf = np.zeros(BUCKETS)
-    for i in range(0, len(points), STEP):
-        part = kinds(points[i : i + STEP])
-        for n in ORDERS:
-            tf += np.bincount(grams(part, n, BUCKETS), minlength=BUCKETS)
+    for g in gram_parts(map(kinds, code_parts(data, step)), ORDERS, BUCKETS):
+        tf += np.bincount(g, minlength=BUCKETS)
+    size = int(np.count_nonzero((data & 0xC0) != 0x80))  # characters
     out = np.zeros(DIMS, np.float32)
-    out[:BUCKETS] = np.log1p(1000 * tf / max(1, len(points))) / 4
+    out[:BUCKETS] = np.log1p(1000 * tf / max(1, size)) / 4
     measures = _repeats(words(data, classes(True))[2], data)
     out[BUCKETS:-1] = [float(m > s) for m in measures for s in STEPS]
-    out[-1] = np.log1p(len(points)) / 10
+    out[-1] = np.log1p(size) / 10
     return out
 
 
@@ -84,7 +77,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matrix(rows: DataFrame) -> np.ndarray:
-    found = rows.select("text").mapInArrow(_rows, "x binary").toPandas().sort_values("x")
+    found = rows.select("text").mapInArrow(lean(_rows), "x binary").toPandas().sort_values("x")
     return np.stack([np.frombuffer(x, np.float16) for x in found.x]) if len(found) else np.zeros((0, DIMS), np.float16)
 
 
@@ -146,8 +139,9 @@ def score(model: Model, data: np.ndarray) -> float:
 def predict(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of every row; a null text counts as empty and is scored.
 
-    Whole texts are read. Repeated rows and equal texts get equal scores. Other
-    columns are ignored. The model's size is a parameter.
+    Whole texts are read, a bounded stretch at a time, with the n-grams across its
+    ends. Repeated rows and equal texts get equal scores. An empty table gives an
+    empty result. Other columns are ignored. The model's size is a parameter.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
@@ -158,14 +152,14 @@ def predict(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             found = [score(model, data[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {id_type}, score double, predicted int")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Positives: labelled 1 outside the held-out fold. Unlabelled: texts of all documents outside it, by a hash of doc_id."""
+    """Positives: labelled 1 outside the held-out fold. Unlabelled: texts of all documents outside it, by a hash of doc_id and text; equal rows count once."""
     positives = labelled(docs, labels.where("quality = 1"), "quality", 5, 0, POSITIVES)
     rest = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(remainder(F.col("doc_id"), 5) != 0)
-    return fit(positives, sampled(rest, "doc_id", UNLABELLED, rest.select("doc_id").count(), 13))
+    return fit(positives, sampled(rest, UNLABELLED, rest.select("doc_id").count(), 13))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,5 +170,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows, with all columns, whose text the model scores at the threshold or above."""
+    """The rows, with all columns, whose text the model scores at the threshold or above.
+
+    A null or empty text is scored like any other and goes or stays by its score;
+    repeated rows go or stay together. An empty table stays empty. Columns of any
+    name pass through.
+    """
     return filter_rows(docs, lambda data, at: [score(model, data[a:b]) >= threshold for a, b in zip(at[:-1], at[1:], strict=True)])

@@ -156,8 +156,10 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """Spans of every rule in every text: doc_id, and an array ``<kind>_spans`` for each rule.
 
     A null text counts as empty and has none. A null doc_id keeps its row. Repeated
-    rows each get their spans. Columns besides doc_id and text are ignored. A text of
-    any length is matched whole.
+    rows each get their spans. Spans of one rule do not overlap, those of several may;
+    of equal starts the rule listed first comes first. Columns besides doc_id and text
+    are ignored. A text of any length is matched whole. An empty table gives an empty
+    result.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     indexed = [r for r in rules if trigram_query(r.pattern)]

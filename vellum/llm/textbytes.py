@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at a time; it bounds a worker's memory whatever the length of a text.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -39,7 +39,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-FOLDED = _table(True)
+FOLDED, EXACT = _table(True), _table(False)
+#: Which bytes belong to a line.
+LINE = np.arange(256) != 10
 _POW: dict[str, np.ndarray] = {}
 
 

@@ -15,17 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.learning import codes, folded, grams, labelled, remainder, segments, sigmoid, sum_segments
-from vellum.llm.scratch import documents, materialize, small_batches
+from vellum.llm.learning import code_parts, folded_parts, gram_parts, labelled, remainder, segments, sigmoid, sum_segments
+from vellum.llm.scratch import documents, lean, materialize, small_batches
 from vellum.llm.textbytes import raw
 
 BUCKETS = 1 << 20
-ORDERS = (2, 3, 4, 5)
-#: Labelled texts that the model is fitted on, and features that it keeps: those that tell the classes apart best.
-SAMPLE, FEATURES = 20_000, 8192
-#: Least G-test value of a feature.
-STRENGTH = 10.0
-STEP = 1 << 20
+ORDERS = (3, 4, 5, 6)
+#: Labelled texts that the model is fitted on.
+SAMPLE = 20_000
+#: Least G-test value of a feature: a chance of 0.05 that any of all BUCKETS reaches it without a tie to the class.
+STRENGTH = 29.7
 
 
 @dataclass
@@ -34,21 +33,17 @@ class Model:
     bias: float
 
 
-def _stretches(points: np.ndarray) -> Iterator[np.ndarray]:
-    """Folded stretches; they overlap so that no n-gram is lost."""
-    for i in range(0, max(1, len(points)), STEP):
-        yield folded(points[max(0, i - 2 * max(ORDERS)) : i + STEP])
-
-
-def present(points: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
-    """Distinct buckets, or of them those where ``keep`` is not 0."""
-    found = []
-    for part in _stretches(points):
-        for n in ORDERS:
-            g = grams(part, n, BUCKETS)
-            found.append(g if keep is None else g[keep[g] != 0])
-        found = [np.unique(np.concatenate(found))]
-    return found[0]
+def present(data: np.ndarray, keep: np.ndarray | None = None, step: int | None = None) -> np.ndarray:
+    """Distinct buckets of a text, or of them those where ``keep`` is not 0; ``step`` bytes are met at a time, which changes nothing."""
+    found = np.zeros(0, np.int64)
+    parts = folded_parts(code_parts(data, step))
+    held, size = [], 0
+    for g in gram_parts(parts, ORDERS, BUCKETS):
+        held.append(g if keep is None else g[keep[g] != 0])
+        size += len(held[-1])
+        if size > 2 * BUCKETS:  # a text's distinct buckets are BUCKETS at most
+            found, held, size = np.unique(np.concatenate((found, *held))), [], 0
+    return np.unique(np.concatenate((found, *held)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +52,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = raw(batch.column(0))
         for i, label in enumerate(batch.column(1).to_pylist()):
-            total[present(codes(data[at[i] : at[i + 1]])) + BUCKETS * label] += 1
+            total[present(data[at[i] : at[i + 1]]) + BUCKETS * label] += 1
     parts = list(segments(total))
     for i in range(0, len(parts), 64):
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts[i : i + 64]], pa.int32()), pa.array([b for _, b in parts[i : i + 64]], pa.binary())], names=["segment", "counts"])
@@ -74,32 +69,32 @@ def log_likelihood(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) ->
     return 2 * out
 
 
-def fit(rows: DataFrame, features: int = FEATURES) -> Model:
-    """Fit on ``rows`` (text, label 0/1), which the caller bounds. Without both labels the score is the share of label 1."""
+def fit(rows: DataFrame, strength: float = STRENGTH) -> Model:
+    """Fit on ``rows`` (text, label), which the caller bounds. Rows with a label other than 0 and 1 are passed over; without both the score is the share of label 1.
+
+    Every n-gram whose presence depends on the class beyond chance is a feature.
+    """
     small_batches(rows.sparkSession)
-    rows = materialize(rows.select("text", "label"), "toxicity-sample")
+    rows = materialize(rows.select("text", "label").where(F.col("label").isin(0, 1)), "toxicity-sample")
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((n_pos + 0.1) / (n_neg + 1))))
-    table = sum_segments(rows.mapInArrow(_count, "segment int, counts binary"), 2 * BUCKETS)
+    table = sum_segments(rows.mapInArrow(lean(_count), "segment int, counts binary"), 2 * BUCKETS)
     neg, pos = table[:BUCKETS], table[BUCKETS:]
-    strength = log_likelihood(pos, neg, n_pos, n_neg)
-    strength[pos + neg < 3] = 0
-    best = np.argsort(-strength, kind="stable")[:features]
-    best = best[strength[best] > STRENGTH]
+    best = np.flatnonzero(log_likelihood(pos, neg, n_pos, n_neg) > strength)
     ratio = np.zeros(BUCKETS)
-    ratio[best] = np.log((pos[best] + 1) / (pos[best].sum() + len(best))) - np.log((neg[best] + 1) / (neg[best].sum() + len(best)))
+    ratio[best] = np.log((pos[best] + 1) / (n_pos + 2)) - np.log((neg[best] + 1) / (n_neg + 2))
     place = np.full(BUCKETS, -1, np.int32)
     place[best] = np.arange(len(best))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = raw(batch.column(0))
-            found = [place[present(codes(data[at[i] : at[i + 1]]), ratio)].tobytes() for i in range(batch.num_rows)]
+            found = [place[present(data[at[i] : at[i + 1]], ratio)].tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["label", "features"])
 
-    sample = rows.mapInArrow(held, "label int, features binary").toPandas().sort_values(["label", "features"])
+    sample = rows.mapInArrow(lean(held), "label int, features binary").toPandas().sort_values(["label", "features"])
     columns = [np.frombuffer(x, np.int32) for x in sample.features]
     if not len(best):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(n_pos / n_neg)))
@@ -109,7 +104,7 @@ def fit(rows: DataFrame, features: int = FEATURES) -> Model:
     return Model(out, bias)
 
 
-def regress(col: np.ndarray, row: np.ndarray, y: np.ndarray, scale: np.ndarray, ridge: float = 3e-4, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def regress(col: np.ndarray, row: np.ndarray, y: np.ndarray, scale: np.ndarray, ridge: float = 3e-3, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Logistic regression on rows of scaled indicators, by full gradient steps of adaptive size that shrink over the rounds."""
     n, d = len(y), len(scale)
     edges = np.searchsorted(row, np.arange(0, n + 4096, 4096))  # rows are met in blocks, for the driver's memory
@@ -133,8 +128,9 @@ def regress(col: np.ndarray, row: np.ndarray, y: np.ndarray, scale: np.ndarray,
 def predict(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of every row; null and empty texts get the score of a text without features.
 
-    Whole texts are read, a bounded stretch at a time. Repeated rows and equal texts
-    get equal scores. Other columns are ignored.
+    Whole texts are read, a bounded stretch at a time, with the n-grams across its
+    ends. Repeated rows and equal texts get equal scores. An empty table gives an
+    empty result. Other columns are ignored.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
@@ -142,10 +138,10 @@ def predict(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = raw(batch.column(1))
-            score = [float(sigmoid(model.weights[present(codes(data[at[i] : at[i + 1]]), model.weights)].astype(np.float64).sum() + model.bias)) for i in range(batch.num_rows)]
+            score = [float(sigmoid(model.weights[present(data[at[i] : at[i + 1]], model.weights)].astype(np.float64).sum() + model.bias)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {id_type}, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
