@@ -73,6 +73,22 @@ def test_huge_texts_of_colliding_fingerprints(spark, monkeypatch):
     assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True)}
 
 
+@pytest.mark.parametrize("huge", [1000, 1 << 24])
+def test_colliding_texts_of_one_doc_id(spark, huge, monkeypatch):
+    monkeypatch.setattr(exactdedup, "CHUNK", 256)
+    monkeypatch.setattr(exactdedup, "_POWERS", [])
+    real = exactdedup.fingerprints
+    monkeypatch.setattr(exactdedup, "fingerprints", lambda *a, **b: real(*a, **b).withColumn("fingerprint", F.lit(7).cast("long")))
+    for a, b in (("aa", "bb"), ("a" * 2000, "a" * 1999 + "b")):
+        docs = frame(spark, [(7, a), (7, b), (6, b), (None, a), (None, b)])
+        got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exactdedup.dedup(docs, huge).collect()), key=str)
+        assert got == sorted([(7, 7, 2, True), (7, 7, 3, True), (6, 7, 3, False), (None, 7, 2, False), (None, 7, 3, False)], key=str)
+        assert rows(exactdedup.drop_copies(docs)) == rows(frame(spark, [(7, a), (7, b)]))
+    docs = frame(spark, [(7, "aa"), (7, "bb")])
+    assert {(r.group_size, r.kept) for r in exactdedup.dedup(docs, huge).collect()} == {(1, True)}
+    assert exactdedup.drop_copies(docs).count() == 2
+
+
 def test_lines_of_rows_that_share_a_doc_id(spark):
     p, other = "a first line\na second line\nend é", "é\u00fc own\nquite other\nlines"
     got = linededup.dedup_lines(clashing(frame(spark, [(1, p), (2, p), (2, other), (2, other), (None, p)]))).collect()

@@ -137,23 +137,24 @@ def dedup(docs: DataFrame, huge: int = HUGE) -> DataFrame:
 
     Groups are aggregated before they are joined to their rows. A large group is
     compared in as many tasks as its size asks for: its representative's text is
-    repeated once for each. Should texts of equal fingerprint differ, their group is
-    split by SHA-256.
+    repeated once for each. Should texts of equal fingerprint differ, those of one
+    doc_id included, their group is split by SHA-256.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     key = ["fingerprint", "n_bytes"]
     table = fingerprints(docs, id_type, huge)
-    groups = materialize(table.groupBy(*key).agg(F.count("*").alias("n"), F.max("doc_id").alias("rep_id")).where("n > 1"), "copy-groups")
-    members = materialize(table.join(sized(groups), key).select("doc_id", *key, "text_sha256", "n", "rep_id").dropDuplicates(["doc_id", *key, "text_sha256"]), "copy-members")
-    at = members.select(F.col("doc_id").alias("member_id"), F.col("text_sha256").alias("sha"), *key, "n", "rep_id")
+    groups = materialize(table.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "text_sha256")).alias("rep")).where("n > 1"), "copy-groups")
+    members = materialize(table.join(sized(groups), key).select("doc_id", *key, "text_sha256", "n", "rep").dropDuplicates(["doc_id", *key, "text_sha256"]), "copy-members")
+    at = members.select(F.col("doc_id").alias("member_id"), F.col("text_sha256").alias("sha"), *key, "n", "rep")
     # by the text too, so that rows without a doc_id do not all meet
     texts = docs.join(sized(at), F.col("doc_id").eqNullSafe(F.col("member_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")))
     texts = texts.withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int")).dropDuplicates(["member_id", "sha"])
     large = groups.where(F.col("n_bytes") > huge).limit(1).count() > 0
     if large:
         whole_texts, texts = texts.where(F.col("n_bytes") > huge), texts.where(F.col("n_bytes") <= huge)
-    is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id"))
+    # by the text too: another text of the representative's doc_id is compared like any other
+    is_rep = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("sha") == F.col("rep.text_sha256"))
     reps = texts.where(is_rep).dropDuplicates(key).select(*key, F.col("text").alias("rep_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = texts.where(~is_rep).select(*key, "text", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
     pairs = others.join(reps.hint("merge"), [*key, "salt"]).select(*key, "text", "rep_text")
