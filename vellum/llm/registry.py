@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, exactdedup, jaccardjoin, langid, linededup, oracle, pieces, quality, secrets, sharding, toxicity
+from vellum.llm import clustering, decontaminate, exactdedup, jaccardjoin, langid, linededup, oracle, packing, pieces, quality, secrets, sharding, spelling, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": linededup.query,
         "op9_toxicity": toxicity.query,
         "op10_jaccard_join": jaccardjoin.query,
+        "op11_packing": packing.query,
+        "op12_spelling_variants": spelling.query,
+        "op13_centroid_clustering": clustering.query,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_sharding": oracle.shards(),
         "op6_exact_dedup": exactdedup.SQL,
         "op10_jaccard_join": oracle.jaccard_join(),
+        "op12_spelling_variants": spelling.sql(),
+        "op13_centroid_clustering": clustering.sql(),
     }
