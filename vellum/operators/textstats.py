@@ -72,20 +72,3 @@ def phrase_counts(docs: DataFrame, phrases: tuple[str, ...] = T.TELL_PHRASES, te
     listed = F.array(*[F.struct(F.lit(p).alias("phrase"), F.coalesce(f"p{i}", F.lit(0)).alias("n")) for i, p in enumerate(phrases)])
     return sums.select(F.explode(listed).alias("e")).select("e.phrase", "e.n").where("n > 0")
 
-
-def entity_candidates(docs: DataFrame, entities: DataFrame, key: str = "doc_id", text: str = "text", cap: int = 50) -> DataFrame:
-    """(key, entity_id, surface, offset) of the catalogue's entities in each text, first offset each, the first ``cap`` by offset; and how many are cut. Exact matches are the only kind here, so they come first of themselves.
-
-    ``entities``: entity_id, surface (whole lower-case words). Surfaces are joined by
-    their first word, so the work follows the matches and not the catalogue.
-    """
-    from pyspark.sql import Window
-
-    split = entities.select("entity_id", "surface", F.element_at(T.words(F.lower("surface")), 1).alias("head")).where("head is not null")
-    tokens = docs.select(key, F.explode(F.array_distinct(T.words(F.lower(text)))).alias("head"))
-    near = tokens.join(split, "head").select(key, "entity_id", "surface")
-    found = docs.select(key, text).join(near, key).select(key, "entity_id", "surface", F.expr(f"instr(lower({text}), surface)").alias("offset")).where("offset > 0")
-    first = found.groupBy(key, "entity_id").agg(F.min(F.struct("offset", "surface")).alias("m")).select(key, "entity_id", "m.surface", (F.col("m.offset") - 1).alias("offset"))
-    w = Window.partitionBy(key).orderBy("offset", "entity_id")  # the matches of one text, at most one for each entity
-    n = F.count("*").over(Window.partitionBy(key))
-    return first.withColumn("place", F.row_number().over(w)).withColumn("truncated", F.greatest(n - cap, F.lit(0))).where(F.col("place") <= cap).drop("place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import html, textstats
+from vellum.operators import entities, html, textstats
 from vellum.session import table
 
 QUOTED = lambda words: ", ".join(f"'{w}'" for w in words)
@@ -83,12 +83,19 @@ PHRASE_SQL = " UNION ALL ".join(f"SELECT '{p}' AS phrase, sum((length(text) - le
 
 
 def entity_link_candidates(spark, d):
-    """Benchmark passages as entities, found whole in documents."""
-    entities = table(spark, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.lower("text").alias("surface"))
-    return textstats.entity_candidates(table(spark, d, "documents"), entities).select("doc_id", "entity_id", "offset", F.col("truncated").cast("long").alias("truncated"))
-
-
-ENTITIES = "SELECT doc_id, item_id AS entity_id, (strpos(lower(d.text), lower(b.text)) - 1)::INT AS offset, 0::BIGINT AS truncated FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))"
+    """Benchmark passages as entities, under the passage itself and its first and last word; at most fifty of a document."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("entity_id"), F.lower("text").alias("whole")).withColumn("w", T.words(F.col("whole")))
+    catalogue = items.select("entity_id", F.explode(F.array("whole", F.get("w", F.lit(0)), F.get("w", F.size("w") - 1))).alias("surface"))
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return entities.link_candidates(docs, catalogue).select("doc_id", "entity_id", F.md5("matched").alias("matched"), "start", "end", "wikilink", "truncated")
+
+
+ENTITIES = """WITH i AS (SELECT item_id::VARCHAR AS id, lower(text) AS s, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark), e AS (SELECT DISTINCT id, s FROM (SELECT id, unnest([s, w[1], w[-1]]) AS s FROM i) WHERE s <> ''),
+m AS (SELECT doc_id, t, s, string_split(t, s) AS p FROM (SELECT doc_id, lower(text) AS t FROM documents), (SELECT DISTINCT s FROM e) WHERE contains(t, s)),
+o AS (SELECT doc_id, t, s, unnest(list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda x: length(x)))::BIGINT + (k - 1) * length(s))) AS a FROM m),
+f AS (SELECT doc_id, s, min(a) AS a FROM o WHERE NOT regexp_matches(t[a:a], '[\\p{L}\\p{N}_]') AND NOT regexp_matches(t[a + length(s) + 1:a + length(s) + 1], '[\\p{L}\\p{N}_]') GROUP BY doc_id, s),
+r AS (SELECT doc_id, id, s, a, row_number() OVER (PARTITION BY doc_id ORDER BY a, a + length(s), id, s) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM f JOIN e USING (s))
+SELECT doc_id, id AS entity_id, md5(s) AS matched, a AS start, a + length(s) AS "end", concat('[[', id, ']]') AS wikilink, greatest(n - 50, 0) AS truncated FROM r WHERE k <= 50"""
 
 
 def html_links(spark, d):
