@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import ingest
+from vellum.scratch import scratch_path
 from vellum.session import table
+from vellum.sources import ledger
 
 NORMAL = r"""regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '[ \t\f\v]+(\n|$)', '\1', 'g')), '^\s+|\s+$', '', 'g')"""
 
@@ -106,6 +108,23 @@ def run_size_cut(spark, d):
     return ingest.run_cut(files, "run_id", ["ts", "event_id"], "bytes", 500_000).groupBy("run_id", "state").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
+def commit_protocol(spark, d):
+    """Events as files, committed to a ledger in two batches of which the second comes twice; by batch and run what is read back."""
+    path = scratch_path(spark, "ledger")
+    files = _manifest(spark, d).select("run_id", "sha256", F.col("event_id").alias("file_no"))
+    for batch, rest in (("a", 0), ("b", 1), ("b", 1)):
+        ledger.append(files.where(F.col("file_no") % 2 == rest), path, batch)
+    rows = ledger.read(spark, path, "run_id string, sha256 string, file_no long, status string")
+    whole = rows.groupBy("batch").agg(F.min("manifest_offset").alias("offset"), F.max(F.col("manifest_offset") + F.col("n_bytes")).alias("end"), F.countDistinct("manifest_offset").alias("n_lines"))
+    runs = rows.groupBy("batch", "run_id").agg(F.count_if(F.col("status") == "intent").alias("n_intent"), F.count_if(F.col("status") == "committed").alias("n_committed"), F.countDistinct("file_no").alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
+    return runs.join(F.broadcast(whole), "batch")  # a row for each batch
+
+
+COMMITS = """l AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS batch, run_id, event_id, status, length(concat('{"run_id":"', run_id, '","sha256":"', sha256, '","file_no":', event_id, ',"status":"', s.status, '"}')) + 1 AS n FROM (SELECT run_id, sha256, event_id FROM m), (SELECT unnest(['intent', 'committed']) AS status) s),
+w AS (SELECT batch, count(*) AS n_lines, sum(n)::BIGINT AS size FROM l GROUP BY batch), o AS (SELECT batch, n_lines, (sum(size) OVER (ORDER BY batch))::BIGINT AS "end", size FROM w)
+SELECT l.batch, run_id, count(*) FILTER (status = 'intent') AS n_intent, count(*) FILTER (status = 'committed') AS n_committed, count(DISTINCT event_id) AS n_files, sum(n)::BIGINT AS n_bytes, "end" - size AS "offset", "end", n_lines FROM l JOIN o ON o.batch = l.batch GROUP BY ALL"""
+
+
 def exact_dup_semi(spark, d):
     """Events whose file was committed in another run."""
     m = _manifest(spark, d)
@@ -157,6 +176,7 @@ QUERIES = {
     "intent_unresolved": (intent_unresolved, f"WITH {MANIFEST} SELECT run_id, sha256, event_id FROM m WHERE status = 'intent' AND NOT EXISTS (SELECT 1 FROM m x WHERE x.run_id = m.run_id AND x.sha256 = m.sha256 AND x.status <> 'intent')"),
     "run_summary": (run_summary, f"WITH {MANIFEST} SELECT run_id, count(*) FILTER (status = 'intent') AS n_intent, count(*) FILTER (status = 'committed') AS n_committed, count(*) FILTER (status = 'quarantined') AS n_quarantined, count(*) FILTER (status = 'rolled_back') AS n_rolled_back, count(DISTINCT sha256) AS n_files, round(sum(value), 2) AS size FROM m GROUP BY run_id"),
     "run_size_cut": (run_size_cut, f"WITH {MANIFEST}, b AS (SELECT run_id, round(value * 100)::BIGINT AS bytes, ts, event_id FROM m), c AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT run_id, CASE WHEN before >= 500000 THEN 'skipped' ELSE 'processed' END AS state, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM c GROUP BY ALL"),
+    "commit_protocol": (commit_protocol, f"WITH {MANIFEST}, {COMMITS}"),
     "exact_dup_semi": (exact_dup_semi, f"WITH {MANIFEST} SELECT run_id, count(*) AS n FROM m WHERE status = 'intent' AND EXISTS (SELECT 1 FROM m x WHERE x.sha256 = m.sha256 AND x.status = 'committed' AND x.run_id <> m.run_id) GROUP BY run_id"),
     "backfill_classes": (backfill_classes, f"WITH {MANIFEST}, k AS (SELECT DISTINCT sha256 FROM m WHERE status = 'committed') SELECT CASE WHEN k.sha256 IS NOT NULL THEN 'known' WHEN n_chars >= 1000 THEN 'recomputed' ELSE 'orphaned' END AS kind, count(*) AS n FROM documents LEFT JOIN k ON (doc_id % 120)::VARCHAR = k.sha256 GROUP BY 1"),
     "dir_hash": (dir_hash, "SELECT p_brand, sha256(string_agg(h, chr(10) ORDER BY h)) AS dir_sha256, count(*) AS n_files FROM (SELECT p_brand, sha256(concat(p_partkey, '|', p_name)) AS h FROM part) GROUP BY p_brand"),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.plans.q_ingest import _supersession_sql
 from vellum.scratch import scratch_path
-from vellum.streaming import drops
+from vellum.session import table
+from vellum.streaming import drops, supersede
 
 
 def _events(spark, d):
@@ -47,7 +49,22 @@ def stream_session(spark, d):
     return _run(spark, agg, "stream-session", "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def stream_supersession(spark, d):
+    """All orders as dropped files: the pairs that a stream of them makes, two batches in an order of their own."""
+    supersede.use_store(spark)
+    folder = scratch_path(spark, "stream-supersession")
+    # the newest half of the keys comes first
+    orders = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("stem"), F.col("o_orderdate").cast("date").alias("at"))
+    for part in (1, 0):
+        orders.where(F.col("o_orderkey") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(orders.schema).parquet(f"{folder}/in")
+        found = supersede.supersession(stream, "stem", "at", "o_orderkey")
+        found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out").select("stem", "new_key", "old_key", "gap_days")
+
+
 QUERIES = {
+    "stream_supersession": (stream_supersession, _supersession_sql("<=")),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT props::JSON ->> 'k' AS k FROM events"),
     "stream_expiry_window": (stream_expiry_window, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL"),
     "stream_sliding": (stream_sliding, "SELECT (date_trunc('day', ts) - to_days(k::INT))::TIMESTAMP AS start, count(*) AS n FROM events, range(2) t(k) GROUP BY 1"),
