@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import retrieval, views
+from vellum.operators import rank, retrieval, views
+from vellum.scratch import materialize
 from vellum.session import table
 
 COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
@@ -114,6 +115,32 @@ UNION ALL SELECT query_id, doc_id, 1, '0.1 lexical' FROM q JOIN t ON contains(t,
 UNION ALL SELECT query_id, doc_id, 3, '2 structured' FROM q JOIN t ON w[1] = v[1] WHERE lang = 'en' AND n_chars >= 3000)"""
 
 
+def ppr_queries(spark, d):
+    """For each benchmark item the note that connects those it names, or why there is no rank: documents' first words as notes, linked to the words that follow."""
+    q = _questions(spark, d)
+    opening = materialize(table(spark, d, "documents").select(F.slice(T.words(F.lower("text")), 1, 4).alias("w")).where(F.size("w") >= 1).distinct(), "openings")
+    stems = opening.select(F.col("w")[0].alias("node")).where(F.length("node") >= 3).distinct()
+    edges = opening.select(F.col("w")[0].alias("src"), F.explode(F.slice("w", 2, 3)).alias("dst")).where("src <> dst")
+    seeds = materialize(rank.seeds_of(q, stems), "ppr-seeds")
+    why = rank.skip_reasons(q, seeds)
+    asked = seeds.join(why.where("reason is null").select("query_id"), "query_id", "left_semi")
+    # what is not a seed connects them
+    found = rank.push_rank(edges, asked, least=1e-6).join(seeds, ["query_id", "node"], "left_anti")
+    top = rank.best(found, 1).select("query_id", F.col("node").alias("connector"), F.round("score", 3).alias("score"), (F.col("bound") < 0.001).alias("near"))
+    return why.join(top, "query_id", "left").select("query_id", "n_seeds", "reason", "connector", "score", "near")
+
+
+def _ppr_queries_sql(levels=40):
+    return f"""WITH RECURSIVE q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM benchmark), o AS (SELECT DISTINCT regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')[1:4] AS w FROM documents),
+e AS (SELECT DISTINCT src, dst FROM (SELECT w[1] AS src, unnest(w[2:4]) AS dst FROM o WHERE len(w) > 0) WHERE src <> dst), g AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM e),
+s AS MATERIALIZED (SELECT DISTINCT query_id, node FROM (SELECT query_id, unnest(w) AS node FROM q) JOIN (SELECT DISTINCT w[1] AS stem FROM o WHERE length(w[1]) >= 3) ON stem = node),
+y AS (SELECT q.query_id, count(node) AS n_seeds FROM q LEFT JOIN s ON s.query_id = q.query_id GROUP BY 1),
+m(level, query_id, node, x) AS (SELECT 0, s.query_id, s.node, 1.0::DOUBLE / n_seeds FROM s JOIN y ON y.query_id = s.query_id WHERE n_seeds >= 2
+UNION ALL SELECT level + 1, query_id, dst, sum({rank.DAMPING}::DOUBLE * x / degree) FROM m JOIN g ON src = node WHERE level < {levels} GROUP BY level, query_id, dst),
+p AS (SELECT query_id, node, sum({1 - rank.DAMPING:.2f}::DOUBLE * x) AS score FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, node) AS k FROM p ANTI JOIN s ON s.query_id = p.query_id AND s.node = p.node)
+SELECT y.query_id, n_seeds, CASE n_seeds WHEN 0 THEN '{rank.NO_SEED}' WHEN 1 THEN '{rank.ONE_SEED}' END AS reason, r.node AS connector, round(score, 3) AS score, CASE WHEN r.node IS NOT NULL THEN true END AS near FROM y LEFT JOIN r ON r.query_id = y.query_id AND k = 1"""
+
+
 def retrieval_cascade(spark, d):
     return retrieval.first_hits(_steps(spark, d))
 
@@ -209,6 +236,7 @@ QUERIES = {
     "pairs_greedy_cap": (pairs_greedy_cap, None),
     "see_also": (see_also, SEE_ALSO),
     "rerank_lexical": (rerank_lexical, RERANK),
+    "ppr_queries": (ppr_queries, _ppr_queries_sql()),
     "temporal_route": (temporal_route, ROUTES),
     "retrieval_cascade": (retrieval_cascade, f"WITH {STEPS}, l AS (SELECT query_id, min(place) AS place FROM h GROUP BY 1) SELECT DISTINCT h.query_id, h.step, h.hit FROM h JOIN l ON l.query_id = h.query_id AND l.place = h.place"),
     "confidence_tier": (confidence_tier, f"WITH {STEPS}, n AS (SELECT q.query_id, count(DISTINCT step) AS n_steps FROM q LEFT JOIN h ON h.query_id = q.query_id GROUP BY 1) SELECT *, CASE WHEN n_steps >= 2 THEN 'normal' WHEN n_steps = 1 THEN 'low' ELSE 'refuse' END AS tier FROM n"),
