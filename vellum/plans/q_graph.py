@@ -158,7 +158,7 @@ state AS (SELECT d.sha, superseded_by FROM (SELECT DISTINCT sha FROM done) d LEF
 
 
 def _stale_notes(spark, d):
-    return versions(spark, d).select(F.col("o_orderkey").alias("note"), "type", F.col("is_latest_version").alias("is_latest"), "superseded_date", F.col("document_date").alias("last_updated"), F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 140).cast("string")).alias("sha"))
+    return versions(spark, d).select(F.col("o_orderkey").alias("note"), "type", F.col("is_latest_version").alias("is_latest"), "superseded_date", F.col("document_date").alias("last_updated"), F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 140).cast("string")).alias("sha"), F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("plan_"), F.col("o_custkey").cast("string"), F.lit("_final.docx"))).alias("source_file"), F.col("document_date").cast("string").alias("extracted_at"))
 
 
 def _citations(spark, d):
@@ -166,21 +166,31 @@ def _citations(spark, d):
     return table(spark, d, "orders").select(k.alias("note"), F.explode(F.array((k * 17 + 5) % 1500, (k * 7) % 1500, k)).alias("cited"))
 
 
-NOTES = "n AS (SELECT o_orderkey AS note, type, is_latest_version AS is_latest, superseded_date, document_date AS last_updated, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 140)::VARCHAR END AS sha FROM v)"
+NOTES = "n AS (SELECT o_orderkey AS note, type, is_latest_version AS is_latest, superseded_date, document_date AS last_updated, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 140)::VARCHAR END AS sha, CASE WHEN o_orderkey % 3 = 1 THEN concat('plan_', o_custkey) END AS stem FROM v)"
 CITED = "cit AS (SELECT DISTINCT o_orderkey AS note, unnest([(o_orderkey * 17 + 5) % 1500, (o_orderkey * 7) % 1500, o_orderkey]) AS cited FROM orders)"
-FINDINGS = f"""WITH {V}, {NOTES}, {CITED}, {STATE}, f AS (
+STEMS = "stems AS (SELECT concat('plan_', user_id) AS stem, max((DATE '1994-01-01' + (event_id * 7 % 2400)::INT)::VARCHAR) AS latest FROM events WHERE event_type = 'purchase' GROUP BY 1)"
+FINDINGS = f"""WITH {V}, {NOTES}, {CITED}, {STATE}, {STEMS}, f AS (
 SELECT note, CASE WHEN s.superseded_by IS NOT NULL THEN 'A.1' WHEN s.sha IS NULL THEN 'A.2' END AS rule, n.sha AS about FROM n LEFT JOIN state s ON s.sha = n.sha WHERE n.sha IS NOT NULL
+UNION ALL SELECT note, 'A.3', n.stem FROM n JOIN stems s ON s.stem = n.stem WHERE s.latest > n.last_updated::VARCHAR
 UNION ALL SELECT c.note, CASE WHEN s.is_latest = false THEN 'B.1' WHEN s.superseded_date IS NOT NULL THEN 'B.2' WHEN s.last_updated > n.last_updated THEN 'B.3' END, c.cited::VARCHAR FROM cit c JOIN n s ON s.note = c.cited AND s.type IN ('source', 'decision') JOIN n ON n.note = c.note WHERE c.note <> c.cited
 UNION ALL SELECT DISTINCT c.note, 'C.1', c.cited::VARCHAR FROM cit c JOIN state s ON (c.cited % 140)::VARCHAR = s.sha AND s.superseded_by IS NOT NULL),
 r AS (SELECT DISTINCT note, rule, about, CASE WHEN rule IN ('A.1', 'B.1', 'B.2') THEN 'HIGH' WHEN rule = 'B.3' THEN 'LOW' ELSE 'MEDIUM' END AS confidence, CASE WHEN rule IN ('A.1', 'B.1', 'B.2') THEN 'update-citation' WHEN rule = 'B.3' THEN 'monitor' ELSE 'review' END AS action FROM f WHERE rule IS NOT NULL)"""
 
 
+def _stem_files(spark, d):
+    """Committed events as files of a customer's plan, dated across the years of the orders."""
+    day = F.date_add(F.lit("1994-01-01").cast("date"), (F.col("event_id") * 7 % 2400).cast("int"))
+    return table(spark, d, "events").select(F.col("event_id").cast("string").alias("sha"), F.concat(F.lit("Plan_"), F.col("user_id").cast("string"), F.lit("_v"), (F.col("event_id") % 9).cast("string"), F.lit(".docx")).alias("source_file"), day.cast("string").alias("extracted_at"), F.when(F.col("event_type") == "purchase", "committed").otherwise("intent").alias("status"))
+
+
 def _findings(spark, d):
+    """All seven rules."""
     notes, cited, state = _stale_notes(spark, d), _citations(spark, d), _stale_state(spark, d)
     stems = cited.select("cited").distinct().select("cited", (F.col("cited") % 140).cast("string").alias("sha"))
     b = stale.citation_findings(notes, cited).withColumn("about", F.col("about").cast("string"))
     c = stale.transitive_findings(cited, stems, state).withColumn("about", F.col("about").cast("string"))
-    return stale.rated(stale.own_findings(notes, state).unionByName(b).unionByName(c))
+    a3 = stale.stem_findings(notes, stale.stem_latest(_stem_files(spark, d)))
+    return stale.rated(stale.own_findings(notes, state).unionByName(a3).unionByName(b).unionByName(c))
 
 
 def stale_rules(spark, d):
