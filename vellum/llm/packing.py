@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ LEAST_CUT = 32
 #: Code points of a text that are tokenised at a time, as far as there is a place to cut.
 SLICE = 1 << 18
 #: Words whose ids a worker remembers.
-WORDS = 400_000
+WORDS = 1_200_000
+#: Stands for the ids of what is no single word.
+OTHER = b"?"
 
 #: Before a space between two characters that are not spaces, a new word begins whatever stands around it.
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
@@ -47,8 +50,11 @@ class Encoder:
     """
 
     def __init__(self, path: str = TOKENIZER):
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         top = max(vocabulary.values(), default=0)
@@ -58,17 +64,17 @@ class Encoder:
         for token, i in vocabulary.items():
             # a byte-level token has a character for each byte
             self.size[i] = len(token.encode()) if i in added else len(token)
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(found.ids, self.kind) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        """Ids of words that follow a space, many in one text; those that begin or end with another space are refused with None."""
+        """Ids of words that follow a space, many in one text; those that begin or end with another space are refused with OTHER."""
         plain = []
         for word in words:
             if not word or word[0].isspace() or word[-1].isspace():
-                self.known[word] = None
+                self.known[word] = OTHER
             else:
                 plain.append(word)
         for i in range(0, len(plain), 256):
@@ -89,14 +95,14 @@ class Encoder:
             piece = text[at : stop.start()] if stop else text[at:]
             at += len(piece)
             first, *words = piece.split(" ")
-            known = self.known
-            if new := {word for word in words if word not in known}:
-                if len(known) + len(new) > WORDS:
-                    known.clear()
-                    new = set(words)
+            found = list(map(self.known.get, words))
+            if None in found:
+                new = {word for word, ids in zip(words, found, strict=True) if ids is None}
+                if len(self.known) + len(new) > WORDS:  # the older half goes
+                    self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
                 self.learn(new)
-            found = [known[word] for word in words]
-            if (first and (first[0].isspace() or first[-1].isspace())) or None in found:
+                found = [ids if ids is not None else self.known[word] for word, ids in zip(words, found, strict=True)]
+            if (first and (first[0].isspace() or first[-1].isspace())) or OTHER in found:
                 out.append(self.whole([piece])[0].tobytes())
             else:
                 if first:
