@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.scratch import materialize
 
+#: Documents of a range whose ends one task orders.
+PART = 50_000
+
 
 def sentence_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(key, F.explode(T.sentences(F.col(text))).alias("sentence"))
@@ -29,14 +33,62 @@ def order_statistics(values: DataFrame, column: str, shares: dict[str, float]) -
     return listed.agg(*[F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col(column))).alias(name) for name, share in shares.items()])
 
 
-def ngrams(docs: DataFrame, n: int = 3, top: int = 20, text: str = "text") -> DataFrame:
+def _tokens(text: str) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: t != "")
+
+
+def across_documents(docs: DataFrame, n: int, key: str, text: str = "text", per_part: int = PART) -> DataFrame:
+    """(t) for each document of ``docs``, in the order of ``key``, the words whose n-grams end in it and begin before it.
+
+    These are its first n - 1 words after the n - 1 before it, so only the ends of each
+    document are ordered, in ranges. A range passes its last words on to the next; one
+    that has fewer passes on what came before it too. Of a range only these words
+    come to the driver. Rows without words add nothing; a null key is the first.
+    """
+    w = n - 1
+    t = F.col("t")
+    ends = docs.select(F.col(key).alias("key"), _tokens(text).alias("t")).where(F.size("t") > 0)
+    ends = ends.select("key", F.slice(t, 1, w).alias("first"), F.slice(t, F.greatest(F.size(t) - (w - 1), F.lit(1)), w).alias("last"))
+    parts = max(1, -(-docs.count() // per_part))
+    placed = materialize(ends.repartitionByRange(parts, F.col("key").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "document-ends")
+
+    def carried(words: list[str], group) -> Iterator[list[str]]:
+        """What stands before each row, and in the end after the last."""
+        for last in group.sort_values("key", kind="stable", na_position="first")["last"]:
+            yield words
+            words = [*words, *last][-w:]
+        yield words
+
+    def tail(key, group):
+        import pandas as pd
+
+        *_, words = carried([], group)
+        return pd.DataFrame({"part": [key[0]], "words": [words]})
+
+    halo, before = {}, []
+    for r in sorted(placed.groupBy("part").applyInPandas(tail, "part int, words array<string>").collect()):
+        halo[r.part] = before
+        before = [*before, *r.words][-w:]
+
+    def joined(key, group):
+        import pandas as pd
+
+        ordered = group.sort_values("key", kind="stable", na_position="first")
+        return pd.DataFrame({"t": [[*words, *first] for words, first in zip(carried(halo[key[0]], group), ordered["first"], strict=False)]})
+
+    return placed.groupBy("part").applyInPandas(joined, "t array<string>")
+
+
+def ngrams(docs: DataFrame, n: int = 3, top: int = 20, text: str = "text", across: str | None = None) -> DataFrame:
     """Most frequent n-grams that are not all stopwords, within a document; ties by n-gram.
 
-    Hashes of the n-grams are counted; only those as frequent as the last that is asked
-    for are spelt out and counted again by their words.
+    ``across`` names a key by whose order the documents are one text, so that n-grams
+    over their boundaries count too. Hashes of the n-grams are counted; only those as
+    frequent as the last that is asked for are spelt out and counted again by their words.
     """
-    tokens = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: t != "")
-    rows = docs.select(tokens.alias("t")).where(F.size("t") >= n)
+    rows = docs.select(_tokens(text).alias("t")).where(F.size("t") >= n)
+    if across and n > 1:
+        rows = rows.unionByName(materialize(across_documents(docs, n, across, text), "across-documents").where(F.size("t") >= n))
     # the words at one place of an n-gram each, cut to the number of n-grams, side by side
     shifted = [F.slice("t", i + 1, F.size("t") - n + 1).alias(f"w{i}") for i in range(n)]
     names = [f"w{i}" for i in range(n)]

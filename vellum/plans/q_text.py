@@ -52,6 +52,16 @@ g AS (SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: t[i:i + 2]))
 SELECT array_to_string(g, ' ') AS ngram, count(*) AS n FROM g WHERE len(list_filter(g, lambda x: x NOT IN ({QUOTED(T.NGRAM_STOPWORDS)}))) > 0 GROUP BY 1 ORDER BY n DESC, ngram LIMIT 20"""
 
 
+def ngrams_across(spark, d):
+    """All documents as one text in the order of their id, as the reference reads a corpus."""
+    return textstats.ngrams(table(spark, d, "documents"), 3, 20, across="doc_id")
+
+
+NGRAMS_ACROSS = f"""WITH w AS (SELECT doc_id, unnest(t) AS a, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS t FROM documents)),
+g AS (SELECT a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM w WINDOW o AS (ORDER BY doc_id, i))
+SELECT concat(a, ' ', b, ' ', c) AS ngram, count(*) AS n FROM g WHERE c IS NOT NULL AND NOT (a IN ({QUOTED(T.NGRAM_STOPWORDS)}) AND b IN ({QUOTED(T.NGRAM_STOPWORDS)}) AND c IN ({QUOTED(T.NGRAM_STOPWORDS)})) GROUP BY 1 ORDER BY n DESC, ngram LIMIT 20"""
+
+
 def openers(spark, d):
     return textstats.openers(table(spark, d, "conversations"))
 
@@ -130,6 +140,7 @@ QUERIES = {
     "lang_detect": (lang_detect, f"WITH {HITS} SELECT lang, CASE WHEN greatest(pt_hits, en_hits) < 3 THEN 'unknown' WHEN pt_hits > en_hits * 1.3 THEN 'pt' WHEN en_hits > pt_hits * 1.3 THEN 'en' ELSE 'unknown' END AS detected, count(*) AS n FROM h GROUP BY ALL"),
     "corpus_stats": (corpus_stats, STATS),
     "ngram_top20": (ngram_top20, NGRAMS),
+    "ngrams_across": (ngrams_across, NGRAMS_ACROSS),
     "openers": (openers, OPENERS),
     "closers": (closers, CLOSERS),
     "phrase_counts": (phrase_counts, PHRASE_SQL),
