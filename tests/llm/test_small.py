@@ -554,14 +554,65 @@ def without_repeated_pairs(rows):
     return out
 
 
-def test_line_dedup_finds_all_repeated_pairs(spark, small):
+def plain_line_dedup(rows, window, every):
+    """Brute force of the method itself: repeated chunks grown by a line, on bytes instead of hashes."""
+    texts, chunks, count = {}, {}, collections.Counter()
+    for i, text in rows:
+        data = text.encode()
+        texts[i] = data, [m.span() for m in re.finditer(rb"[^\n]+", data)]
+        first, last = linededup.chunks_of(textbytes.words(np.frombuffer(data, np.uint8), textbytes.LINE, textbytes.EXACT)[2], window, every)
+        chunks[i] = list(zip(first.tolist(), last.tolist()))
+    body = lambda i, a, b: tuple(texts[i][0][s:e] for s, e in texts[i][1][a : b + 1])
+    for i, found in chunks.items():
+        count.update(body(i, a, b) for a, b in found)
+    seen, out = set(), {}
+    for i in sorted(texts):
+        data, spans = texts[i]
+        stretches = set()
+        for a, b in chunks[i]:
+            if count[body(i, a, b)] > 1:
+                stretches |= {x for x in ((a, b), (a - 1, b), (a, b + 1)) if x[0] >= 0 and x[1] < len(spans) and x[0] < x[1]}
+        gone = set()
+        for a, b in sorted(stretches, key=lambda x: (spans[x[0]][0], x)):
+            said = data[spans[a][0] : spans[b][1]]
+            if said in seen:
+                gone.add((a, b))
+            seen.add(said)
+        keep = bytearray(b"\1" * len(data))
+        for a, b in gone:
+            low, high = max(0, spans[a][0] - 1), spans[b][1]
+            keep[low:high] = bytes(high - low)
+        out[i] = bytes(c for c, k in zip(data, keep) if k).decode(), len({n for a, b in gone for n in range(a, b + 1)})
+    return out
+
+
+def repeated_texts(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").where("text is not null").collect()]
-    rows += [(10**6 + i, f"own {i}\npassage of two {i // 2}\nlines {i // 2}\nend {i}") for i in range(40)]
-    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, [(i, t, None, None, None) for i, t in rows])).collect()}
-    want = without_repeated_pairs(rows)
-    assert sum(n for _, n in want.values()) > 40
-    assert {i: (r.text, r.n_removed_lines) for i, r in got.items()} == want
-    assert all((got[10**6 + i].text, got[10**6 + i].n_removed_chunks) == (f"own {i}\nend {i}", 1) for i in range(1, 40, 2))
+    return rows + [(10**6 + i, f"own {i}\npassage of two {i // 2}\nlines {i // 2}\nend {i}") for i in range(200)]
+
+
+@pytest.mark.parametrize("window,every", [(2, 64), (2, 3)])
+def test_line_dedup_equals_its_method_by_brute_force(spark, small, window, every, monkeypatch):
+    rows = repeated_texts(spark, small)
+    monkeypatch.setattr(linededup, "CHUNKS", (window, every))
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in linededup.dedup_lines(frame(spark, [(i, t, None, None, None) for i, t in rows])).collect()}
+    assert got == plain_line_dedup(rows, window, every)
+
+
+def test_line_dedup_finds_repeated_pairs(spark, small):
+    """Recall against every two neighbouring lines that occurred before, and nothing but these; passages of two lines are the hardest."""
+    rows = repeated_texts(spark, small)
+    got, want = plain_line_dedup(rows, *linededup.CHUNKS), without_repeated_pairs(rows)
+    assert all(n <= want[i][1] for i, (_, n) in got.items())
+    assert sum(n for _, n in got.values()) >= 0.98 * sum(n for _, n in want.values()) > 300
+    of_two = [i for i in got if i >= 10**6]
+    assert sum(got[i][1] for i in of_two) >= 0.95 * sum(want[i][1] for i in of_two)
+
+
+def test_line_dedup_of_overlapping_stretches(spark):
+    """Occurrences that share a line count as two; what is removed is judged by all occurrences."""
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in linededup.dedup_lines(frame(spark, [(1, "a\na\na", None, None, None), (2, "k\nl", None, None, None), (3, "x\nk\nl", None, None, None), (4, "x\nk", None, None, None)])).collect()}
+    assert got == {1: ("a", 2), 2: ("k\nl", 0), 3: ("x", 2), 4: ("", 2)}
 
 
 def test_line_dedup_of_both_forms_with_empty_lines(spark):
@@ -571,11 +622,17 @@ def test_line_dedup_of_both_forms_with_empty_lines(spark):
     assert got == {i: t if i < 2 else f"own {i}" for i, t in rows}
 
 
-def test_boundaries_resist_shifts():
-    lines = [f"line number {i}" for i in range(200)]
-    cut = lambda x: {"\n".join(x)[a:b] for a, b, _, _ in linededup.anchors(np.frombuffer("\n".join(x).encode(), np.uint8))}
-    a, b = cut(lines), cut(lines[:50] + ["inserted"] + lines[50:])
-    assert len(a & b) > 0.85 * len(a)
+@pytest.mark.parametrize("every", [2, 3, 64])
+def test_boundaries_resist_shifts(every):
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 400).astype(np.uint64)
+
+    def chunks(x):
+        return {tuple(x[a : b + 1].tolist()) for a, b in zip(*linededup.chunks_of(x, 2, every))}
+
+    a, b = chunks(hashes), chunks(np.insert(hashes, 50, np.uint64(7)))
+    assert len(a - b) <= 3 and sum(map(len, a)) == 400
+    if every == 2:
+        assert 150 < len(a) < 250  # two lines on average
 
 
 # --- 10 Jaccard join
