@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.functions import schedule
 from vellum.functions import text as T
 from vellum.operators import graph, lint, stale
 from vellum.plans.q_views import TODAY, V, versions
@@ -426,7 +427,26 @@ f AS (SELECT key, 'version' AS kind FROM s WHERE f1 UNION ALL SELECT key, 'stale
 p AS (SELECT s.kind, count(*) AS n_seeded, count(f.key) AS n_found FROM s LEFT JOIN f ON f.key = s.key AND f.kind = s.kind WHERE s.kind IS NOT NULL GROUP BY 1), w AS (SELECT kind, count(*) AS n_false FROM f WHERE key IN (SELECT key FROM c) GROUP BY 1)
 SELECT p.kind, n_seeded, n_found, round(n_found::DOUBLE / n_seeded, 6) AS recall, coalesce(n_false, 0) AS n_false, round(coalesce(n_false, 0)::DOUBLE / n, 6) AS false_share, round(coalesce(n_false, 0)::DOUBLE / n, 6) <= 0.05 AS ok FROM p LEFT JOIN w ON w.kind = p.kind, n"""
 
+def schedule_due(spark, d):
+    """Which runs of the maintenance tasks the events of the log fall before: the next two of each task."""
+    events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    # the monthly task means the first Monday, so both day fields have to fit
+    due = F.array(*[F.struct(F.lit(name).alias("task"), schedule.Schedule.of(cron, both=True).next_due(F.col("ts"), 2).alias("due")) for name, cron, _ in schedule.TASKS])
+    rows = events.select("event_id", F.explode(due).alias("t")).select("event_id", "t.task", F.posexplode("t.due").alias("place", "due"))
+    return rows.groupBy("task", "place", "due").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+SCHEDULE = """WITH m AS (SELECT unnest(generate_series(date_trunc('day', (SELECT min(ts) FROM events)), (SELECT max(ts) FROM events) + INTERVAL 220 DAY, INTERVAL 1 MINUTE))::TIMESTAMP AS t),
+c AS (SELECT t, minute(t) AS mi, hour(t) AS h, day(t) AS d, month(t) AS mo, dayofweek(t) AS w FROM m),
+k AS (SELECT 'handoff-freshness' AS task, t FROM c WHERE h = 7 AND mi = 30 UNION ALL SELECT 'audit-writes', t FROM c WHERE h = 7 AND mi = 35 UNION ALL SELECT 'kb-audit', t FROM c WHERE h = 9 AND mi = 0 AND w = 1
+UNION ALL SELECT 'eval-recency', t FROM c WHERE h = 9 AND mi = 0 AND w = 1 AND d <= 7 UNION ALL SELECT 'log-rotation', t FROM c WHERE h = 9 AND mi = 0 AND d = 1 AND mo IN (1, 4, 7, 10)),
+n AS (SELECT task, t, lag(t) OVER o AS before, lead(t) OVER o AS after FROM k WINDOW o AS (PARTITION BY task ORDER BY t)),
+x AS (SELECT event_id, task, t, after FROM events JOIN n ON ts < t AND ts >= coalesce(before, TIMESTAMP '0001-01-01')),
+r AS (SELECT event_id, task, 0 AS place, t AS due FROM x UNION ALL SELECT event_id, task, 1, after FROM x) SELECT task, place::INT AS place, due, count(*) AS n, min(event_id) AS first FROM r GROUP BY ALL"""
+
+
 QUERIES = {
+    "schedule_due": (schedule_due, SCHEDULE),
     "stale_a3": (stale_a3, A3),
     "grep_refs": (grep_refs, GREP),
     "base_checks": (base_checks, BASE_CHECKS),
