@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import rank, retrieval, views
-from vellum.scratch import materialize
+from vellum.operators import climb, rank, retrieval, views
+from vellum.scratch import materialize, scratch_path
 from vellum.session import table
 
 COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
@@ -229,7 +229,29 @@ def hill_climb(spark, d):
 
 HILL = "WITH r AS (SELECT ts::DATE AS day, round(quantile_cont(value, 0.5), 6) AS median FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT *, max(median) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM r) SELECT day, median, CASE WHEN best IS NULL OR median > best THEN 'keep' ELSE 'revert' END AS decision FROM b"
 
+def climb_rounds(spark, d):
+    """Days of events as changes tried one after the other, kinds of event as evaluations, their values as runs, until a rule stops; interrupted once on the way."""
+    events = materialize(table(spark, d, "events").select(F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("eval"), (F.col("value") / 1000).alias("score")), "climb-runs")
+    days = [r.day for r in events.select("day").distinct().orderBy("day").collect()]  # the changes to try
+    path = scratch_path(spark, "climb")
+
+    def go(budget):
+        return climb.climb(spark, path, lambda log: climb.Change(days[len(log)]) if len(log) < len(days) else None, lambda change: events.where(F.col("day") == change.name), budget=budget)
+
+    go(7)
+    why = go(None)
+    return climb.history(spark, path).select("round", "change", "score", "decision", F.lit(why).alias("ended"))
+
+
+CLIMB = """WITH m AS (SELECT ts::DATE::VARCHAR AS day, event_type, median(value / 1000) AS m FROM events GROUP BY ALL), s AS (SELECT day, round(avg(m), 6) AS score, row_number() OVER (ORDER BY day) AS round FROM m GROUP BY day),
+b AS (SELECT *, score > coalesce(max(score) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS keep, min(score) OVER (ORDER BY round ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS low FROM s),
+i AS (SELECT *, round - max(CASE WHEN keep THEN round END) OVER (ORDER BY round) AS idle FROM b), e AS (SELECT min(round) AS last FROM i WHERE (round >= 20 AND idle >= 5) OR (round >= 3 AND low >= 1)),
+w AS (SELECT CASE WHEN last IS NULL THEN 'done' WHEN (SELECT low FROM i WHERE round = last) >= 1 THEN 'perfect' ELSE 'plateau' END AS ended, coalesce(last, 1000000) AS last FROM e)
+SELECT round::INT AS round, day AS change, score, CASE WHEN keep THEN 'keep' ELSE 'revert' END AS decision, ended FROM i, w WHERE round <= last"""
+
+
 QUERIES = {
+    "climb_rounds": (climb_rounds, CLIMB),
     "cosine_topk": (cosine_topk, TOPK),
     "cosine_pairs": (cosine_pairs, "WITH " + PAIRS % 0.35 + " SELECT * FROM p"),
     "soft_duplicates": (soft_duplicates, "WITH " + PAIRS % 0.4 + ", x AS (SELECT a AS vec_id, score FROM p UNION ALL SELECT b, score FROM p) SELECT vec_id, count(*) AS n, max(score) AS best FROM x GROUP BY vec_id"),
