@@ -23,8 +23,8 @@ BUCKETS = 1 << 20
 ORDERS = (3, 4, 5, 6)
 #: Labelled texts that the model is fitted on.
 SAMPLE = 20_000
-#: Least G-test value of a feature: a chance of 0.05 that any of all BUCKETS reaches it without a tie to the class.
-STRENGTH = 29.7
+#: Least G-test value of a feature: one n-gram in six hundred reaches it without a tie to the class. Of 3.84, 10, 15 and 29.7 the one with the best recall and precision.
+STRENGTH = 10.0
 
 
 @dataclass
