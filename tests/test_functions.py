@@ -155,3 +155,13 @@ def test_markdown():
     assert to_markdown_text(html) == "# T\n\na **b** [c](u)\n\n- x\n\n- y\n\n  1. z\n\n| h |\n| --- |\n| d\\|e |"
     assert to_markdown_text(None) is None
     assert to_markdown_text("") == ""
+
+
+def test_only_small_text_tables_are_dealt_out(spark, small, monkeypatch):
+    from vellum import session
+
+    assert session.size_of(spark.read.parquet(f"{small}/documents.parquet")) == 1428373
+    cores = spark.sparkContext.defaultParallelism
+    assert session.table(spark, small, "documents").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(session, "SMALL", 1000)
+    assert session.table(spark, small, "documents").rdd.getNumPartitions() == 1

@@ -22,16 +22,22 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-#: Tables of texts, on which the work of a row is worth moving it.
-TEXTS = ("documents", "pages")
+#: Tables of texts, on which the work of a row is worth moving it, as long as they are no larger.
+TEXTS, SMALL = ("documents", "pages"), 256 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of texts in fewer files than there are cores is dealt out to all cores.
+    """A table; a small one of texts in fewer files than there are cores is dealt out to all cores.
 
-    A file may be one row group, which one task reads. With as many files as cores or
-    more, as on any large corpus, nothing is moved.
+    A file may be one row group, which one task reads. A table of more than SMALL bytes
+    has many of them, however few its files, and is never moved.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXTS and len(df.inputFiles()) < cores else df
+    few = name in TEXTS and len(df.inputFiles()) < cores
+    return df.repartition(cores) if few and size_of(df) <= SMALL else df
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of a table's files, by the optimizer's estimate."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
