@@ -366,11 +366,10 @@ BODIES = (
 def _projects(spark, d):
     """Each customer puts one file into the project of its nation; of several at a path the greatest body is meant."""
     k = F.col("c_custkey")
-    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("root"), _pick(PATHS, k % 53).alias("path"), _pick(BODIES, F.floor(F.col("c_acctbal")).cast("long") % 61 + 61).alias("text"), F.when(F.col("c_nationkey") % 2 == 0, "pt").otherwise("English").alias("language"))
-    return rows.where(F.col("c_acctbal") > 6500)
+    return table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 24).alias("root"), _pick(PATHS, k % 53).alias("path"), _pick(BODIES, F.floor(F.col("c_acctbal")).cast("long") % 61 + 61).alias("text"), F.when(F.floor(F.col("c_custkey") / 24) % 2 == 0, "pt").otherwise("English").alias("language"))
 
 
-PROJECTS = f"p AS (SELECT c_nationkey AS root, {_list(PATHS)}[c_custkey % 53 % {len(PATHS)} + 1] AS path, {_list(BODIES).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}[(floor(c_acctbal)::BIGINT % 61 + 61) % {len(BODIES)} + 1] AS text, c_nationkey % 2 = 0 AS alien FROM customer WHERE c_acctbal > 6500)"
+PROJECTS = f"p AS (SELECT c_custkey // 24 AS root, {_list(PATHS)}[c_custkey % 53 % {len(PATHS)} + 1] AS path, {_list(BODIES).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}[(floor(c_acctbal)::BIGINT % 61 + 61) % {len(BODIES)} + 1] AS text, c_custkey // 24 % 2 = 0 AS alien FROM customer)"
 
 
 def baseline_faults(spark, d):
