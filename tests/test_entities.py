@@ -51,6 +51,12 @@ def test_inner_words_do_not_match(spark):
     assert sorted((r.doc_id, r.entity_id, r.start, r.end, r.wikilink) for r in found.collect()) == [(1, "10 Arts/art", 6, 9, "[[art]]"), (2, "10 Arts/art", 4, 7, "[[art]]")]
 
 
+def test_anywhere_in_the_text(spark):
+    docs = spark.createDataFrame([(1, "start art"), (2, "été"), (3, None)], "doc_id long, text string")
+    found = entities.exact_matches(docs, spark.createDataFrame([(7, "art"), (8, "té")], "entity_id long, surface string"), whole=False)
+    assert sorted((r.key, r.entity_id, r.start, r.end) for r in found.collect()) == [(1, 7, 2, 5), (2, 8, 1, 3)]
+
+
 def test_cap_and_other_recognisers(spark):
     names = [f"name{i:02d}" for i in range(60)]
     docs = spark.createDataFrame([(1, "Ada Lovelace met " + " ".join(names)), (2, "Ada Lovelace met name01")], "doc_id long, text string")

@@ -119,7 +119,7 @@ def _beside(data: np.ndarray, at: int, low: int, high: int) -> bool:
     return _WORD.match(data[begin:end].tobytes().decode()) is not None
 
 
-def _matcher(block):
+def _matcher(block, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, text) -> the first place of each surface that stands on its own in the text."""
         automaton: Automaton = block.value[0]
@@ -133,7 +133,7 @@ def _matcher(block):
             rows, starts, ends, names, seen = [], [], [], [], set()
             for i in order.tolist():
                 t, a, b, s = int(text[i]), int(start[i]), int(end[i]), int(surface[i])
-                if (t, s) in seen or _beside(data, a - 1, at[t], at[t + 1]) or _beside(data, b, at[t], at[t + 1]):
+                if (t, s) in seen or whole and (_beside(data, a - 1, at[t], at[t + 1]) or _beside(data, b, at[t], at[t + 1])):
                     continue
                 seen.add((t, s))
                 rows.append(t)
@@ -150,8 +150,8 @@ def _matcher(block):
     return run
 
 
-def exact_matches(docs: DataFrame, entities: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, entity_id, matched, start, end): for each text and surface of ``entities`` (entity_id, surface) the first place where it stands as whole words, in code points.
+def exact_matches(docs: DataFrame, entities: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
+    """(key, entity_id, matched, start, end): for each text and surface of ``entities`` (entity_id, surface) the first place where it stands as whole words, or anywhere without ``whole``, in code points.
 
     Matches count in the case they are written in, and overlapping ones all count.
     A surface that several entities share gives a row for each; an empty or null one
@@ -171,7 +171,7 @@ def exact_matches(docs: DataFrame, entities: DataFrame, key: str = "doc_id", tex
         names = sorted(r.surface for r in surfaces.where(F.pmod(F.xxhash64("surface"), F.lit(blocks)) == i).collect())
         sent = spark.sparkContext.broadcast((Automaton([name.encode() for name in names]),))
         spelt = spark.createDataFrame(list(enumerate(names)), "surface_no int, matched string")
-        found = docs.mapInArrow(_matcher(sent), f"key {kind}, surface_no int, start long, end long")
+        found = docs.mapInArrow(_matcher(sent, whole), f"key {kind}, surface_no int, start long, end long")
         found = found.join(F.broadcast(spelt), "surface_no").select("key", "matched", "start", "end")
         parts.append(found if blocks == 1 else materialize(found, "entity-matches"))
     every = parts[0]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import climb, rank, retrieval, views
+from vellum.operators import climb, entities, rank, retrieval, views
 from vellum.scratch import materialize, scratch_path
 from vellum.session import table
 
@@ -91,11 +91,8 @@ def _steps(spark, d):
     """
     q = _questions(spark, d)
     docs = table(spark, d, "documents")
-    words = docs.select("doc_id", "lang", F.lower("text").alias("t"))
-    heads = q.select("query_id", F.lower("query").alias("s"), F.element_at(T.words(F.lower("query")), 1).alias("head"))
-    tokens = words.select("doc_id", F.explode(F.array_distinct(T.words(F.col("t")))).alias("head"))
-    near = tokens.join(heads, "head").select("query_id", "doc_id", "s")
-    lexical = near.join(words.select("doc_id", "t"), "doc_id").where(F.contains("t", "s")).select("query_id", F.col("doc_id").alias("hit"))
+    asked = q.where(F.size(T.words("query")) > 0).select(F.col("query_id").alias("entity_id"), F.lower("query").alias("surface"))
+    lexical = entities.exact_matches(docs.select("doc_id", F.lower("text").alias("text")), asked, whole=False).select(F.col("entity_id").alias("query_id"), F.col("key").alias("hit"))
     opening = lambda text, n: F.array_join(F.slice(T.words(F.lower(text)), 1, n), " ")
     titles = docs.select(F.col("doc_id").alias("hit"), opening("text", 3).alias("title")).where("title <> ''")
     catalog = q.select("query_id", opening("query", 3).alias("title")).join(titles, "title").select("query_id", "hit")
