@@ -259,3 +259,30 @@ def recall(seeded: DataFrame, found: DataFrame, clean: DataFrame, key: str, kind
     rows = per.join(wrong, kind, "left").crossJoin(total)  # one row
     share = F.round(F.coalesce("n_false", F.lit(0)) / F.greatest("n_clean", F.lit(1)), 6)
     return rows.select(kind, "n_seeded", "n_found", F.round(F.col("n_found") / F.col("n_seeded"), 6).alias("recall"), F.coalesce("n_false", F.lit(0)).alias("n_false"), share.alias("false_share"), (share <= bar).alias("ok"))
+
+
+# The closed vocabulary of types, the zones whose writers may use others, the flags of staleness,
+# the kinds of claim, and the types that should state theirs.
+KNOWN_TYPES = ("person", "company", "project", "meeting", "source", "concept", "decision", "guide", "contract", "log", "handoff", "handoff_archive", "eval", "inbox", "daily", "template", "base", "system")
+FREE_ZONES = ("00 Inbox/", "80 Daily/", "99 Workspace/")
+STALE_FLAGS = ("pending", "confirmed", "cleared")
+CLAIMS = ("evidence", "inference", "hypothesis")
+CLAIMING_TYPES = ("person", "company", "project", "meeting", "source", "concept", "decision")
+
+
+def vocabulary(notes: DataFrame) -> DataFrame:
+    """(path, rule, kind) of ``notes`` (path, type, stale, claim_type): values outside their vocabulary are violations, a claim type that is not stated is a signal.
+
+    Types are free in FREE_ZONES and at the root. Flags and claims count without
+    spaces, quotes and case; blank ones pass, and a null claim type is one not stated.
+    """
+    plain = lambda c: F.lower(F.regexp_replace(F.trim(c), "^['\"]+|['\"]+$", ""))
+    bound = F.contains("path", F.lit("/")) & ~F.col("path").rlike("^(" + "|".join(FREE_ZONES) + ")")
+    wrong = lambda c, known: F.col(c).isNotNull() & (F.trim(c) != "") & ~plain(c).isin(*known)
+    found = F.array(
+        F.when(bound & F.col("type").isNotNull() & ~F.col("type").isin(*KNOWN_TYPES), F.struct(F.lit("type_vocab").alias("rule"), F.lit("violation").alias("kind"))),
+        F.when(wrong("stale", STALE_FLAGS), F.struct(F.lit("stale_enum").alias("rule"), F.lit("violation").alias("kind"))),
+        F.when(wrong("claim_type", CLAIMS), F.struct(F.lit("claim_type").alias("rule"), F.lit("violation").alias("kind"))),
+        F.when(F.col("claim_type").isNull() & F.col("type").isin(*CLAIMING_TYPES), F.struct(F.lit("claim_type").alias("rule"), F.lit("signal").alias("kind"))),
+    )
+    return notes.select("path", F.explode(F.array_compact(found)).alias("f")).select("path", "f.rule", "f.kind")

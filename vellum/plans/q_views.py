@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vellum.operators import views
+from vellum.operators import lint, views
 from vellum.session import table
 
 TODAY = "2001-08-02"
@@ -88,12 +88,21 @@ def schema_required_keys(spark, d):
     return views.missing_keys(versions(spark, d), required)
 
 
+ZONES = ("70 Decisions/", "00 Inbox/", "80 Daily/", "99 Workspace/", "50 Sources/00 Inbox/", "")
+CLAIMED = ("evidence", " Inference ", "'hypothesis'", "guess", "", "EVIDENCE!")
+
+
 def lint_vocab(spark, d):
-    """Types outside the closed vocabulary and invalid stale flags."""
-    known = "person company project meeting source concept decision guide contract log handoff handoff_archive eval inbox daily template base system".split()
-    v = versions(spark, d)
-    found = F.array(F.when(~F.col("type").isin(known), "type_vocab"), F.when(F.col("stale").isNotNull() & ~F.col("stale").isin("pending", "confirmed", "cleared"), "stale_enum"))
-    return v.select("o_orderkey", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("rule"))
+    """Types, stale flags and claim types against their vocabularies, over zones that bind and zones that do not."""
+    k = F.col("o_orderkey")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    notes = versions(spark, d).withColumn("path", F.concat(pick(ZONES, k % 37), k.cast("string"), F.lit(".md"))).withColumn("claim_type", F.when(k % 5 > 0, pick(CLAIMED, k % 41)))
+    return lint.vocabulary(notes)
+
+
+VOCAB = f"""WITH {V}, n AS (SELECT concat({list(ZONES)}[o_orderkey % 37 % 6 + 1], o_orderkey, '.md') AS path, o_orderkey % 37 % 6 AS zone, type, stale, o_orderkey % 5 = 0 AS silent, o_orderkey % 41 % 6 AS claim FROM v)
+SELECT path, 'type_vocab' AS rule, 'violation' AS kind FROM n WHERE type = 'audit' AND zone IN (0, 4) UNION ALL SELECT path, 'stale_enum', 'violation' FROM n WHERE stale = 'unknown'
+UNION ALL SELECT path, 'claim_type', 'violation' FROM n WHERE NOT silent AND claim IN (3, 5) UNION ALL SELECT path, 'claim_type', 'signal' FROM n WHERE silent AND type <> 'audit'"""
 
 
 def lint_confidence(spark, d):
@@ -135,7 +144,7 @@ QUERIES = {
     "base_contract": (base_contract, "SELECT 'open_items' AS base, 'confidence,document_date,document_version,is_latest_version,stale,status' AS required, '' AS types, false AS is_primary UNION ALL SELECT 'people', 'company', 'person', true"),
     "schema_required_keys": (schema_required_keys, f"""WITH {V}, k AS (SELECT path, type, 'document_version' AS missing_key FROM v WHERE type IN ('source', 'decision') AND trim(coalesce(document_version, '')) = ''
 UNION ALL SELECT path, type, 'stale' FROM v WHERE type IN ('source', 'person') AND stale IS NULL UNION ALL SELECT path, type, 'superseded_date' FROM v WHERE type = 'decision' AND superseded_date IS NULL) SELECT * FROM k"""),
-    "lint_vocab": (lint_vocab, f"WITH {V} SELECT o_orderkey, 'type_vocab' AS rule FROM v WHERE type = 'audit' UNION ALL SELECT o_orderkey, 'stale_enum' FROM v WHERE stale = 'unknown'"),
+    "lint_vocab": (lint_vocab, VOCAB),
     "lint_confidence": (lint_confidence, "WITH r AS (SELECT CASE p_partkey % 5 WHEN 0 THEN 'abc' WHEN 1 THEN NULL WHEN 2 THEN '1.01' ELSE concat('0.', p_size) END AS raw FROM part) SELECT CASE WHEN raw IS NULL THEN 'pass' WHEN try_cast(raw AS DOUBLE) IS NULL THEN 'type' WHEN try_cast(raw AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'range' ELSE 'pass' END AS outcome, count(*) AS n FROM r GROUP BY 1"),
     "lint_bitemporal": (lint_bitemporal, f"WITH {V}, s AS (SELECT * FROM v WHERE type IN ('source', 'decision')), f AS (SELECT type, 'missing_is_latest_version' AS rule FROM s WHERE is_latest_version IS NULL UNION ALL SELECT type, 'missing_document_version' FROM s WHERE document_version IS NULL UNION ALL SELECT type, 'superseded_before_document' FROM s WHERE superseded_date <= document_date) SELECT type, rule, count(*) AS n FROM f GROUP BY ALL"),
     "lint_meeting_date": (lint_meeting_date, "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'invalid_prefix' ELSE 'mismatch' END AS outcome, count(*) AS n FROM orders GROUP BY 1"),
