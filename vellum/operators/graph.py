@@ -62,16 +62,24 @@ def version_reached(notes: DataFrame, name: str = "basename") -> Column:
     return T.stem(F.concat(F.col(name), F.lit(".md"))) != F.lower(name)
 
 
-def reach(notes: DataFrame, reached: DataFrame, bound: list[str], unbound: list[str], name: str = "basename") -> DataFrame:
+def with_siblings(notes: DataFrame, name: str = "basename") -> DataFrame:
+    """Add ``has_sibling``: whether a note of another name has the same stem. Names are counted by stem before they are joined to the notes."""
+    stem = T.stem(F.concat(F.col(name), F.lit(".md")))
+    shared = notes.select(stem.alias("own_stem"), F.lower(name).alias("n")).groupBy("own_stem").agg((F.min("n") < F.max("n")).alias("has_sibling"))
+    return notes.withColumn("own_stem", stem).join(shared, "own_stem", "left").withColumn("has_sibling", F.coalesce("has_sibling", F.lit(False))).drop("own_stem")
+
+
+def reach(notes: DataFrame, reached: DataFrame, bound: list[str], unbound: list[str], name: str = "basename", strict: bool = False) -> DataFrame:
     """Add ``reach``: what saves a note from being an orphan, the first of wikilink, base, allow_list and version; null for an orphan.
 
     ``reached`` (node) are the names that links reach, ``bound`` the types that a base
-    shows, ``unbound`` those that need none.
+    shows, ``unbound`` those that need none. A version's tail saves a note by itself;
+    with ``strict``, only where another note has the same stem.
     """
     near = reached.select(F.col("node").alias("reached_name")).distinct().withColumn("linked", F.lit(True))
-    rows = notes.join(near, F.col(name) == F.col("reached_name"), "left").drop("reached_name")
-    how = F.when(F.col("linked"), "wikilink").when(F.col("type").isin(bound), "base").when(F.col("type").isin(unbound), "allow_list").when(version_reached(notes, name), "version")
-    return rows.withColumn("reach", how).drop("linked")
+    rows = (with_siblings(notes, name) if strict else notes.withColumn("has_sibling", F.lit(True))).join(near, F.col(name) == F.col("reached_name"), "left").drop("reached_name")
+    how = F.when(F.col("linked"), "wikilink").when(F.col("type").isin(bound), "base").when(F.col("type").isin(unbound), "allow_list").when(version_reached(notes, name) & F.col("has_sibling"), "version")
+    return rows.withColumn("reach", how).drop("linked", "has_sibling")
 
 
 def mentioned(notes: DataFrame, names: DataFrame, key: str = "path", text: str = "text") -> DataFrame:

@@ -87,6 +87,20 @@ def orphan_reach(spark, d):
     return _reach(spark, d).groupBy("type", F.coalesce("reach", F.lit("orphan")).alias("reach")).agg(F.count("*").alias("n"))
 
 
+def version_reach_strict(spark, d):
+    """Files of a size of part as versions of one plan: those saved by a version's tail only if another version is there."""
+    tail = F.when(F.col("p_partkey") % 3 == 0, "_v2").when(F.col("p_partkey") % 3 == 1, "-final").otherwise("")
+    notes = table(spark, d, "part").select("p_partkey", F.concat(F.lit("plan_"), F.floor(F.col("p_partkey") * F.col("p_size") / 9).cast("string"), tail).alias("basename"), F.lit("source").alias("type"))
+    none = notes.limit(0).select(F.col("basename").alias("node"))
+    both = [graph.reach(notes, none, [], [], strict=strict).select("p_partkey", F.col("reach").alias(as_)) for strict, as_ in ((False, "loose"), (True, "strict"))]
+    return both[0].join(both[1], "p_partkey").groupBy("loose", "strict").agg(F.count("*").alias("n"))
+
+
+STRICT = """WITH p AS (SELECT p_partkey, concat('plan_', p_partkey * p_size // 9) AS stem, CASE p_partkey % 3 WHEN 0 THEN '_v2' WHEN 1 THEN '-final' ELSE '' END AS tail FROM part),
+w AS (SELECT *, min(concat(stem, tail)) OVER (PARTITION BY stem) < max(concat(stem, tail)) OVER (PARTITION BY stem) AS more FROM p)
+SELECT CASE WHEN tail <> '' THEN 'version' END AS loose, CASE WHEN tail <> '' AND more THEN 'version' END AS strict, count(*) AS n FROM w GROUP BY ALL"""
+
+
 REACH = f"""WITH RECURSIVE {EDGES}, r(node) AS (SELECT range FROM range(5) UNION SELECT dst FROM r JOIN edges ON src = node),
 p AS (SELECT p_partkey, concat(replace(p_name, ' ', '_'), '_', p_partkey, CASE p_size % 5 WHEN 0 THEN '_v2' WHEN 1 THEN '-final' ELSE '' END) AS basename, ['meeting', 'source', 'decision', 'person', 'company', 'project', 'note'][p_partkey % 7 + 1] AS type, p_size * 6 AS age FROM part),
 w AS (SELECT *, CASE WHEN p_partkey IN (SELECT node FROM r) THEN 'wikilink' WHEN type = 'company' THEN 'base' WHEN type = 'project' THEN 'allow_list' WHEN regexp_matches(lower(basename), '[_-](v[0-9]+|final)$') THEN 'version' END AS reach FROM p),
@@ -291,6 +305,7 @@ QUERIES = {
     "ppr_top10": (ppr_top10, _ppr_sql(8)),
     "link_resolution": (link_resolution, LINKS),
     "orphan_notes": (orphan_notes, ORPHANS),
+    "version_reach_strict": (version_reach_strict, STRICT),
     "orphan_reach": (orphan_reach, REACH + " SELECT type, coalesce(reach, 'orphan') AS reach, count(*) AS n FROM w GROUP BY ALL"),
     "version_chain_heads": (version_chain_heads, HEADS),
     "chain_build_verify": (chain_build_verify, CHAIN + " SELECT user_id, count(*) AS n, 0::BIGINT AS n_errors, sha256(arg_max(raw, seq)) AS head FROM c GROUP BY user_id"),
