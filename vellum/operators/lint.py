@@ -160,6 +160,15 @@ def overdue(at: Column, now: str, hours: int) -> Column:
     return F.coalesce(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(at) > hours * 3600, F.lit(False))
 
 
+def stale_handoffs(handoffs: DataFrame, threads: DataFrame, now: str, hours: int = 24) -> DataFrame:
+    """(project, last_updated, n_open) of ``handoffs`` (project, last_updated) more than so many hours old that still have an open one of ``threads`` (project, status).
+
+    Threads are counted by project first, so no project's threads meet. A handoff without a date is not old.
+    """
+    still = threads.where(F.lower("status") == "open").groupBy("project").agg(F.count("*").alias("n_open"))
+    return handoffs.where(overdue(F.col("last_updated"), now, hours)).join(still, "project").select("project", "last_updated", "n_open")
+
+
 def tidy(folder: Column, n_files: Column, today: str, days: int = 30) -> Column:
     """Whether a dated folder is empty and older than ``days``; one whose name is no date stays."""
     day = F.when(folder.rlike(r"^\d{4}-\d{2}-\d{2}$"), dates.parse(folder))

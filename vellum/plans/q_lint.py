@@ -444,7 +444,18 @@ x AS (SELECT event_id, task, t, after FROM events JOIN n ON ts < t AND ts >= coa
 r AS (SELECT event_id, task, 0 AS place, t AS due FROM x UNION ALL SELECT event_id, task, 1, after FROM x) SELECT task, place::INT AS place, due, count(*) AS n, min(event_id) AS first FROM r GROUP BY ALL"""
 
 
+def handoff_stale(spark, d):
+    """Customers as projects: their last order is when the handoff was written, their open orders are its threads."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderdate").cast("timestamp").alias("at"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"))
+    handoffs = orders.groupBy("project").agg(F.max("at").alias("last_updated"))
+    return lint.stale_handoffs(handoffs, orders, "2001-07-25 12:00:00").select("project", F.to_date("last_updated").alias("day"), "n_open")
+
+
+HANDOFFS = """SELECT o_custkey AS project, max(o_orderdate)::DATE AS day, count(*) FILTER (o_orderstatus = 'O') AS n_open FROM orders GROUP BY 1 HAVING n_open > 0 AND max(o_orderdate)::TIMESTAMP < TIMESTAMP '2001-07-25 12:00:00' - INTERVAL 24 HOUR"""
+
+
 QUERIES = {
+    "handoff_stale": (handoff_stale, HANDOFFS),
     "schedule_due": (schedule_due, SCHEDULE),
     "stale_a3": (stale_a3, A3),
     "grep_refs": (grep_refs, GREP),
