@@ -88,6 +88,33 @@ def required_keys(base: dict) -> list[str]:
     return sorted({f.removeprefix("note.") for f in found if f != "type" and not f.startswith("file.")})
 
 
+def contracts(specs: DataFrame) -> DataFrame:
+    """(base, required, types, is_primary, view_only) of a table of ``specs`` (base, spec as JSON): what each base asks of its notes.
+
+    A base that names no type binds no schema and is only looked at. What is no JSON
+    object asks for nothing.
+    """
+    import json
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for base, text in zip(batch["base"], batch["spec"], strict=True):
+                try:
+                    spec = json.loads(text or "")
+                except ValueError:
+                    spec = {}
+                spec = spec if isinstance(spec, dict) else {}
+                types = bound_types(spec.get("filters"))
+                rows.append((base, required_keys(spec), types, is_primary(spec.get("filters")), not types))
+            yield pd.DataFrame(rows, columns=["base", "required", "types", "is_primary", "view_only"])
+
+    return specs.select("base", "spec").mapInPandas(read, "base string, required array<string>, types array<string>, is_primary boolean, view_only boolean")
+
+
 def view(notes: DataFrame, base: dict, name: str) -> DataFrame:
     """Rows of a named view: the base's and the view's filter, its order with all ties broken, its limit."""
     spec = next(v for v in base["views"] if v["name"] == name)

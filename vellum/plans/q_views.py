@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.operators import lint, views
+from vellum.scratch import materialize
 from vellum.session import table
 
 TODAY = "2001-08-02"
@@ -78,9 +79,20 @@ def view_tier2(spark, d):
 
 
 def base_contract(spark, d):
-    """What the base asks of its notes: required keys, bound types, whether it binds a schema."""
-    rows = [("open_items", views.required_keys(BASE), views.bound_types(BASE["filters"]), views.is_primary(BASE["filters"])), ("people", views.required_keys({"filters": {"and": ['type == "person"']}, "views": [{"order": [{"property": "company"}]}]}), ["person"], views.is_primary({"and": ['type == "person"']}))]
-    return spark.createDataFrame(rows, "base string, required array<string>, types array<string>, is_primary boolean").select("base", F.array_join("required", ",").alias("required"), F.array_join("types", ",").alias("types"), "is_primary")
+    """Parts as base specs, kept as JSON in a table: what each asks of its notes, counted by contract."""
+    k = F.col("p_partkey")
+    clause = F.concat(F.lit('"type == \\"'), F.regexp_replace("p_brand", r"\W", "_"), F.lit('kind\\""'))
+    filters = F.when(k % 3 == 0, clause).when(k % 3 == 1, F.concat(clause, F.lit(', "size < 9"'))).otherwise(F.lit('"status == \\"O\\""'))
+    column = F.element_at(F.array(*map(F.lit, ("note.owner", "file.mtime", "due"))), (F.col("p_size") % 3 + 1).cast("int"))
+    spec = F.when(k % 50 == 7, "no json").otherwise(F.concat(F.lit('{"filters": {"and": ['), filters, F.lit(']}, "views": [{"order": [{"property": "'), column, F.lit('"}]}]}')))
+    specs = materialize(table(spark, d, "part").select(F.concat(F.lit("base_"), k.cast("string")).alias("base"), spec.alias("spec")), "base-specs")
+    found = views.contracts(specs).select("base", F.array_join("required", ",").alias("required"), F.array_join("types", ",").alias("types"), "is_primary", "view_only")
+    return found.groupBy("required", "types", "is_primary", "view_only").agg(F.count("*").alias("n"), F.min("base").alias("first"))
+
+
+CONTRACT = """WITH p AS (SELECT concat('base_', p_partkey) AS base, p_partkey % 50 = 7 AS bad, p_partkey % 3 AS m, concat(regexp_replace(p_brand, '\\W', '_', 'g'), 'kind') AS t, ['owner', NULL, 'due'][p_size % 3 + 1] AS c FROM part),
+r AS (SELECT base, CASE WHEN bad THEN '' ELSE array_to_string(list_sort(list_filter([c, CASE m WHEN 1 THEN 'size' WHEN 2 THEN 'status' END], lambda x: x IS NOT NULL)), ',') END AS required, CASE WHEN bad OR m = 2 THEN '' ELSE t END AS types, NOT bad AND m = 0 AS is_primary, bad OR m = 2 AS view_only FROM p)
+SELECT required, types, is_primary, view_only, count(*) AS n, min(base) AS first FROM r GROUP BY ALL"""
 
 
 def schema_required_keys(spark, d):
@@ -141,7 +153,7 @@ QUERIES = {
     "view_compiled_spec": (_view("open", "o_orderkey", "type", "document_date"), f"WITH {V} SELECT o_orderkey, type, document_date FROM v WHERE type <> 'audit' AND status IN ('O', 'P') AND coalesce(stale, '') <> 'pending' AND confidence < 0.5"),
     "view_recent_limit": (_view("recent", "o_orderkey", "document_date"), f"WITH {V} SELECT o_orderkey, document_date FROM v WHERE type <> 'audit' AND is_latest_version IS DISTINCT FROM false ORDER BY v.document_date DESC, v.o_orderkey LIMIT 25"),
     "view_group_by": (_view("grouped", "type", "o_orderkey", "confidence"), f"WITH {V} SELECT type, o_orderkey, confidence FROM v WHERE type <> 'audit' AND coalesce(stale, '') <> '' AND coalesce(document_version, '') <> ''"),
-    "base_contract": (base_contract, "SELECT 'open_items' AS base, 'confidence,document_date,document_version,is_latest_version,stale,status' AS required, '' AS types, false AS is_primary UNION ALL SELECT 'people', 'company', 'person', true"),
+    "base_contract": (base_contract, CONTRACT),
     "schema_required_keys": (schema_required_keys, f"""WITH {V}, k AS (SELECT path, type, 'document_version' AS missing_key FROM v WHERE type IN ('source', 'decision') AND trim(coalesce(document_version, '')) = ''
 UNION ALL SELECT path, type, 'stale' FROM v WHERE type IN ('source', 'person') AND stale IS NULL UNION ALL SELECT path, type, 'superseded_date' FROM v WHERE type = 'decision' AND superseded_date IS NULL) SELECT * FROM k"""),
     "lint_vocab": (lint_vocab, VOCAB),
