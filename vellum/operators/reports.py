@@ -62,8 +62,9 @@ def soft_duplicate_blocks(neighbours: DataFrame, threshold: float = 0.8) -> Data
     """(key, block): an advisory table of a file's neighbours, best first, where any reaches the threshold. ``neighbours``: key, other, score."""
     near = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), F.col("other").cast("string").alias("other"))))
     rows = neighbours.groupBy("key").agg(F.max("score").alias("top"), near.alias("near")).where(F.col("top") >= threshold)
-    lines = F.transform("near", lambda x: F.format_string("| %.4f | `%s` |", -x["low"], x["other"]))
-    head = F.format_string("### Soft-duplicate candidate\n\n**New file:** `%s`\n**Top semantic score:** %.4f\n\n| Score | Nearest neighbour |\n|-------|-------------------|", F.col("key").cast("string"), "top")
+    # format_number rounds the double itself; %.4f its shortest decimals, so that 0.99385 would be 0.9939
+    lines = F.transform("near", lambda x: F.format_string("| %s | `%s` |", F.format_number(-x["low"], 4), x["other"]))
+    head = F.format_string("### Soft-duplicate candidate\n\n**New file:** `%s`\n**Top semantic score:** %s\n\n| Score | Nearest neighbour |\n|-------|-------------------|", F.col("key").cast("string"), F.format_number("top", 4))
     return rows.select("key", F.array_join(F.concat(F.array(head), lines), "\n").alias("block"))
 
 
