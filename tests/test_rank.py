@@ -40,3 +40,10 @@ def test_seeds_and_reasons(spark):
     why = {r.query_id: (r.n_seeds, r.reason) for r in rank.skip_reasons(queries, seeds).collect()}
     assert why == {1: (3, None), 2: (1, rank.ONE_SEED), 3: (0, rank.NO_SEED), 4: (0, rank.NO_SEED)}
     assert rank.push_rank(spark.createDataFrame([], "src string, dst string"), seeds.limit(0)).count() == 0
+
+
+def test_push_goes_on_until_the_bound_is_met(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(60) for b in range(60) if a != b], "src long, dst long")
+    seeds = spark.createDataFrame([(1, 0), (1, 1)], "query_id long, node long")
+    loose = rank.push_rank(edges, seeds, least=1e-2).first().bound
+    assert loose > 1e-3 >= rank.push_rank(edges, seeds, least=1e-2, within=1e-3).first().bound

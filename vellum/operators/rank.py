@@ -32,14 +32,16 @@ def skip_reasons(queries: DataFrame, seeds: DataFrame, least: int = 2) -> DataFr
     return rows.withColumn("reason", F.when(F.col("n_seeds") == 0, NO_SEED).when(F.col("n_seeds") < least, ONE_SEED))
 
 
-def push_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, least: float = LEAST) -> DataFrame:
+def push_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, least: float = LEAST, within: float | None = None) -> DataFrame:
     """(query_id, node, score, bound): personalised rank over ``edges`` (src, dst) from each query's ``seeds`` (query_id, node).
 
     Every node of a query holds a score and a residual. A node whose residual is
     ``least`` or more keeps ``1 - damping`` of it as score and sends the rest to its
     links in equal parts; mass of nodes without links is lost. Scores never exceed the
     exact ones, and fall short of them by no more than ``bound``, the query's residual
-    mass. Equal seeds of a query count once; a query without seeds has no row.
+    mass. That mass grows with the nodes that a query reaches; with ``within``, ``least``
+    falls to a quarter until no query's bound exceeds it. Equal seeds of a query count once; a
+    query without seeds has no row.
 
     State is keyed by query and node, so queries share each round's join and shuffle
     and a hub's work is split by query. Queries that have settled drop out of the
@@ -58,9 +60,12 @@ def push_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, leas
             sent = state.where(live).join(weights, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), F.lit(0.0).alias("score"), (damping * F.col("residual") / F.col("degree")).alias("residual"))
             state = kept.unionByName(sent).groupBy("query_id", "node").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"))
         state = materialize(state, "push-state")
-        if not state.where(F.col("residual") >= least).limit(1).count():
+        if state.where(F.col("residual") >= least).limit(1).count():
+            continue
+        bound = state.groupBy("query_id").agg(F.sum("residual").alias("bound"))
+        if within is None or not bound.where(F.col("bound") > within).limit(1).count():
             break
-    bound = state.groupBy("query_id").agg(F.sum("residual").alias("bound"))
+        least /= 4
     return state.join(bound, "query_id").select("query_id", "node", "score", "bound")
 
 

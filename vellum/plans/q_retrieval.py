@@ -122,7 +122,7 @@ def ppr_queries(spark, d):
     why = rank.skip_reasons(q, seeds)
     asked = seeds.join(why.where("reason is null").select("query_id"), "query_id", "left_semi")
     # what is not a seed connects them
-    found = rank.push_rank(edges, asked, least=1e-6).join(seeds, ["query_id", "node"], "left_anti")
+    found = rank.push_rank(edges, asked, least=1e-6, within=5e-4).join(seeds, ["query_id", "node"], "left_anti")
     top = rank.best(found, 1).select("query_id", F.col("node").alias("connector"), F.round("score", 3).alias("score"), (F.col("bound") < 0.001).alias("near"))
     return why.join(top, "query_id", "left").select("query_id", "n_seeds", "reason", "connector", "score", "near")
 
