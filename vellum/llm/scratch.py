@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.scratch import materialize, scratch_dir
+from vellum.scratch import lean, materialize, scratch_dir, small_batches
 from vellum.session import table
 
 __all__ = ["documents", "filter_rows", "fresh", "keep_rows", "lean", "materialize", "scratch_dir", "sized", "small_batches"]
@@ -23,33 +23,6 @@ def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= limit else df.hint("merge")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded size, so that a Python worker's memory does not follow the row count."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
-
-
-def lean(run):
-    """``run`` over batches, giving freed memory back to the system when a task ends.
-
-    Workers are used again by other tasks; else each would keep for its whole life what
-    its largest task held.
-    """
-
-    def held(batches):
-        import ctypes
-
-        import pyarrow as pa
-
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
-        if trim:
-            trim(0)
-
-    return held
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

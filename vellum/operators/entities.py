@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.scratch import materialize
+from vellum.scratch import lean, materialize, small_batches
 
 #: Bytes of surfaces whose automaton is broadcast at a time.
 BLOCK_BYTES = 1 << 17
@@ -160,6 +160,7 @@ def exact_matches(docs: DataFrame, entities: DataFrame, key: str = "doc_id", tex
     before the next comes to the driver.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
     known = entities.where("surface <> ''").select("entity_id", "surface").distinct()
@@ -171,7 +172,7 @@ def exact_matches(docs: DataFrame, entities: DataFrame, key: str = "doc_id", tex
         names = sorted(r.surface for r in surfaces.where(F.pmod(F.xxhash64("surface"), F.lit(blocks)) == i).collect())
         sent = spark.sparkContext.broadcast((Automaton([name.encode() for name in names]),))
         spelt = spark.createDataFrame(list(enumerate(names)), "surface_no int, matched string")
-        found = docs.mapInArrow(_matcher(sent, whole), f"key {kind}, surface_no int, start long, end long")
+        found = docs.mapInArrow(lean(_matcher(sent, whole)), f"key {kind}, surface_no int, start long, end long")
         found = found.join(F.broadcast(spelt), "surface_no").select("key", "matched", "start", "end")
         parts.append(found if blocks == 1 else materialize(found, "entity-matches"))
     every = parts[0]

@@ -1,4 +1,4 @@
-"""Tables that cut a long lineage, in the folder that the cluster shares."""
+"""Tables that cut a long lineage, in the folder that the cluster shares; batches that bound a Python worker's memory."""
 
 from __future__ import annotations
 
@@ -33,3 +33,30 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded size, so that a Python worker's memory does not follow the row count."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+
+
+def lean(run):
+    """``run`` over batches, giving freed memory back to the system when a task ends.
+
+    Workers are used again by other tasks; else each would keep for its whole life what
+    its largest task held.
+    """
+
+    def held(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+        if trim:
+            trim(0)
+
+    return held
