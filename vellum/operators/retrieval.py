@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.scratch import materialize
+from vellum.scratch import materialize, small_batches
 
 # Words that tell a query's temporal intent.
 CURRENT = ("current", "latest", "now", "today", "most recent", "live", "as it stands")
@@ -32,6 +32,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", c
     """
     import numpy as np
 
+    small_batches(vectors.sparkSession)
     rows = vectors if dim is None else vectors.where(F.size(column) == dim)
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
