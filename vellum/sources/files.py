@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from vellum.scratch import small_batches
+
 # Folders that no scan enters, besides dotted ones, and the zones that hold typed notes.
 SKIPPED = ("__pycache__", "node_modules", "_archive", "_archives", "archive", "archives", "Templates", "_skill_packages", "_skill_resources", "_log_archive", "_session_handoff_archive", "_auto_writes_archive", "_ingestion_pipeline", "_drop", "_originals")
 TYPED_ZONES = ("10 People", "20 Companies", "30 Projects", "40 Meetings", "50 Sources", "60 Concepts", "70 Decisions")
@@ -72,6 +74,7 @@ FRONTMATTER = "struct<fields:map<string,string>,error:string,body:string>"
 
 def frontmatter(text: Column) -> Column:
     """Frontmatter as a map (nested values as JSON), why it is none, and the body; in Arrow batches."""
+    small_batches(SparkSession.active())
 
     @pandas_udf(FRONTMATTER)
     def parse(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
