@@ -18,8 +18,8 @@ HISTORY = ("history", "historical", "evolved", "evolution", "changed", "previous
 
 #: Queries that go with a task at a time.
 QUERY_BLOCK = 8000
-#: Vectors of one part in the search for pairs.
-PART = 2000
+#: Vectors of one part in the search for pairs, and those that are scored against a part at a time.
+PART, ROWS = 8000, 256
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", dim: int | None = None) -> DataFrame:
@@ -74,32 +74,35 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", col
     """(a, b, score) of the pairs a < b whose cosine reaches the threshold.
 
     Blocked: vectors fall by key into parts of about ``part``; each pair of parts meets
-    in one group, within which pairs are scored as a matrix product, and only those
-    that reach the threshold come out. All pairs are what is asked for, so the work
-    grows with the square of the vectors, and a group with the parameter only.
+    in one group, within which ROWS vectors at a time are scored as a matrix product, and
+    only pairs that reach the threshold come out. Vectors travel as they are stored, once
+    for each part. All pairs are what is asked for, so the work grows with the square of
+    the vectors, what a group holds with the parameters only.
     """
     import numpy as np
 
     parts = max(1, -(-vectors.count() // part))
 
-    rows = vectors.select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
+    rows = vectors.select(F.col(key).alias("id"), F.col(column).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
     meet = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     spread = rows.select("id", "v", "part", F.explode(meet).alias("m")).select("id", "v", "part", "m.i", "m.j")
 
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(batches)).drop_duplicates("id")
         left, right = group[group.part == group.i], group[group.part == group.j]
-        m = lambda g: np.stack(g.v.to_list()) if len(g) else np.zeros((0, 1))
-        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
-            return empty
-        s = np.round(unit(m(left)) @ unit(m(right)).T, 6)
-        i, j = np.nonzero(s >= threshold)
-        a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
-        keep = a < b if group.i.iloc[0] == group.j.iloc[0] else a != b
-        a, b, s = a[keep], b[keep], s[i, j][keep]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": s})
+            return
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        of = lambda g: (g.id.to_numpy(), unit(np.stack(g.v.to_list()).astype(np.float64)))
+        (ids, some), (others, all_) = of(left), of(right)
+        same = group.i.iloc[0] == group.j.iloc[0]
+        for at in range(0, len(ids), ROWS):
+            s = np.round(some[at : at + ROWS] @ all_.T, 6)
+            i, j = np.nonzero(s >= threshold)
+            a, b, s = ids[at + i], others[j], s[i, j]
+            keep = a < b if same else a != b
+            a, b, s = a[keep], b[keep], s[keep]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": s})
 
     return spread.groupBy("i", "j").applyInPandas(score, "a long, b long, score double")
 
