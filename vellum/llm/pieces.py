@@ -503,7 +503,7 @@ def _samples(batch: pa.RecordBatch, samples: int, vocabulary: Vocabulary) -> Ite
 
 
 def encoded(docs: DataFrame, samples: int = SAMPLES, path: str = MODEL, smooth: float = 1.0) -> DataFrame:
-    """A report on each row's samples, decoded again: doc_id, n_samples, for each of them n_pieces, ids_sha256, log_p and log_inclusion, then distinct and round_trip."""
+    """Each row's samples, decoded again: doc_id, n_samples, for each of them n_pieces, ids_sha256, log_p and log_inclusion, then distinct and round_trip, and the ids of each as little-endian 32-bit numbers."""
     vocabulary = Vocabulary(path, smooth)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
@@ -512,12 +512,13 @@ def encoded(docs: DataFrame, samples: int = SAMPLES, path: str = MODEL, smooth:
         for batch in batches:
             rows = []
             for own in _samples(batch, samples, vocabulary):
-                rows.append((len(own), [len(ids) for ids, _, _, _ in own], [hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() for ids, _, _, _ in own], [p for _, p, _, _ in own], [s for _, _, s, _ in own], len({ids.tobytes() for ids, _, _, _ in own}) == len(own), all(decode(ids, vocabulary) == bytes(text) for ids, _, _, text in own)))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "n_samples", "n_pieces", "ids_sha256", "log_p", "log_inclusion", "distinct", "round_trip"])
+                data = [ids.astype("<i4", copy=False).tobytes() for ids, _, _, _ in own]
+                rows.append((len(own), [len(ids) for ids, _, _, _ in own], [hashlib.sha256(x).hexdigest() for x in data], [p for _, p, _, _ in own], [s for _, _, s, _ in own], len(set(data)) == len(own), all(decode(ids, vocabulary) == bytes(text) for ids, _, _, text in own), data))
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_(), pa.bool_(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "n_samples", "n_pieces", "ids_sha256", "log_p", "log_inclusion", "distinct", "round_trip", "ids"])
 
-    return docs.select("doc_id", "text", _key("doc_id")).mapInArrow(lean(run), f"doc_id {id_type}, n_samples int, n_pieces array<long>, ids_sha256 array<string>, log_p array<double>, log_inclusion array<double>, distinct boolean, round_trip boolean")
+    return docs.select("doc_id", "text", _key("doc_id")).mapInArrow(lean(run), f"doc_id {id_type}, n_samples int, n_pieces array<long>, ids_sha256 array<string>, log_p array<double>, log_inclusion array<double>, distinct boolean, round_trip boolean, ids array<binary>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
