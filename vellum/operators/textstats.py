@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.scratch import materialize
+from vellum.scratch import lean, materialize, small_batches
 
 #: Documents of a range whose ends one task orders.
 PART = 50_000
+#: Bins for n-grams, as a power of two, and how many of the fullest are counted first.
+BIN_BITS, FIRST = 20, 1000
 
 
 def sentence_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,8 +35,9 @@ def order_statistics(values: DataFrame, column: str, shares: dict[str, float]) -
     return listed.agg(*[F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col(column))).alias(name) for name, share in shares.items()])
 
 
-def _tokens(text: str) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: t != "")
+def _plain(text: str) -> Column:
+    """The words of a text, lower case, with one space between; one replacement for a run, as one for each character takes six times as long."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def across_documents(docs: DataFrame, n: int, key: str, text: str = "text", per_part: int = PART) -> DataFrame:
@@ -46,10 +49,11 @@ def across_documents(docs: DataFrame, n: int, key: str, text: str = "text", per_
     come to the driver. Rows without words add nothing; a null key is the first.
     """
     w = n - 1
-    t = F.col("t")
-    ends = docs.select(F.col(key).alias("key"), _tokens(text).alias("t")).where(F.size("t") > 0)
-    ends = ends.select("key", F.slice(t, 1, w).alias("first"), F.slice(t, F.greatest(F.size(t) - (w - 1), F.lit(1)), w).alias("last"))
-    parts = max(1, -(-docs.count() // per_part))
+    plain = docs.select(F.col(key).alias("key"), _plain(text).alias("plain"))
+    ends = plain.select("key", *[F.split(F.substring_index("plain", " ", k), " ").alias(name) for name, k in (("first", w), ("last", -w))])
+    # written before they are placed, since ranges are sampled: else every text is read twice
+    ends = materialize(ends, "ends").where(F.get("first", F.lit(0)) != "")
+    parts = max(1, -(-ends.count() // per_part))
     placed = materialize(ends.repartitionByRange(parts, F.col("key").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "document-ends")
 
     def carried(words: list[str], group) -> Iterator[list[str]]:
@@ -79,27 +83,93 @@ def across_documents(docs: DataFrame, n: int, key: str, text: str = "text", per_
     return placed.groupBy("part").applyInPandas(joined, "t array<string>")
 
 
-def ngrams(docs: DataFrame, n: int = 3, top: int = 20, text: str = "text", across: str | None = None) -> DataFrame:
+def _binned(plain, n: int):
+    """Of a column of plain texts: the words that occur, the numbers of each n-gram's words in them (n, m), its bin by hash (m); none of stopwords alone."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pandas.util import hash_array
+
+    lists = pc.split_pattern(plain.filter(pc.greater(pc.binary_length(plain), 0)), " ")
+    words = lists.flatten().dictionary_encode()
+    ids, known = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(lists).to_numpy()
+    place = np.arange(len(ids))
+    place = place[place + n <= np.repeat(np.cumsum(sizes), sizes)]
+    grams = np.stack([ids[place + i] for i in range(n)])
+    stop = pc.is_in(words.dictionary, pa.array(T.NGRAM_STOPWORDS)).to_numpy(zero_copy_only=False)
+    grams = grams[:, ~stop[grams].all(axis=0)]
+    word, h = hash_array(known, categorize=False), np.zeros(grams.shape[1], np.uint64)
+    for row in grams:
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[row]
+    return known, grams, (h >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def _bin_counts(n: int):
+    """(bin, n): how many n-grams of a task's plain texts fall into each bin."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(1 << BIN_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(_binned(batch.column(0), n)[2], minlength=len(total))
+        used = np.flatnonzero(total)
+        for i in range(0, len(used), 1 << 16):
+            part = used[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["bin", "n"])
+
+    return lean(run)
+
+
+def _spelt(n: int, wanted: bytes):
+    """(ngram, n) of the n-grams of each batch of plain texts whose bin is wanted: a bit for each bin."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        want = np.unpackbits(np.frombuffer(wanted, np.uint8)).astype(bool)
+        for batch in batches:
+            known, grams, bins = _binned(batch.column(0), n)
+            found = Counter(map(tuple, grams[:, want[bins]].T.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(known[list(g)]) for g in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["ngram", "n"])
+
+    return lean(run)
+
+
+def ngrams(docs: DataFrame, n: int = 3, top: int = 20, text: str = "text", across: str | None = None, first: int = FIRST) -> DataFrame:
     """Most frequent n-grams that are not all stopwords, within a document; ties by n-gram.
 
     ``across`` names a key by whose order the documents are one text, so that n-grams
-    over their boundaries count too. Hashes of the n-grams are counted; only those as
-    frequent as the last that is asked for are spelt out and counted again by their words.
+    over their boundaries count too. No n-gram is more frequent than all of its bin, so
+    the n-grams of the ``first`` fullest bins are counted by their words; the last of
+    them that is asked for is a bound, and if other bins reach it, the n-grams of all that
+    do are counted. A result that is short or flat counts every n-gram so.
     """
-    rows = docs.select(_tokens(text).alias("t")).where(F.size("t") >= n)
+    small_batches(docs.sparkSession)
+    rows = docs.select(_plain(text).alias("plain"))
     if across and n > 1:
-        rows = rows.unionByName(materialize(across_documents(docs, n, across, text), "across-documents").where(F.size("t") >= n))
-    # the words at one place of an n-gram each, cut to the number of n-grams, side by side
-    shifted = [F.slice("t", i + 1, F.size("t") - n + 1).alias(f"w{i}") for i in range(n)]
-    names = [f"w{i}" for i in range(n)]
-    stop = reduce(Column.__and__, (F.col(c).isin(T.NGRAM_STOPWORDS) for c in names))
-    grams = rows.select(F.inline(F.arrays_zip(*shifted))).where(~stop).select(*names, F.xxhash64(*names).alias("h"))
-    counted = materialize(grams.groupBy("h").agg(F.count("*").alias("n")), "ngram-counts")
-    least = counted.orderBy(F.desc("n")).limit(top).agg(F.min("n")).first()[0]
-    often = counted.where(F.col("n") >= (least or 0)).select("h")
-    # about ``top`` hashes, and more only where many are as frequent as the last
-    spelt = grams.join(F.broadcast(often) if least and often.limit(10_001).count() <= 10_000 else often, "h", "left_semi")
-    return spelt.groupBy(F.concat_ws(" ", *names).alias("ngram")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(top)
+        rows = rows.unionByName(materialize(across_documents(docs, n, across, text).select(F.array_join("t", " ").alias("plain")), "across-documents"))
+    bins = materialize(rows.mapInArrow(_bin_counts(n), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")), "ngram-bins")
+
+    def most(chosen: DataFrame) -> DataFrame:
+        """Counted n-grams of the bins; of the bins a bit each passes the driver."""
+        import numpy as np
+
+        bits = np.zeros(1 << BIN_BITS, bool)
+        bits[chosen.select("bin").toPandas()["bin"].to_numpy(np.int64)] = True
+        spelt = rows.mapInArrow(_spelt(n, np.packbits(bits).tobytes()), "ngram string, n long")
+        return materialize(spelt.groupBy("ngram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ngram").limit(top), "ngrams")
+
+    fullest = bins.orderBy(F.desc("n")).limit(first + 1).collect()
+    found = most(bins.orderBy(F.desc("n"), "bin").limit(first))
+    counts = [r.n for r in found.select("n").collect()]
+    least = min(counts) if len(counts) == top else 0
+    if len(fullest) > first and fullest[-1].n >= least:
+        found = most(bins.where(F.col("n") >= least))
+    return found.orderBy(F.desc("n"), "ngram")
 
 
 def openers(docs: DataFrame, top: int = 10, text: str = "text") -> DataFrame:
