@@ -114,14 +114,19 @@ def chain_heads(previous: DataFrame, key: str, before: str) -> DataFrame:
     """(key, head, length): the newest version that each version leads to, by doubling the links to successors.
 
     ``previous`` has a row (key, before) for each version; the number of rounds grows
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain. A version is done when its head was, and
+    goes on only as long as another looks it up: one that none has as its head has no
+    predecessor at twice the distance either. So rounds shrink, and none compares states.
     """
     jump = previous.select(F.col(before).alias("node"), F.col(key).alias("next")).where("node is not null")
     nodes = previous.select(F.col(key).alias("node"))
-    state = materialize(nodes.join(jump, "node", "left").select("node", F.coalesce("next", "node").alias("head"), F.when(F.col("next").isNull(), 0).otherwise(1).alias("length")), "heads")
-    while True:
-        to = state.select(F.col("node").alias("head"), F.col("head").alias("far"), F.col("length").alias("more"))
-        new = materialize(state.join(to, "head").select("node", F.col("far").alias("head"), (F.col("length") + F.col("more")).alias("length")), "heads")
-        if not new.join(state.withColumnRenamed("head", "was"), "node").where("head <> was").limit(1).count():
-            return new
-        state = new
+    last = F.col("next").isNull()
+    state = materialize(nodes.join(jump, "node", "left").select("node", F.coalesce("next", "node").alias("head"), F.when(last, 0).otherwise(1).alias("length"), last.alias("done")), "heads")
+    written, known = [state], state
+    while written[-1].where("not done").limit(1).count():
+        to = known.select(F.col("node").alias("via"), F.col("head").alias("far"), F.col("length").alias("more"), "done")
+        left = written[-1].where("not done").select("node", F.col("head").alias("via"), "length").join(to, "via")
+        moved = materialize(left.select("node", F.col("far").alias("head"), (F.col("length") + F.col("more")).alias("length"), "done", "via", "more"), "heads")
+        written.append(moved)
+        known = moved.select(state.columns).unionByName(moved.where("done").select(F.col("via").alias("node"), "head", F.col("more").alias("length"), "done"))
+    return reduce(DataFrame.unionByName, [x.where("done").select("node", "head", "length") for x in written])
