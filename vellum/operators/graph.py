@@ -13,6 +13,10 @@ from vellum.scratch import materialize
 
 #: Levels of a search that are planned as one job.
 HOPS = 4
+#: Runs of a file name that find it in a text.
+HEAD_RUNS = 3
+#: File names that are sent to every task; more are joined by a shuffle.
+FEW = 50_000
 
 
 def links(notes: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -82,17 +86,34 @@ def reach(notes: DataFrame, reached: DataFrame, bound: list[str], unbound: list[
     return rows.withColumn("reach", how).drop("linked", "has_sibling")
 
 
+def candidates(notes: DataFrame, names: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(key, name, whole) where a text holds a name's head: its first runs of letters, digits, dashes and underscores, HEAD_RUNS at most, and what is between them.
+
+    ``whole``: the head is all of the name, so the name is mentioned.
+    """
+    beside, apart = f"[{T.BESIDE}]", f"[^{T.BESIDE}]"
+    core = F.regexp_replace("name", rf"^{apart}+|{apart}+\z", "")
+    head = F.regexp_extract(core, f"^{beside}+(?:{apart}+{beside}+){{0,{HEAD_RUNS - 1}}}", 0)
+    heads = materialize(names.where(core != "").select("name", head.alias("head"), (head == F.col("name")).alias("whole")).distinct(), "name-heads")
+    # by their files' size the texts may look small enough to be sent to every task
+    heads = F.broadcast(heads) if heads.limit(FEW + 1).count() <= FEW else heads.hint("merge")
+    # at the start of each run, it and the next k
+    windows = [F.regexp_extract_all(text, F.lit(f"(?<!{beside})(?=({beside}++(?:{apart}++{beside}++){{{k}}}))"), F.lit(1)) for k in range(HEAD_RUNS)]
+    # outer, else the optimizer finds all windows twice, to leave out texts without any
+    tokens = notes.select(key, F.explode_outer(F.array_distinct(F.concat(*windows))).alias("head"))
+    return tokens.join(heads, "head").select(key, "name", "whole")
+
+
 def mentioned(notes: DataFrame, names: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(name, key) of the notes that mention a file name (``names``: name) standing on its own.
 
-    Names are joined by their first run of letters, digits, dashes and underscores, and
-    only such pairs are matched, so the work follows the mentions.
+    Names are joined by their first runs, so names that begin alike do not meet in
+    every text; only those with more runs, or other characters at an end, are matched
+    with the text again. So the work follows the mentions.
     """
-    runs = lambda c: F.regexp_extract_all(c, F.lit(rf"[{T.BESIDE}]+"), F.lit(0))
-    heads = names.select("name", F.get(runs(F.col("name")), F.lit(0)).alias("head")).where("head is not null").distinct()
-    tokens = notes.select(key, F.explode(F.array_distinct(runs(F.col(text)))).alias("head"))
-    near = tokens.join(heads, "head").select(key, "name")
-    return near.join(notes.select(key, text), key).where(T.mentions(F.col(text), F.col("name"))).select("name", key).distinct()
+    near = candidates(notes, names, key, text)
+    longer = near.where("not whole").join(notes.select(key, text).hint("merge"), key).where(T.mentions(F.col(text), F.col("name")))
+    return near.where("whole").select("name", key).unionByName(longer.select("name", key)).distinct()
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
