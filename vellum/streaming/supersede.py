@@ -1,83 +1,51 @@
 """Supersession as a stream: each dropped file meets the earlier files of its stem as it arrives.
 
-State is a list of files for each stem and span of days, kept as long as a file can
-still be superseded. A file goes to the cell of its own span, where it is compared as
-the new one and as the old one, and to the next span's cell, where it is compared as
-the old one only. So a pair meets in one cell, that of its newer file, in whatever order
-the two arrive, and a stem with many files is spread by span.
+The stream is joined with itself. A file goes to the cell of its stem and its own span of
+days as the newer one, and to that cell and the next span's as the older one, so a pair meets
+in one cell, that of its newer file, in whatever order the two arrive, and a stem with many
+files is spread by span. The join's state stays in the state store: no row of it passes
+through Python. Age counts by the time of arrival, the stream's event time here.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Fixed by the rule: days within which an earlier file counts as superseded.
 DAYS = 90
-#: The state store that keeps lists with a time to live.
+#: The state store that keeps state outside the heap.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Milliseconds of a day.
-DAY = 86_400_000
-
-
-class Supersession(StatefulProcessor):
-    """Pairs of one stem whose newer file lies in the cell's span; ``held`` is what the cell has seen."""
-
-    def __init__(self, days: int, live_days: int):
-        self.days, self.live_days = days, live_days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "file_key string, day int, newer boolean", ttlDurationMs=self.live_days * DAY)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        held = sorted((day, name, newer) for name, day, newer in self.held.get())
-        known = {(name, day) for day, name, _ in held}
-        fresh = []
-        for row in rows:
-            if (row.file_key, row.day) not in known:  # a row may come again
-                known.add((row.file_key, row.day))
-                fresh.append((row.day, row.file_key, row.newer))
-        if not fresh:
-            return
-        self.held.appendList([(name, day, newer) for day, name, newer in fresh])
-        fresh.sort()
-        both = sorted(held + fresh)
-        for new, old in ((fresh, both), ([x for x in held if x[2]], fresh)):
-            days = [day for day, _, _ in old]
-            for day, name, newer in new:
-                if newer:
-                    for before, other, _ in old[bisect_left(days, day - self.days) : bisect_left(days, day)]:
-                        if other != name:
-                            yield Row(stem=key[0], new_key=name, new_day=day, old_key=other, old_day=before)
-
-    def close(self) -> None:
-        pass
 
 
 def supersession(files: DataFrame, stem: str, at: str, key: str, days: int = DAYS, live_days: int = DAYS) -> DataFrame:
     """(stem, new_key, new_at, old_key, old_at, gap_days) of a stream of files, as the batch operator has them for dated rows.
 
     A pair comes out with the later of its two rows to arrive, so late rows find all
-    their pairs as long as the state lives: ``live_days`` days after a row arrived. A row that
-    arrives again (same key and date) makes no new pair; rows without a date, which the
-    batch operator holds to be always in the window, are left out here and can be queried there.
-    The session must be set up by ``use_store``.
+    their pairs as long as the state lives. A row that arrives again (same key and date)
+    within ``live_days`` makes no new pair; the first stands for it, and so meets what
+    arrives within twice ``live_days``. Then both are forgotten, as batches go on arriving.
+    Rows without a date, which the batch operator holds to be always in the window, are left
+    out here and can be queried there. The session must be set up by ``use_store``.
     """
     day = F.unix_date(F.col(at).cast("date"))
-    kind = files.schema[key].dataType.simpleString()
-    rows = files.where(F.col(at).isNotNull() & F.col(stem).isNotNull()).select(F.col(stem).alias("stem"), F.col(key).cast("string").alias("file_key"), day.alias("day"), F.floor(day / days).alias("span"))
-    cells = rows.select("stem", "file_key", "day", F.explode(F.array(F.struct(F.col("span").alias("span"), F.lit(True).alias("newer")), F.struct((F.col("span") + 1).alias("span"), F.lit(False).alias("newer")))).alias("cell"))
-    cells = cells.select("stem", "cell.span", "cell.newer", "file_key", "day")
-    found = cells.groupBy("stem", "span").transformWithState(Supersession(days, live_days), "stem string, new_key string, new_day int, old_key string, old_day int", "Append", "ProcessingTime")
-    dated = lambda c: F.date_from_unix_date(c)
-    return found.select("stem", F.col("new_key").cast(kind).alias("new_key"), dated("new_day").alias("new_at"), F.col("old_key").cast(kind).alias("old_key"), dated("old_day").alias("old_at"), (F.col("new_day") - F.col("old_day")).alias("gap_days"))
+    dated = files.where(F.col(at).isNotNull() & F.col(stem).isNotNull())
+    rows = dated.select(F.col(stem).alias("stem"), F.col(key).alias("file_key"), day.alias("day"), F.current_timestamp().alias("arrived"))
+    # the watermark is half of live_days behind, and a row is known until half of live_days after its own time: live_days in all
+    rows = rows.withWatermark("arrived", f"{live_days * 12} hours").dropDuplicatesWithinWatermark(["stem", "file_key", "day"])
+    span = F.floor(F.col("day") / days)
+    new = rows.select("stem", span.alias("span"), F.col("file_key").alias("new_key"), F.col("day").alias("new_day"), F.col("arrived").alias("new_arrived"))
+    old = rows.select(F.col("stem").alias("old_stem"), F.explode(F.array(span, span + 1)).alias("old_span"), F.col("file_key").alias("old_key"), F.col("day").alias("old_day"), F.col("arrived").alias("old_arrived"))
+    cell = (F.col("stem") == F.col("old_stem")) & (F.col("span") == F.col("old_span"))
+    gap = F.col("new_day") - F.col("old_day")
+    near = (F.col("old_day") < F.col("new_day")) & (gap <= days) & (F.col("new_key") != F.col("old_key"))
+    live = F.expr(f"new_arrived BETWEEN old_arrived - INTERVAL {2 * live_days} DAYS AND old_arrived + INTERVAL {2 * live_days} DAYS")
+    found = new.join(old, cell & near & live)
+    return found.select("stem", "new_key", F.date_from_unix_date("new_day").alias("new_at"), "old_key", F.date_from_unix_date("old_day").alias("old_at"), gap.alias("gap_days"))
 
 
 def use_store(spark: SparkSession) -> None:
-    """Keep the session's streaming state in RocksDB, and run no batch without rows: age counts when a cell is read, and a run over what is there would never end."""
+    """Keep the session's streaming state in RocksDB, without a lookup at each write to count its rows, and run no batch without rows: it would only forget, which the next one does too."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
