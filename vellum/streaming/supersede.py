@@ -45,11 +45,12 @@ def supersession(files: DataFrame, stem: str, at: str, key: str, days: int = DAY
 
 
 def use_store(spark: SparkSession) -> None:
-    """Keep the session's streaming state in RocksDB: a join's in one store for each partition, not four, and without a lookup at each write to count its rows.
+    """Keep the session's streaming state in RocksDB: a join's in one store for each partition, not four, without a lookup at each write to count its rows, and without disk set aside beforehand, some 8 MB a store.
 
     No batch without rows is run: it would only forget, which the next one does too.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
