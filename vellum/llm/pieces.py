@@ -17,8 +17,8 @@ its pieces take the log-probability of their rank under Zipf's law.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Code points whose words are drawn together.
 SLICE = 1 << 17
+#: Places of lattices that a task keeps for later words.
+KNOWN = 1 << 19
 SPACE = 0x2581
 #: Stands for the space mark where a text has it itself; beyond Unicode, so no piece holds it and it is spelt in bytes.
 MARK = 0x110000
@@ -48,7 +50,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Vocabulary:
-    """Pieces of a model, looked up by hash; small enough to go with each task (its size is the tokenizer's)."""
+    """Pieces of a model, looked up in a trie; small enough to go with each task (its size is the tokenizer's)."""
 
     def __init__(self, path: str = MODEL, smooth: float = 1.0):
         import sentencepiece
@@ -65,164 +67,230 @@ class Vocabulary:
             if model.is_byte(i):
                 value = int(model.id_to_piece(i)[3:5], 16)
                 self.bytes[value], self.text[i] = i, bytes([value])
-        self.plain = [t.replace("▁".encode(), b" ") for t in self.text]
+        self.plain = pa.array([t.replace("▁".encode(), b" ") for t in self.text], pa.binary())
         self.longest = max(len(model.id_to_piece(i)) for i in plain)
         self.unknown = float(score.min() - 10) * smooth
-        # every prefix of a piece: its place among the prefixes, its id and score if it is a piece, whether a longer one begins with it
+        # a trie of the pieces in two arrays: from a node, a code point of kind c leads to node base + c if its parent says so
         names = [model.id_to_piece(i) for i in plain]
-        prefixes = sorted({name[:j] for name in names for j in range(1, len(name) + 1)})
-        place = {prefix: j for j, prefix in enumerate(prefixes, 1)}
-        n = len(prefixes) + 1
-        self.key, self.id, self.score, self.longer = np.zeros(n, U), np.zeros(n, np.int32), np.full(n, -np.inf, np.float32), np.zeros(n, bool)
+        often = Counter(c for name in names for c in name)
+        kind = {c: k for k, (c, _) in enumerate(often.most_common(), 1)}  # frequent ones first, so that nodes lie close
+        self.kind = np.zeros(max(map(ord, kind), default=0) + 2, np.int32)  # the last is for all beyond
+        self.kind[[ord(c) for c in kind]] = list(kind.values())
+        below: dict[str, list[str]] = {}
+        for prefix in {name[:j] for name in names for j in range(1, len(name) + 1)}:
+            below.setdefault(prefix[:-1], []).append(prefix)
+        node, base, taken = {"": 0}, {}, bytearray(b"\1") + bytes(2 * sum(map(len, below.values())) + 2 * len(kind))
+        free, crowded = 1, True
+        for parent, longer in sorted(below.items(), key=lambda x: (-len(x[1]), x[0])):
+            codes = sorted(kind[prefix[-1]] for prefix in longer)
+            if len(codes) == 1 and crowded:  # single ones fill the gaps
+                free, crowded = 1, False
+            at, tries = max(free, codes[0]), 0
+            while (at := taken.find(0, at)) >= 0 and any(taken[at + c - codes[0] : at + c - codes[0] + 1] == b"\1" for c in codes[1:]):
+                at, tries = at + 1, tries + 1
+            if at < 0:
+                at = len(taken)
+            taken.extend(bytes(max(0, at + codes[-1] - codes[0] + 1 - len(taken))))
+            if tries > 16 or (len(codes) == 1 and codes[0] <= free):
+                free = at
+            base[parent] = at - codes[0]
+            for prefix in longer:
+                node[prefix] = base[parent] + kind[prefix[-1]]
+                taken[node[prefix]] = 1
+        n = max(node.values()) + len(kind) + 2
+        self.base, self.parent = np.zeros(n, np.int32), np.full(n, -1, np.int32)
+        self.id, self.score, self.longer = np.zeros(n, np.int32), np.full(n, -np.inf, np.float32), np.zeros(n, bool)
+        for prefix, x in base.items():
+            self.base[node[prefix]] = x
+            self.longer[node[prefix]] = bool(prefix)
+            self.parent[[node[longer] for longer in below[prefix]]] = node[prefix]
         for name, i, x in zip(names, plain, score.tolist(), strict=True):
-            self.id[place[name]], self.score[place[name]] = i, x * smooth
-            for j in range(1, len(name)):
-                self.longer[place[name[:j]]] = True
-        for prefix, j in place.items():
-            self.key[j] = self.hash(np.array([ord(c) for c in prefix], np.uint32))
-        # two hashed places, and sorted keys for those few that find both taken
-        self.first, self.second = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.int32)
-        rest = []
-        for j, k in enumerate(self.key[1:].tolist(), 1):
-            if not self.first[k >> 44]:
-                self.first[k >> 44] = j
-            elif not self.second[k & ((1 << 20) - 1)]:
-                self.second[k & ((1 << 20) - 1)] = j
-            else:
-                rest.append(j)
-        self.rest = np.array(sorted(rest, key=lambda j: int(self.key[j])), np.int32)
-
-    @staticmethod
-    def hash(points: np.ndarray) -> int:
-        value = (points.astype(U) * _powers(_BASE, len(points))).sum(dtype=U)
-        return int(mix(np.array([value + U(len(points))], U))[0])
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Place of each hash among the prefixes; 0: none."""
-        at = self.first[(h >> U(44)).astype(np.int64)]
-        miss = self.key[at] != h
-        if miss.any():
-            sought = h[miss]
-            again = self.second[(sought & U((1 << 20) - 1)).astype(np.int64)]
-            again[self.key[again] != sought] = 0
-            if len(self.rest):
-                third = self.rest[np.minimum(np.searchsorted(self.key[self.rest], sought), len(self.rest) - 1)]
-                again = np.where(self.key[third] == sought, third, again)
-            at[miss] = again
-        return at
+            self.id[node[name]], self.score[node[name]] = i, x * smooth
 
 
 _UP, _DOWN = _powers(_BASE, SLICE + 1), _powers(pow(_BASE, -1, 1 << 64), SLICE + 1)
 
 
-class Words:
-    """Lattices of the distinct words of a stretch of code points, with what is needed to draw from them.
+class Known:
+    """Lattices of the words met so far, each built once; beyond KNOWN places the words met least give way.
 
-    ``points`` holds whole words; ``edge`` their starts and the end.
+    A word's lattice depends on the word alone, so what is known changes no result.
+    A row is a place 0..size of a word: ``owner`` has its word's number, ``last`` the last
+    of the arcs that end there; these follow those of the row before, by length. ``top``
+    has a word's row at its end. ``begin`` has an arc's row at its start, -1 at its word's
+    start, ``lower`` the share of a row's arcs before the arc, ``share`` the log of its own.
     """
 
-    def __init__(self, points: np.ndarray, edge: np.ndarray, vocabulary: Vocabulary):
-        v, n = vocabulary, len(points)
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.name, self.number = np.zeros(0, U), np.zeros(0, np.int64)  # sorted hashes and whose they are
+        self.words = self.rows = self.arcs = 0
+        self.top, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.owner, self.last = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.share, self.lower = np.zeros(0), np.zeros(0, np.float32)
+        self.piece, self.begin = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def find(self, points: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Numbers of the words that begin at ``edge`` (the last is the end) in ``points``; those not known are built."""
+        if self.rows > KNOWN:
+            self._thin()
+        n = len(points)
         up, down = (_UP, _DOWN) if n <= SLICE else (_powers(_BASE, n + 1), _powers(pow(_BASE, -1, 1 << 64), n + 1))
         sums = np.zeros(n + 1, U)
         np.cumsum(points.astype(U) * up[:n], out=sums[1:])
         size = np.diff(edge)
         name = mix((sums[edge[1:]] - sums[edge[:-1]]) * down[edge[:-1]] + size.astype(U))
-        _, one, self.word = np.unique(name, return_index=True, return_inverse=True)
-        order = np.argsort(-size[one], kind="stable")  # longer words first
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        self.word, one = back[self.word], one[order]
-        size = size[one]
-        width = int(min(v.longest, size[0]))
-        # rows: the places 0..size of each distinct word
-        base = np.concatenate(([0], np.cumsum(size + 1)))
-        self.base, self.size, rows = base[:-1], size, int(base[-1])
-        start = np.repeat(edge[one], size + 1) + np.arange(rows) - np.repeat(self.base, size + 1)
-        left = np.repeat(base[1:], size + 1) - 1 - np.arange(rows)  # code points from the place to the word's end
+        name, one, word = np.unique(name, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.name, name)
+        number = np.full(len(name), -1)
+        if self.words:
+            near = np.minimum(at, self.words - 1)
+            number = np.where(self.name[near] == name, self.number[near], -1)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            new = new[np.argsort(-size[one[new]], kind="stable")]  # longer words first
+            number[new] = self.words + np.arange(len(new))
+            self._build(points, edge[one[new]], size[one[new]])
+            new.sort()
+            self.name, self.number = np.insert(self.name, at[new], name[new]), np.insert(self.number, at[new], number[new])
+        self.met[number] += 1
+        return number[word]
+
+    def _build(self, points: np.ndarray, edge: np.ndarray, size: np.ndarray) -> None:
+        """Add the lattices of the words of ``size`` at ``edge``, the longest first."""
+        v = self.vocabulary
+        # rows: place 0 of each word, place 1 of each word that has it, ...
+        count = np.searchsorted(-size, -np.arange(size[0] + 1), "right")
+        first = np.concatenate(([0], np.cumsum(count)))
+        rows = int(first[-1])
+        place = np.repeat(np.arange(size[0] + 1), count)
+        word = np.arange(rows) - first[place]
+        after = np.arange(rows) + count[place]  # row of the word's next place
+        r = np.flatnonzero(place < size[word])
+        point = points[edge[word[r]] + place[r]].astype(np.int32)
+        code = np.zeros(rows, np.int32)  # 0 at a word's end
+        code[r] = v.kind[np.minimum(point, len(v.kind) - 1)]
         # arcs: every piece at every place, and the spelling in bytes of a code point that is no piece
-        arcs: list[tuple[np.ndarray, ...]] = []
-        r = np.arange(rows)
-        for length in range(1, width + 1):
-            r = r[left[r] >= length]
-            if not len(r):
-                break
-            s = start[r]
-            at = v.find(mix((sums[s + length] - sums[s]) * down[s] + U(length)))
-            value, name_of = v.score[at], v.id[at]
-            if length == 1:
-                missing = ~np.isfinite(value)
-                value, name_of = np.where(missing, np.float32(v.unknown), value), np.where(missing, -points[s].astype(np.int32) - 1, name_of)
-            hit = np.isfinite(value)
-            arcs.append((r[hit], np.full(int(hit.sum()), length, np.int32), value[hit], name_of[hit]))
-            r = r[v.longer[at]]  # where a longer piece may follow
-        # arcs in order of the place within the word, the word, the length: a counting sort, since a place has one arc of a length at most
-        within = np.arange(rows) - np.repeat(self.base, size + 1)
-        order = np.argsort(within.astype(np.uint16) if size[0] < 1 << 16 else within, kind="stable")
-        rank = np.empty(rows, np.int64)
-        rank[order] = np.arange(rows)
+        at = v.base[0] + code[r]
+        at = np.where(v.parent[at] == 0, at, 0)
+        end, value, name_of = after[r], v.score[at], v.id[at]
+        missing = np.flatnonzero(~np.isfinite(value))
+        point = point[missing]
+        value[missing], name_of[missing] = v.unknown, np.where(point < 128, v.bytes[np.minimum(point, 127)], -point - 1)
+        arcs = [(r, end, value, name_of)]
         held = np.zeros(rows + 1, np.int64)
-        for r, n, _, _ in arcs:
-            if len(r):
-                held[rank[r + n[0]] + 1] += 1
+        held[end + 1] = 1
+        while True:
+            on = np.flatnonzero(v.longer[at])  # where a longer piece may follow
+            r, end, at = r[on], end[on], at[on]
+            to = v.base[at] + code[end]
+            on = np.flatnonzero(v.parent[to] == at)
+            if not len(on):
+                break
+            r, at, end = r[on], to[on], after[end[on]]
+            value = v.score[at]
+            hit = np.flatnonzero(np.isfinite(value))
+            arcs.append((r[hit], end[hit], value[hit], v.id[at[hit]]))
+            held[arcs[-1][1] + 1] += 1  # a row has one arc of a length at most
+        # by the row where they end and by length
         held = np.cumsum(held)
-        total = int(held[-1])
-        begin, finish, value = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.float32)
-        self.piece, self.length = np.empty(total, np.int32), np.empty(total, np.int32)
-        for r, n, x, i in arcs:
-            if not len(r):
-                continue
-            end = r + n[0]
-            to = held[rank[end]]
-            held[rank[end]] += 1
-            begin[to], finish[to], value[to], self.piece[to], self.length[to] = r, end, x, i, n[0]
-        new = np.flatnonzero(np.concatenate(([True], finish[1:] != finish[:-1])))  # first arc of each place
-        self.low, self.high = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        self.low[finish[new]], self.high[finish[new]] = new, np.append(new[1:], len(finish))
+        stop, total = held[1:].copy(), int(held[-1])
+        begin, value, piece = np.empty(total, np.int32), np.empty(total, np.float32), np.empty(total, np.int32)
+        for r, end, x, i in arcs:
+            to = held[end]
+            held[end] += 1
+            begin[to], value[to], piece[to] = r, x, i
         forward = np.zeros(rows)
-        self.share, self.sum = np.empty(len(finish)), np.empty(len(finish), np.float32)
-        cut = np.searchsorted(within[finish[new]], np.arange(1, int(size[0]) + 2))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):  # places at equal distance from their words' starts
-            if a == b:
-                continue
-            first, last = int(new[a]), int(new[b]) if b < len(new) else len(finish)
-            group = new[a:b] - first
-            count = np.diff(np.append(group, last - first))
-            w = forward[begin[first:last]] + value[first:last]
+        share, lower = np.empty(total), np.empty(total, np.float32)
+        for a, b in zip(first[1:-1].tolist(), first[2:].tolist(), strict=True):  # rows at equal distance from their words' starts
+            low, high = int(stop[a - 1]), int(stop[b - 1])
+            group = stop[a - 1 : b - 1] - low
+            count = np.diff(group, append=high - low)
+            w = forward[begin[low:high]] + value[low:high]
             top = np.maximum.reduceat(w, group)
             p = np.exp(w - np.repeat(top, count))
-            total = np.add.reduceat(p, group)
-            forward[finish[new[a:b]]] = top + np.log(total)
+            whole = np.add.reduceat(p, group)
+            log = top + np.log(whole)
+            forward[a:b] = log
             running = np.cumsum(p)
-            self.sum[first:last] = (running - np.repeat(running[group] - p[group], count)) / np.repeat(total, count)
-            self.share[first:last] = w - np.repeat(top + np.log(total), count)
+            upper = (running - np.repeat(running[group] - p[group], count)) / np.repeat(whole, count)
+            lower[low + 1 : high] = upper[:-1]
+            lower[low + group] = 0
+            share[low:high] = w - np.repeat(log, count)
+        words, new_rows, new_arcs = self.words + len(size), self.rows + rows, self.arcs + total
+        self.top, self.met = (_room(x, self.words, words) for x in (self.top, self.met))
+        self.owner, self.last = (_room(x, self.rows, new_rows) for x in (self.owner, self.last))
+        self.share, self.lower, self.piece, self.begin = (_room(x, self.arcs, new_arcs) for x in (self.share, self.lower, self.piece, self.begin))
+        self.top[self.words : words], self.met[self.words : words] = first[size] + np.arange(len(size)) + self.rows, 0
+        self.owner[self.rows : new_rows], self.last[self.rows : new_rows] = word + self.words, stop + (self.arcs - 1)
+        own = slice(self.arcs, new_arcs)
+        self.share[own], self.lower[own], self.piece[own], self.begin[own] = share, lower, piece, np.where(begin < len(size), -1, begin + self.rows)
+        self.words, self.rows, self.arcs = words, new_rows, new_arcs
+
+    def _thin(self) -> None:
+        """Keep the words met most, up to half of KNOWN places; arrays that were handed out stay as they are."""
+        owner, met = self.owner[: self.rows], self.met[: self.words]
+        order = np.argsort(-met, kind="stable")
+        keep = np.sort(order[np.cumsum(np.bincount(owner, minlength=self.words)[order]) <= KNOWN // 2])
+        new = np.full(self.words, -1)
+        new[keep] = np.arange(len(keep))
+        number = new[self.number]
+        self.name, self.number = self.name[number >= 0], number[number >= 0]
+        stay = new[owner] >= 0
+        row, arcs = np.cumsum(stay) - 1, np.diff(self.last[: self.rows], prepend=-1)
+        self.top, self.met = row[self.top[keep]], met[keep] // 2
+        self.owner, self.last = new[owner[stay]].astype(np.int32), (np.cumsum(arcs[stay]) - 1).astype(np.int32)
+        on = np.flatnonzero(np.repeat(stay, arcs))
+        self.share, self.lower, self.piece, begin = self.share[on], self.lower[on], self.piece[on], self.begin[on]
+        self.begin = np.where(begin < 0, -1, row[begin]).astype(np.int32)
+        self.words, self.rows, self.arcs = len(keep), len(self.owner), len(on)
+
+
+def _room(array: np.ndarray, used: int, size: int) -> np.ndarray:
+    """The array, or a longer one with what is used of it."""
+    if size <= len(array):
+        return array
+    out = np.empty(max(size, len(array) * 3 // 2), array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
+class Words:
+    """The words of a stretch of code points with their lattices, to draw from them.
+
+    ``points`` holds whole words; ``edge`` their starts and the end.
+    """
+
+    def __init__(self, points: np.ndarray, edge: np.ndarray, known: Known):
+        self.word = known.find(points, edge)
+        self.top, self.last = known.top, known.last
+        self.share, self.lower, self.piece, self.begin = known.share, known.lower, known.piece, known.begin
 
     def draw(self, which: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation for each of the words ``which``: pieces of all in order, pieces of each, log-probability of each."""
-        word = self.word[which]
-        base = self.base[word]
-        at = base + self.size[word]
-        live = np.arange(len(which))
-        log = np.zeros(len(which))
-        count = np.zeros(len(which), np.int64)
+        at = self.top[self.word[which]]
+        live, sum_of = np.arange(len(which)), np.zeros(len(which))
+        log, count = np.empty(len(which)), np.empty(len(which), np.int64)
         owner, found, step = [], [], 0
         while len(live):
-            x = (seed[live] + U(0xD1B54A32D192ED03 * (step + 1) & FULL)) * U(0xBF58476D1CE4E5B9)  # seeds are mixed already
+            x = (seed + U(0xD1B54A32D192ED03 * (step + 1) & FULL)) * U(0xBF58476D1CE4E5B9)  # seeds are mixed already
             u = (((x ^ (x >> U(32))) * U(0x94D049BB133111EB)) >> U(40)).astype(np.float32) * np.float32(2.0**-24)
-            row = at[live]
-            arc, last = self.low[row], self.high[row] - 1
-            on = np.flatnonzero((self.sum[arc] <= u) & (arc < last))
+            arc = self.last[at].astype(np.int64)  # from the longest piece, which is often the likeliest
+            on = np.flatnonzero(self.lower[arc] > u)
             while len(on):
-                arc[on] += 1
-                on = on[(self.sum[arc[on]] <= u[on]) & (arc[on] < last[on])]
-            log[live] += self.share[arc]
-            count[live] += 1
+                arc[on] -= 1
+                on = on[self.lower[arc[on]] > u[on]]
+            sum_of = sum_of + self.share[arc]
             owner.append(live)
             found.append(self.piece[arc])
-            row = row - self.length[arc]
-            at[live] = row
-            live = live[row > base[live]]
+            at = self.begin[arc]
             step += 1
+            more = at >= 0
+            done = np.flatnonzero(~more)
+            if len(done):
+                log[live[done]], count[live[done]] = sum_of[done], step
+                more = np.flatnonzero(more)
+                live, seed, at, sum_of = live[more], seed[more], at[more], sum_of[more]
         end = np.cumsum(count)
         out = np.zeros(int(end[-1]) if len(end) else 0, np.int32)
         for k, (live, ids) in enumerate(zip(owner, found, strict=True)):
@@ -231,12 +299,10 @@ class Words:
 
     def outside(self, which: int, used: set[tuple[int, ...]], seed: int) -> tuple[tuple[int, ...], float] | None:
         """A segmentation of one word given that it is none of ``used``, drawn backwards: an arc's share is less by that of the used paths through it."""
-        word = int(self.word[which])
-        base = int(self.base[word])
-        paths = [self._shares(base, base + int(self.size[word]), u) for u in used]
-        at, log, found, step = base + int(self.size[word]), 0.0, [], 0
-        while at > base:
-            arcs = range(int(self.low[at]), int(self.high[at]))
+        at, log, found, step = int(self.top[self.word[which]]), 0.0, [], 0
+        paths = [self._shares(at, u) for u in used]
+        while at >= 0:
+            arcs = range(int(self.last[at - 1]) + 1, int(self.last[at]) + 1)
             weight = []
             for j in arcs:
                 through = sum(rest[step] for ids, rest in paths if step < len(ids) and ids[step] == self.piece[j])
@@ -251,19 +317,19 @@ class Words:
             j = arcs[pick]
             found.append(int(self.piece[j]))
             log += float(self.share[j])
-            at -= int(self.length[j])
+            at = int(self.begin[j])
             paths = [(ids, rest) for ids, rest in paths if step < len(ids) and ids[step] == found[-1]]
             step += 1
         out = tuple(reversed(found))
         return None if out in used else (out, min(log, 0.0))
 
-    def _shares(self, base: int, at: int, ids: tuple[int, ...]) -> tuple[list[int], list[float]]:
+    def _shares(self, at: int, ids: tuple[int, ...]) -> tuple[list[int], list[float]]:
         """A path's pieces from the end, and for each step its probability from there on."""
         back, logs = list(reversed(ids)), []
         for i in back:
-            j = next(j for j in range(int(self.low[at]), int(self.high[at])) if self.piece[j] == i)
+            j = next(j for j in range(int(self.last[at - 1]) + 1, int(self.last[at]) + 1) if self.piece[j] == i)
             logs.append(float(self.share[j]))
-            at -= int(self.length[j])
+            at = int(self.begin[j])
         return back, np.exp(np.cumsum(logs[::-1])[::-1]).tolist()
 
 
@@ -286,19 +352,20 @@ def _other_share(log: np.ndarray) -> np.ndarray:
 
 def _below(location, bound: float, e):
     """A Gumbel at ``location`` given that it is at most ``bound``; ``e`` is exponential."""
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        return np.where(np.isneginf(location), -np.inf, location - np.log(np.exp(location - bound) + e))
+    with np.errstate(over="ignore"):
+        return location - np.log(np.exp(location - bound) + e)
 
 
 class Stretch:
     """The words of several texts with one draw of them for each sample.
 
-    Lattices are shared by equal words of SLICE code points. Numbers are seeded by the
+    Lattices are shared by equal words, also of other stretches with the same ``known``. Numbers are seeded by the
     text's key and the word's place in it, so they are the same in any stretch.
     """
 
-    def __init__(self, texts: list[np.ndarray], keys: list[int], samples: int, vocabulary: Vocabulary):
+    def __init__(self, texts: list[np.ndarray], keys: list[int], samples: int, vocabulary: Vocabulary, known: Known | None = None):
         """``texts`` are UTF-8 bytes, none of them empty; equals normalising and splitting each on its own."""
+        known = known or Known(vocabulary)
         plain, start = normalised(texts)
         fresh = np.zeros(len(plain), bool)
         fresh[1:] = (plain[1:] == SPACE) & (plain[:-1] != SPACE)  # a word begins with a run of spaces
@@ -314,7 +381,7 @@ class Stretch:
         at = 0
         while at < len(edge) - 1:
             to = max(at + 1, int(np.searchsorted(edge, edge[at] + SLICE, "right")) - 1)
-            words = Words(points[edge[at] : edge[to]], edge[at : to + 1] - edge[at], vocabulary)
+            words = Words(points[edge[at] : edge[to]], edge[at : to + 1] - edge[at], known)
             self.parts.append((words, at))
             for d in range(samples):
                 draws[d].append(words.draw(np.arange(to - at), seeded(self.base[at:to], d)))
@@ -435,21 +502,20 @@ def spelt(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Final ids: code points that are no piece become byte pieces."""
     if not len(ids) or ids.min() >= 0:
         return ids
-    short = (ids < 0) & (ids >= -128)
-    ids = np.where(short, vocabulary.bytes[np.where(short, -ids - 1, 0)], ids).astype(np.int32)
-    if ids.min() >= 0:
-        return ids
-    out: list[int] = []
-    for i in ids.tolist():
-        out += [i] if i >= 0 else vocabulary.bytes[list(chr(SPACE if -i - 1 == MARK else -i - 1).encode())].tolist()
-    return np.array(out, np.int32)
+    bare = ids < 0
+    points = -ids[bare] - 1
+    points[points == MARK] = SPACE
+    size = np.ones(len(ids), np.int64)
+    size[bare] = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    out = np.repeat(ids, size)
+    out[np.repeat(bare, size)] = vocabulary.bytes[np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+    return out
 
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
     """The text of final ids, without the leading space."""
-    if len(ids) < 2:
-        return b"".join(vocabulary.plain[i] for i in ids.tolist())[1:]
-    return b"".join(itemgetter(*ids.tolist())(vocabulary.plain))[1:]
+    _, offsets, data = vocabulary.plain.take(pa.array(ids)).buffers()
+    return data.to_pybytes()[1 : np.frombuffer(offsets, np.int32)[len(ids)]] if len(ids) else b""
 
 
 SAMPLE = "array<struct<ids:array<int>,log_p:double,log_inclusion:double>>"
@@ -471,8 +537,9 @@ def encode(docs: DataFrame, key: str = "doc_id", samples: int = SAMPLES, path: s
     kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_p", pa.float64()), ("log_inclusion", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(vocabulary)
         for batch in batches:
-            found = [[{"ids": ids, "log_p": p, "log_inclusion": s} for ids, p, s, _ in own] for own in _samples(batch, samples, vocabulary)]
+            found = [[{"ids": ids, "log_p": p, "log_inclusion": s} for ids, p, s, _ in own] for own in _samples(batch, samples, known)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[key, "samples"])
 
     return docs.select(key, "text", _key(key)).mapInArrow(lean(run), f"{key} {id_type}, samples {SAMPLE}")
@@ -482,7 +549,7 @@ def _key(key: str):
     return F.coalesce(F.xxhash64(key), F.lit(0)).alias("row_key")
 
 
-def _samples(batch: pa.RecordBatch, samples: int, vocabulary: Vocabulary) -> Iterator[list[tuple[np.ndarray, float, float, np.ndarray]]]:
+def _samples(batch: pa.RecordBatch, samples: int, known: Known) -> Iterator[list[tuple[np.ndarray, float, float, np.ndarray]]]:
     """Of each row of (id, text, row_key): ids, log-probability, log inclusion score, bytes of the text."""
     data, at = raw(batch.column(1))
     keys = batch.column(2).to_pylist()
@@ -491,14 +558,14 @@ def _samples(batch: pa.RecordBatch, samples: int, vocabulary: Vocabulary) -> Ite
         to = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)  # rows whose words are drawn together
         own = [data[at[j] : at[j + 1]] for j in range(i, to)]
         full = [j for j, text in enumerate(own) if len(text)]
-        stretch = Stretch([own[j] for j in full], [keys[i + j] for j in full], samples, vocabulary) if full else None
+        stretch = Stretch([own[j] for j in full], [keys[i + j] for j in full], samples, known.vocabulary, known) if full else None
         place = dict(zip(full, range(len(full)), strict=True))
         for j, text in enumerate(own):
             if j not in place:
                 yield [(np.zeros(0, np.int32), 0.0, 0.0, text)]
                 continue
             ids, total, score = sample(stretch.text(place[j], keys[i + j]), samples)
-            yield [(spelt(x, vocabulary), float(p), float(s), text) for x, p, s in zip(ids, total, score, strict=True)]
+            yield [(spelt(x, known.vocabulary), float(p), float(s), text) for x, p, s in zip(ids, total, score, strict=True)]
         i = to
 
 
@@ -509,9 +576,10 @@ def encoded(docs: DataFrame, samples: int = SAMPLES, path: str = MODEL, smooth:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(vocabulary)
         for batch in batches:
             rows = []
-            for own in _samples(batch, samples, vocabulary):
+            for own in _samples(batch, samples, known):
                 data = [ids.astype("<i4", copy=False).tobytes() for ids, _, _, _ in own]
                 rows.append((len(own), [len(ids) for ids, _, _, _ in own], [hashlib.sha256(x).hexdigest() for x in data], [p for _, p, _, _ in own], [s for _, _, s, _ in own], len(set(data)) == len(own), all(decode(ids, vocabulary) == bytes(text) for ids, _, _, text in own), data))
             columns = list(zip(*rows, strict=True)) or [()] * 8
