@@ -86,6 +86,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def first_words(text: Column, n: int) -> Column:
+    """The first ``n`` words, as ``words`` has them; a text is read no further."""
+    return words(F.regexp_extract(text, r"\A(?:[^\p{L}\p{N}_]*+[\p{L}\p{N}_]++){1,%d}" % n, 0))
+
+
 def language(text: Column) -> tuple[Column, Column, Column]:
     """Hits of either stopword list, and the language that they tell: pt, en or unknown."""
     tokens = F.transform(words(text), F.lower)

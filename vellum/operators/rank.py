@@ -10,10 +10,20 @@ from vellum.scratch import materialize
 
 #: Chance of going on at each step; no rule of the reference states one.
 DAMPING = 0.85
-#: Residual mass below which a node is pushed no further.
+#: Largest residual that a node may be left with.
 LEAST = 1e-4
 #: Rounds that are planned as one job.
-ROUNDS = 3
+ROUNDS = 6
+#: Queries that share a row of the state.
+WIDTH = 8
+#: Queries that are numbered together.
+NUMBERED = 4096
+#: Links of a node that lie in one row.
+CHUNK = 4096
+#: Links that are sent to every task; more are joined by a shuffle.
+FEW_LINKS = 8_000_000
+#: Names, or slots of queries, that are sent to every task; more are joined by a shuffle.
+FEW_ROWS = 1_000_000
 
 NO_SEED, ONE_SEED = "PPR skipped: no seeds resolved", "PPR skipped: one entity only"
 
@@ -32,41 +42,90 @@ def skip_reasons(queries: DataFrame, seeds: DataFrame, least: int = 2) -> DataFr
     return rows.withColumn("reason", F.when(F.col("n_seeds") == 0, NO_SEED).when(F.col("n_seeds") < least, ONE_SEED))
 
 
+def _packed(links: DataFrame) -> DataFrame:
+    """(origin, weight, to): links (origin, degree, damped, to) of a node as arrays of some CHUNK each."""
+    deal = F.pmod(F.xxhash64("to"), F.ceil(F.col("degree") / CHUNK))
+    return links.groupBy("origin", "degree", "damped", deal.alias("deal")).agg(F.collect_list("to").alias("to")).select("origin", (F.col("damped") / F.col("degree")).alias("weight"), "to")
+
+
+def _sent(packed: DataFrame) -> DataFrame:
+    """Links as every task gets them, or as a shuffle joins them if they are many."""
+    n = packed.agg(F.sum(F.size("to"))).first()[0] or 0
+    return F.broadcast(packed) if n <= FEW_LINKS else packed.hint("merge")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows.hint("merge")
+
+
+def _slots(own: DataFrame) -> tuple[DataFrame, int]:
+    """(query_id, share, block, place) of each query: the mass of each of its seeds, and where its numbers stand in the state; and how many blocks there are, about."""
+    from pyspark.sql import Window
+
+    n = own.select("query_id").distinct().count()
+    group = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // NUMBERED) or 1))
+    rows = own.groupBy("query_id").agg((1.0 / F.count("*")).alias("share")).withColumn("group", group)
+    # some NUMBERED queries at a time
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("group").orderBy("query_id")) - 1)
+    block = F.col("group") * (1 << 24) + F.floor(F.col("k") / WIDTH)
+    return materialize(rows.select("query_id", "share", block.alias("block"), (F.col("k") % WIDTH).alias("place")), "push-slots"), -(-n // WIDTH) or 1
+
+
 def push_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, least: float = LEAST, within: float | None = None) -> DataFrame:
     """(query_id, node, score, bound): personalised rank over ``edges`` (src, dst) from each query's ``seeds`` (query_id, node).
 
-    Every node of a query holds a score and a residual. A node whose residual is
-    ``least`` or more keeps ``1 - damping`` of it as score and sends the rest to its
-    links in equal parts; mass of nodes without links is lost. Scores never exceed the
-    exact ones, and fall short of them by no more than ``bound``, the query's residual
-    mass. That mass grows with the nodes that a query reaches; with ``within``, ``least``
-    falls to a quarter until no query's bound exceeds it. Equal seeds of a query count once; a
-    query without seeds has no row.
-
-    State is keyed by query and node, so queries share each round's join and shuffle
-    and a hub's work is split by query. Queries that have settled drop out of the
-    joins. A written table ends the lineage every ROUNDS rounds.
+    Every node of a query holds a score and a residual. In a round each node keeps
+    ``1 - damping`` of its residual as score and sends the rest to its links in equal
+    parts; mass of nodes without links is lost. Scores never exceed the exact ones, and
+    fall short of them by no more than ``bound``, the query's residual mass. Rounds go on
+    until every residual is below ``least`` and, with ``within``, no query's bound
+    exceeds it; their number follows the bound, not the size of the graph. Equal seeds
+    of a query count once; a query without seeds has no row.
+
+    State is keyed by node and block of WIDTH queries, whose numbers stand side by side,
+    so that a link is followed once for all of them. Links go to every task, up to
+    FEW_LINKS, and the state is dealt by block, so rounds move nothing. Only nodes that
+    have links or are seeds take part in them; all others get their mass in the last
+    step. A written table ends the lineage every ROUNDS rounds.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    weights = materialize(edges.join(degree, "src"), "push-weights")
+    edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "push-edges")
     own = materialize(seeds.select("query_id", "node").where("node is not null").distinct(), "push-seeds")
-    share = own.groupBy("query_id").agg((1.0 / F.count("*")).alias("residual"))
-    state = own.join(share, "query_id").select("query_id", "node", F.lit(0.0).alias("score"), "residual")
+    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    known = own.select("node").distinct().join(degree, "node", "full_outer")
+    nodes = materialize(known.select("node", "degree", F.monotonically_increasing_id().alias("id")), "push-nodes")
+    links = edges.join(nodes.select(F.col("node").alias("src"), "degree", F.col("id").alias("origin")), "src").join(nodes.select(F.col("node").alias("dst"), "id"), "dst", "left").withColumn("damped", F.lit(damping))
+    links = materialize(links.select("origin", "degree", "damped", "id", "dst"), "push-weights")
+    # a link of each node to itself carries over its score
+    itself = nodes.select(F.col("id").alias("origin"), F.lit(0.0).alias("weight"), F.array("id").alias("to"), F.lit(True).alias("itself"))
+    inner = _packed(links.where("id is not null").select("origin", "degree", "damped", F.col("id").alias("to"))).withColumn("itself", F.lit(False))
+    inner = _sent(materialize(itself.unionByName(inner), "push-links"))
+    outer = _sent(materialize(_packed(links.where("id is null").select("origin", "degree", "damped", F.col("dst").alias("to"))), "push-last-links"))
+
+    slots, blocks = _slots(own)
+    score, residual = [f"s{i}" for i in range(WIDTH)], [f"r{i}" for i in range(WIDTH)]
+    share = [F.sum(F.when(F.col("place") == i, F.col("share")).otherwise(0.0)).alias(r) for i, r in enumerate(residual)]
+    state = own.join(slots, "query_id").join(nodes.select("node", F.col("id").alias("at")), "node").groupBy("block", "at").agg(*share)
+    state = state.select("block", "at", *[F.lit(0.0).alias(s) for s in score], *residual)
+    sums = [F.sum(c).alias(c) for c in score + residual]
+    by_block = lambda rows: rows.repartition(2 * blocks, "block")  # noqa: E731  twice as many, since blocks are hashed
     while True:
+        state = by_block(state)
         for _ in range(ROUNDS):
-            live = F.col("residual") >= least
-            kept = state.select("query_id", "node", F.when(live, F.col("score") + (1 - damping) * F.col("residual")).otherwise(F.col("score")).alias("score"), F.when(live, 0.0).otherwise(F.col("residual")).alias("residual"))
-            sent = state.where(live).join(weights, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), F.lit(0.0).alias("score"), (damping * F.col("residual") / F.col("degree")).alias("residual"))
-            state = kept.unionByName(sent).groupBy("query_id", "node").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"))
+            moved = state.join(inner, F.col("at") == F.col("origin")).withColumn("at", F.explode("to"))
+            kept = [F.when(F.col("itself"), F.col(s) + (1 - damping) * F.col(r)).otherwise(0.0).alias(s) for s, r in zip(score, residual, strict=True)]
+            state = moved.select("block", "at", *kept, *[(F.col("weight") * F.col(r)).alias(r) for r in residual]).groupBy("block", "at").agg(*sums)
         state = materialize(state, "push-state")
-        if state.where(F.col("residual") >= least).limit(1).count():
-            continue
-        bound = state.groupBy("query_id").agg(F.sum("residual").alias("bound"))
-        if within is None or not bound.where(F.col("bound") > within).limit(1).count():
+        rest = state.groupBy("block").agg(*[F.sum(r).alias(r) for r in residual], F.max(F.greatest(*residual)).alias("most"))
+        most, bound = rest.agg(F.max("most"), F.max(F.greatest(*residual))).first()
+        if (most or 0.0) < least and (within is None or (bound or 0.0) <= within):
             break
-        least /= 4
-    return state.join(bound, "query_id").select("query_id", "node", "score", "bound")
+    slots = _few(slots)
+    at_place = lambda rows, names, value: rows.withColumn("of", F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).alias(value)) for i, c in enumerate(names)]))).select("*", "of.place", f"of.{value}")
+    bounds = _few(materialize(at_place(rest, residual, "bound").join(slots, ["block", "place"]).select("block", "place", "query_id", "bound"), "push-bounds"))
+    named = state.join(_few(nodes.select(F.col("id").alias("at"), "node")), "at").select("block", "node", *score)
+    last = by_block(state).join(outer, F.col("at") == F.col("origin")).select("block", F.explode("to").alias("node"), *[(F.col("weight") * F.col(s)).alias(s) for s in score])
+    last = last.groupBy("block", "node").agg(*[F.sum(s).alias(s) for s in score])
+    return at_place(named.unionByName(last), score, "score").where("score > 0").join(bounds, ["block", "place"]).select("query_id", "node", "score", "bound")
 
 
 def best(ranked: DataFrame, k: int = 10) -> DataFrame:
@@ -75,5 +134,7 @@ def best(ranked: DataFrame, k: int = 10) -> DataFrame:
 
     # the nodes that one query reached
     by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "node")
-    rows = ranked.withColumn("rank", F.row_number().over(by)).withColumn("next", F.lead("score").over(by))
+    # one more than asked for, so that every task drops the others before they are shuffled
+    rows = ranked.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k + 1)
+    rows = rows.withColumn("next", F.lead("score").over(Window.partitionBy("query_id").orderBy("rank")))
     return rows.where(F.col("rank") <= k).select("query_id", "node", "score", "bound", "rank", (F.col("score") - F.coalesce("next", F.lit(0.0)) > F.col("bound")).alias("sure"))

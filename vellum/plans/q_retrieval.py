@@ -115,7 +115,7 @@ UNION ALL SELECT query_id, doc_id, 3, '2 structured' FROM q JOIN t ON w[1] = v[1
 def ppr_queries(spark, d):
     """For each benchmark item the note that connects those it names, or why there is no rank: documents' first words as notes, linked to the words that follow."""
     q = _questions(spark, d)
-    opening = materialize(table(spark, d, "documents").select(F.slice(T.words(F.lower("text")), 1, 4).alias("w")).where(F.size("w") >= 1).distinct(), "openings")
+    opening = materialize(table(spark, d, "documents").select(T.first_words(F.lower("text"), 4).alias("w")).where(F.size("w") >= 1).distinct(), "openings")
     stems = opening.select(F.col("w")[0].alias("node")).where(F.length("node") >= 3).distinct()
     edges = opening.select(F.col("w")[0].alias("src"), F.explode(F.slice("w", 2, 3)).alias("dst")).where("src <> dst")
     seeds = materialize(rank.seeds_of(q, stems), "ppr-seeds")
