@@ -57,7 +57,7 @@ def test_queries_share_rows_and_rounds_follow_the_bound(spark, monkeypatch):
 
 def test_links_that_are_shuffled_give_the_same(spark, monkeypatch):
     edges, seeds, links, asked = _case(spark)
-    for name, value in (("FEW_LINKS", 0), ("FEW_ROWS", 0), ("WIDTH", 2), ("CHUNK", 4), ("NUMBERED", 3), ("ROUNDS", 2)):
+    for name, value in (("FEW_LINKS", 0), ("FEW_ROWS", 0), ("WIDTH", 2), ("CHUNK", 4), ("NUMBERED", 3), ("ROUNDS", 2), ("MOST_ROUNDS", 3)):
         monkeypatch.setattr(rank, name, value)
     _holds(rank.push_rank(links, asked, least=1e-1, within=1e-1).collect(), edges, seeds, 1e-1)
 

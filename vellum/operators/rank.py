@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from vellum.scratch import materialize
 DAMPING = 0.85
 #: Largest residual that a node may be left with.
 LEAST = 1e-4
-#: Rounds that are planned as one job.
-ROUNDS = 6
+#: Rounds that are planned as the first job; the next has as many as are left by the pace of the first, but at most MOST_ROUNDS.
+ROUNDS, MOST_ROUNDS = 12, 24
 #: Queries that share a row of the state.
 WIDTH = 8
 #: Queries that are numbered together.
@@ -86,7 +88,7 @@ def push_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, leas
     so that a link is followed once for all of them. Links go to every task, up to
     FEW_LINKS, and the state is dealt by block, so rounds move nothing. Only nodes that
     have links or are seeds take part in them; all others get their mass in the last
-    step. A written table ends the lineage every ROUNDS rounds.
+    step. A written table ends the lineage of ROUNDS rounds, then of those that are left.
     """
     edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "push-edges")
     own = materialize(seeds.select("query_id", "node").where("node is not null").distinct(), "push-seeds")
@@ -108,17 +110,23 @@ def push_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, leas
     state = state.select("block", "at", *[F.lit(0.0).alias(s) for s in score], *residual)
     sums = [F.sum(c).alias(c) for c in score + residual]
     by_block = lambda rows: rows.repartition(2 * blocks, "block")  # noqa: E731  twice as many, since blocks are hashed
+    rounds, done = ROUNDS, 0
     while True:
         state = by_block(state)
-        for _ in range(ROUNDS):
+        for _ in range(rounds):
             moved = state.join(inner, F.col("at") == F.col("origin")).withColumn("at", F.explode("to"))
             kept = [F.when(F.col("itself"), F.col(s) + (1 - damping) * F.col(r)).otherwise(0.0).alias(s) for s, r in zip(score, residual, strict=True)]
             state = moved.select("block", "at", *kept, *[(F.col("weight") * F.col(r)).alias(r) for r in residual]).groupBy("block", "at").agg(*sums)
         state = materialize(state, "push-state")
         rest = state.groupBy("block").agg(*[F.sum(r).alias(r) for r in residual], F.max(F.greatest(*residual)).alias("most"))
-        most, bound = rest.agg(F.max("most"), F.max(F.greatest(*residual))).first()
-        if (most or 0.0) < least and (within is None or (bound or 0.0) <= within):
+        most, bound = (x or 0.0 for x in rest.agg(F.max("most"), F.max(F.greatest(*residual))).first())
+        if most < least and (within is None or bound <= within):
             break
+        done += rounds
+        # a round leaves no more than this share of the mass, as far as can be told
+        pace = math.log(min(damping, bound ** (1 / done)))
+        left = max(math.log(most / least), math.log(bound / within) if within else 0.0, 0.0)
+        rounds = min(MOST_ROUNDS, max(1, 1 + math.ceil(left / -pace)))
     slots = _few(slots)
     at_place = lambda rows, names, value: rows.withColumn("of", F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).alias(value)) for i, c in enumerate(names)]))).select("*", "of.place", f"of.{value}")
     bounds = _few(materialize(at_place(rest, residual, "bound").join(slots, ["block", "place"]).select("block", "place", "query_id", "bound"), "push-bounds"))
